@@ -30,8 +30,43 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_pairs
+
+    return edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    got = round_trip(read(spark, sf_dir, "pages").select("page_id", "url", "html")).where("kind = 'record'")
+    h = lambda name: F.element_at("headers", name)
+    answer = F.col("type") == "response"
+    return got.select(
+        h("feedloom-key").cast("long").alias("page_id"),
+        F.when(answer, F.octet_length("block").cast("long")).otherwise(h("feedloom-payload-length").cast("long")).alias("payload_bytes"),
+        F.when(answer, F.sha2("block", 256)).otherwise(F.substring_index(h("warc-payload-digest"), ":", -1)).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        h("feedloom-refers-to-key").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_fingerprints": op5_fingerprints,
+    "op10_warc": op10_warc,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        with p as (
+            select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages
+        ), f as (
+            select d, min(page_id) as first from p where n >= 100 group by d
+        )
+        select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+               case when f.first < page_id then 'revisit' else 'response' end as record_type,
+               case when f.first < page_id then f.first end as refers_to
+        from p left join f using (d)
+    """,
+}
