@@ -36,6 +36,29 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: A text is rejected as toxic from this score on.
+TOXIC = 0.7
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """Fitted on the labelled documents that are not held out."""
+    from .common import remainder
+    from .toxicity import fitted
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where((remainder(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    return fitted(docs.join(labels, "doc_id"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .toxicity import score
+
+    docs = read(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", score(F.col("text"), toxicity_model(spark, sf_dir)).alias("score"))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import remainder
     from .kneser_ney import scored_by
@@ -69,6 +92,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op10_warc": op10_warc,
+    "op4_toxicity": op4_toxicity,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_sentencepiece": op8_sentencepiece,
