@@ -19,8 +19,9 @@ linear time; repeated rows and extra columns pass through unchanged.
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,32 @@ SPACE = "▁"
 NORMAL, CONTROL, USER, UNUSED, BYTE = 1, 3, 4, 5, 6
 
 
+FIRST, SECOND = itemgetter(0), itemgetter(1)
+
+
+def packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class Kept(dict):
+    """What `make` gives for each key, in two generations of bounded size: what is asked for again stays."""
+
+    def __init__(self, make, most: int = 250_000):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:  # long ones are rare and would fill the memory
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class PieceModel:
     """The pieces of a BPE model file and the backtracking encoder over them."""
 
@@ -76,11 +103,14 @@ class PieceModel:
         self.whole = {p for p in words if self._merge(p) == [p]}
         self.auto = ahocorasick.Automaton()
         for p in self.whole:
-            self.auto.add_word(p, p)
+            self.auto.add_word(p, (len(p) - 1, p))
         self.auto.make_automaton()
         self.shorter: dict[str, str | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: Neighbouring characters that some piece holds; between others nothing ever merges.
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.words = Kept(self.encode_word)
+        self.atoms = Kept(self.encode_atom, 150_000)
 
     def _merge(self, text: str) -> list[str]:
         """Merge from single characters: the best score first, the leftmost of equals."""
@@ -116,8 +146,8 @@ class PieceModel:
         if text in self.whole:
             return [text]
         longest: list[str] = [""] * len(text)
-        for end, piece in self.auto.iter(text):
-            longest[end - len(piece) + 1] = piece  # a later end is a longer piece
+        for end, (back, piece) in self.auto.iter(text):
+            longest[end - back] = piece  # a later end is a longer piece
         open_at = bytearray(b"\xff") * (len(text) // 8 + 1)
         out: list[str] = []
         pos, nxt = 0, longest[0]
@@ -142,65 +172,56 @@ class PieceModel:
                 piece = short
         return out
 
-    def encode_word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of white space followed by `word`, and the text that they decode to."""
-        got = self.words.get(word)
-        if got is not None:
-            return got
-        ids: list[int] = []
-        text = SPACE + word
-        if self.known.issuperset(text):
+    def encode_atom(self, text: str) -> tuple[bytes, str]:
+        """Ids, as 32-bit integers, of a text without inner breaks, and the text that they decode to."""
+        if text[0] in self.known:
             ids = [self.ids[p] for p in self._pieces(text)]
         else:
-            start = 0
-            for i, c in enumerate(text):
-                if c not in self.known:
-                    if i > start:
-                        ids += [self.ids[p] for p in self._pieces(text[start:i])]
-                    ids += [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")]
-                    start = i + 1
-            if start < len(text):
-                ids += [self.ids[p] for p in self._pieces(text[start:])]
-        got = tuple(ids), self.spell(ids)
-        if len(word) <= 64:  # long ones are rare and would fill the memory
-            if len(self.words) > 300_000:
-                self.words.clear()
-            self.words[word] = got
-        return got
+            ids = [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")]
+        return packed(ids), self.spell(ids)
+
+    def encode_word(self, word: str) -> tuple[bytes, str]:
+        """The same of white space followed by `word`, which is broken where nothing merges."""
+        text, inner = SPACE + word, self.inner
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner]
+        if not cuts:
+            return self.encode_atom(text)
+        got = [self.atoms[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        return b"".join(map(FIRST, got)), "".join(map(SECOND, got))
 
-    def spaces(self, n: int) -> tuple[int, ...]:
+    def spaces(self, n: int) -> bytes:
         full, rest = divmod(n, self.run)
-        return (self.ids[SPACE * self.run],) * full + self.rest[rest]
+        return packed((self.ids[SPACE * self.run],) * full + self.rest[rest])
 
-    def encode(self, text: str) -> tuple[list[tuple[int, ...]], list[str]]:
-        """Groups of ids, without the end id, and what each decodes to."""
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids, as 32-bit integers without the end id, and the text that they decode to."""
         if not text:
-            return [], []
+            return b"", ""
         parts = text.replace(" ", SPACE).split(SPACE)  # the white space that is put in front ends an empty first part
-        groups, spelt, run, lone = [], [], 0, self.ids[SPACE]
-        word = self.encode_word
+        if "" not in parts:
+            got = list(map(self.words.__getitem__, parts))
+            return b"".join(map(FIRST, got)), "".join(map(SECOND, got))[1:]
+        groups, spelt, run, lone = [], [], 0, packed([self.ids[SPACE]])
         for p in parts:
             if p:
-                ids, said = word(p)
-                if run:
-                    if ids[0] == lone:
-                        groups.append(self.spaces(run + 1) + ids[1:])
-                    else:
-                        groups.append(self.spaces(run) + ids)
-                    spelt.append(" " * run + said)
-                    run = 0
+                ids, said = self.words[p]
+                if run and ids.startswith(lone):
+                    groups.append(self.spaces(run + 1) + ids[4:])
                 else:
-                    groups.append(ids)
-                    spelt.append(said)
+                    groups.append(self.spaces(run) + ids)
+                spelt.append(" " * run + said)
+                run = 0
             else:
                 run += 1
         if run:
             groups.append(self.spaces(run))
             spelt.append(" " * run)
-        return groups, spelt
+        return b"".join(groups), "".join(spelt)[1:]
 
     def spell(self, ids) -> str:
         """Decode ids as they are, with white space still in front."""
+        if all(type(self.text_of[i]) is str for i in ids):
+            return "".join([self.text_of[i] for i in ids]).replace(SPACE, " ")
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -242,18 +263,17 @@ def tokenized(docs: DataFrame, model_path: str, text: str = "text", ids: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(model_path)
+        end = packed([model.end])
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 flat, ends, said = [], [0], []
                 for t in batch.column(len(names)).to_pylist():
-                    groups, spelt = model.encode(t)
-                    flat.append(np.fromiter(chain.from_iterable(groups), np.int32))
-                    flat.append(np.array([model.end], np.int32))
-                    ends.append(ends[-1] + len(flat[-2]) + 1)
-                    s = "".join(spelt)
-                    said.append(s[1:] if s.startswith(" ") else s)
-                values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+                    got, spelt = model.encode(t)
+                    flat += (got, end)
+                    ends.append(ends[-1] + len(got) // 4 + 1)
+                    said.append(spelt)
+                values = pa.array(np.frombuffer(b"".join(flat), np.int32))
                 got = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got, pa.array(said, pa.string())], names=[*names, ids, decoded])
 
