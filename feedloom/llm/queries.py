@@ -36,6 +36,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    # the text itself is not carried along
+    rows = contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 #: A text is rejected as toxic from this score on.
 TOXIC = 0.7
 
@@ -92,6 +100,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op10_warc": op10_warc,
+    "op2_decontamination": op2_decontamination,
     "op4_toxicity": op4_toxicity,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_jaccard_join": op7_jaccard_join,
@@ -99,6 +108,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": r"""
+        with b as (
+            select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+        ), win as (
+            select item, len(w) as n, array_to_string(w[i : i + 12], ' ') as phrase, least(13, len(w)) as size
+            from b, unnest(range(1, greatest(1, len(w) - 12) + 1)) as t(i) where len(w) > 0
+        ), d as (
+            select row_number() over () as doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+        ), sizes as (select distinct size from win), cut as (
+            select doc, size, i, array_to_string(w[i : i + size - 1], ' ') as phrase from d, sizes, unnest(range(1, len(w) - size + 2)) as t(i)
+        ), found as (
+            select doc, item, i, cut.size from cut join win on cut.phrase = win.phrase and cut.size = win.size
+        ), hit as (
+            select doc, count(distinct j) as n from found, unnest(range(i, i + size)) as t(j) group by doc
+        ), its as (
+            select doc, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct doc, item from found) group by doc
+        )
+        select doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(its.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+               coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
+        from d left join hit using (doc) left join its using (doc)
+    """,
     "op10_warc": """
         with p as (
             select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages
