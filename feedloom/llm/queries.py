@@ -36,6 +36,26 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import formatted, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = read_back(formatted(rows)).select("conv_id", F.struct("window", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))).alias("said"), "loss_text", F.char_length("formatted").alias("n")).alias("w"))
+    whole = back.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    loss = F.array_join(F.transform("w", lambda x: x["loss_text"]), "")
+    turns = F.flatten(F.transform("w", lambda x: x["said"]))
+    return whole.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("formatted_chars"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -107,6 +127,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op10_warc": op10_warc,
+    "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
