@@ -82,7 +82,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str):
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").where((remainder(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    return fitted(docs.join(labels, "doc_id"))
+    return fitted(docs, labels)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,18 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, spans
+
+    found = spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    named = lambda which: F.array_join(F.transform(which, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    of = lambda k: lambda x: x["kind"] == k
+    counts = [F.size(F.filter(base, of(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named("spans").alias("spans"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -126,6 +138,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
     "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,

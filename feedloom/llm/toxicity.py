@@ -108,11 +108,15 @@ def _g(pos, neg, all_pos, all_neg) -> Column:
     return 2 * sum((term(o, e) for o, e in cells), F.lit(0.0))
 
 
-def fitted(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 30_000, groups=IDENTITY, strength: float = 4.0) -> Classifier:
-    """Fit on about `most` rows of `labelled`, chosen by a hash of `key`; rows without a label are left out."""
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("t"), (F.col(label) > 0).cast("int").alias("y"), F.col(key).alias("k"))
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(min(1.0, most / max(1, n)) * 1_000_000)).select("t", "y")
+def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 30_000, groups=IDENTITY, strength: float = 4.0) -> Classifier:
+    """Fit on about `most` rows of `labels` (key, label), chosen by a hash of `key`; rows without key or label are left out.
+
+    The chosen labels are few by that bound, so they go to the texts, which are not shuffled.
+    """
+    known_ = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), (F.col(label) > 0).cast("int").alias("y"))
+    share = min(1.0, most / max(1, known_.count()))
+    chosen = known_.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["k"]).select(F.col(text).alias("t"), "y")
     ones, total = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     model = Classifier(intercept=float(np.log((ones + 0.5) / (total - ones + 0.5))))
     if not 0 < ones < total:
