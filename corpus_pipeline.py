@@ -31,7 +31,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where((remainder(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    model = tox.fitted(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = tox.fitted(docs.select("doc_id", "text"), labels)
     return docs.where(tox.score(F.col("text"), model) < TOXIC).select(COLUMNS)
 
 
