@@ -70,43 +70,46 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     order = W.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     whole = W.partitionBy("conv")
     rows = base.withColumn("tokens", count(F.col("text"))).withColumn("no", F.row_number().over(order)).withColumn("to", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("block", F.floor((F.col("to") - F.col("tokens")) / block)).withColumn("last", F.max("block").over(whole))
-    system = (F.col("no") == 1) & (F.col("role") == "system")
+    rows = rows.withColumn("start", F.col("to") - F.col("tokens"))
+    # the history that fits before a turn begins where the prefix sum is at most `history` smaller
+    reach = W.partitionBy("conv").orderBy("start").rangeBetween(-history, 0)
+    has_system = F.max(F.when((F.col("no") == 1) & (F.col("role") == "system"), 1).otherwise(0)).over(whole)
+    rows = rows.withColumn("system", has_system)
+    own = (F.col("no") > F.col("system")).cast("int")  # the system turn is no history
+    rows = rows.withColumn("past", F.min(F.when(own == 1, F.struct("no", "start"))).over(reach))
+    rows = rows.withColumn("block", F.floor(F.col("start") / block)).withColumn("last", F.max("block").over(whole))
+    is_system = (F.col("no") == 1) & (F.col("system") == 1)
     # a turn goes to its block, to the next one if it may be history there, and a system turn to all
     after = F.floor((F.col("to") + history) / block)
-    blocks = F.when(system, F.sequence("block", "last")).when((after > F.col("block")) & (F.col("block") < F.col("last")), F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
-    item = F.struct("no", "role", "text", "tokens", (F.col("block") < F.col("b")).alias("old"))
-    packs = rows.withColumn("b", F.explode(blocks)).groupBy("conv", "b").agg(F.sort_array(F.collect_list(item)).alias("t"))
-
-    has_system = (F.col("t")[0]["no"] == 1) & (F.col("t")[0]["role"] == "system")
-    packs = packs.select("conv", "b", F.when(has_system, F.col("t")[0]).alias("sys"), F.filter("t", lambda x: ~(has_system & (x["no"] == 1))).alias("t"))
-    # prefix sums over the block, then spans by a fold over numbers only
-    sums = F.aggregate("t", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["tokens"])))
-    packs = packs.select("conv", "b", "sys", "t", F.size(F.filter("t", lambda x: x["old"])).alias("old"), sums.alias("sum"))
-    room = F.lit(budget) - F.coalesce(F.col("sys")["tokens"], F.lit(0))
-    n = F.size("t")
-    none = F.array().cast("array<struct<first:int,end:int,past:int>>")
+    blocks = F.when(is_system, F.sequence("block", "last")).when((after > F.col("block")) & (F.col("block") < F.col("last")), F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
+    item = F.struct("no", "role", "text", "tokens", "start", "to", "past", (F.col("block") < F.col("b")).alias("old"))
+    packs = rows.withColumn("b", F.explode(blocks)).groupBy("conv", "b", "system").agg(F.sort_array(F.collect_list(item)).alias("t"))
 
-    def past(first: Column) -> Column:
-        """The first turn of the history before `first`: whole turns of at most `history` tokens."""
-        s = F.col("sum")
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), first)), first, lambda a, i: F.when((a > 0) & (F.get(s, first) - F.get(s, a - 1) <= history) & (i <= first), a - 1).otherwise(a))
+    packs = packs.select("conv", "b", F.when(F.col("system") == 1, F.col("t")[0]).alias("sys"), F.filter("t", lambda x: x["no"] > F.col("system")).alias("t"))
+    # spans by one fold over the turns; only numbers are carried
+    room = F.lit(budget) - F.coalesce(F.col("sys")["tokens"], F.lit(0))
+    none = F.array().cast("array<struct<first:int,end:int,past:int,start:bigint>>")
 
-    def step(a: Column, i: Column) -> Column:
-        """Turn i joins the open span, or opens the next."""
+    def step(a: Column, x: Column) -> Column:
+        """A turn joins the open span, or opens the next."""
         open_ = F.element_at(a, -1)
-        used = F.get(F.col("sum"), i + 1) - F.get(F.col("sum"), open_["past"])
-        fits = (F.size(a) > 0) & (used <= room)
-        grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(open_["first"].alias("first"), (i + 1).alias("end"), open_["past"].alias("past"))))
-        fresh = F.concat(a, F.array(F.struct(i.alias("first"), (i + 1).alias("end"), past(i).alias("past"))))
-        return F.when(fits, grown).otherwise(fresh)
-
-    span = F.when(n > F.col("old"), F.aggregate(F.sequence(F.col("old"), n - 1), none, step)).when(F.col("sys").isNotNull() & (F.col("b") == 0), F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"), F.lit(0).alias("past")))).otherwise(none)
-    windows = packs.select("conv", "b", "sys", "t", span.alias("s")).select("conv", "b", "sys", "t", F.posexplode("s").alias("w", "s"))
+        fits = (F.size(a) > 0) & (x["to"] - open_["start"] <= room)
+        grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(open_["first"].alias("first"), (x["no"] + 1).alias("end"), open_["past"].alias("past"), open_["start"].alias("start"))))
+        # history gives way where it and the turn do not fit together
+        close = x["to"] - x["past"]["start"] <= room
+        fresh = F.concat(a, F.array(F.struct(x["no"].alias("first"), (x["no"] + 1).alias("end"), F.when(close, x["past"]["no"]).otherwise(x["no"]).alias("past"), F.when(close, x["past"]["start"]).otherwise(x["start"]).alias("start"))))
+        return F.when(x["old"], a).when(fits, grown).otherwise(fresh)
+
+    alone = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"), F.lit(0).alias("past"), F.lit(0).cast("bigint").alias("start")))
+    span = F.when((F.size("t") == 0) & (F.col("b") == 0), alone).otherwise(F.aggregate("t", none, step))
+    packs = packs.select("conv", "b", "sys", "t", F.coalesce(F.col("t")[0]["no"], F.lit(0)).alias("low"), span.alias("s"))
+    cut = F.transform("s", lambda s: F.struct(s["first"].alias("first"), s["past"].alias("past"), F.slice("t", s["past"] - F.col("low") + 1, s["end"] - s["past"]).alias("t")))
+    windows = packs.select("conv", "b", "sys", F.posexplode(cut).alias("w", "s"))
     # only a conversation's first window owns its system turn
     owns = (F.col("b") == 0) & (F.col("w") == 0) & F.col("sys").isNotNull()
-    lead = F.when(F.col("sys").isNotNull(), F.array(F.col("sys").dropFields("old"))).otherwise(F.array().cast("array<struct<no:int,role:string,text:string,tokens:bigint>>"))
-    used = F.concat(lead, F.transform(F.slice("t", F.col("s")["past"] + 1, F.col("s")["end"] - F.col("s")["past"]), lambda x: x.dropFields("old")))
+    bare = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["tokens"].alias("tokens"))
+    lead = F.when(F.col("sys").isNotNull(), F.array(bare(F.col("sys")))).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>"))
+    used = F.concat(lead, F.transform(F.col("s")["t"], bare))
     repeated = (F.col("s")["first"] - F.col("s")["past"]) + F.when(F.col("sys").isNotNull() & ~owns, 1).otherwise(0)
     parts = F.transform(used, lambda x: F.struct(F.concat(F.lit(OPEN), write_role(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), x["role"].alias("role"), x["tokens"].alias("tokens")))
     out = windows.select("conv", "b", "w", parts.alias("p"), repeated.alias("r"))
