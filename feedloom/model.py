@@ -32,8 +32,7 @@ CHANGE_EVENT = T.StructType(
 
 def variant_map(json: Column) -> Column:
     """A JSON object as map<string, variant> with sorted keys; null for anything else."""
-    v = F.try_parse_json(json)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v.cast("map<string,variant>"))
+    return F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
 
 
 def field(json: Column, name: str) -> Column:

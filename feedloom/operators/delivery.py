@@ -32,7 +32,7 @@ def reason(text: Column, most: int = REASON_BYTES) -> Column:
     """At most so many bytes; a character cut in half at the end goes."""
     raw = F.encode(text, "UTF-8")
     cut = F.substring(raw, 1, most)
-    clean = F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", "")
+    clean = F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "\ufffd+$", "")
     return F.when(F.octet_length(text) <= most, text).otherwise(clean)
 
 

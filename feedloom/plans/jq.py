@@ -230,6 +230,13 @@ def _null(c: Column) -> Column:
     return F.coalesce(c, F.lit("null"))
 
 
+def _let(values: list[Column], f) -> Column:
+    """f of the values, each evaluated once: expressions stay as long as their source text."""
+    names = [f"v{i}" for i in range(len(values))]
+    bound = F.array(F.struct(*[c.cast("string").alias(n) for n, c in zip(names, values)]))
+    return F.get(F.transform(bound, lambda s: f(*[s[n] for n in names]).cast("string")), F.lit(0))
+
+
 def compile_node(n: Node, v: Column) -> Column:
     if n.kind == "self":
         return v
@@ -240,7 +247,7 @@ def compile_node(n: Node, v: Column) -> Column:
         path = f"$[{key}]" if isinstance(key, int) else "$['" + key.replace("'", "\\'") + "']"
         return F.nullif(F.to_json(F.try_variant_get(F.try_parse_json(base), path, "variant")), F.lit("null"))
     if n.kind == "pipe":
-        return compile_node(n.args[1], compile_node(n.args[0], v))
+        return _let([compile_node(n.args[0], v)], lambda x: compile_node(n.args[1], x))
     if n.kind == "array":
         return F.concat(F.lit("["), F.concat_ws(",", *[_null(compile_node(x, v)) for x in n.args]), F.lit("]"))
     if n.kind == "object":
@@ -248,7 +255,7 @@ def compile_node(n: Node, v: Column) -> Column:
     if n.kind == "if":
         return F.when(_true(compile_node(n.args[0], v)), compile_node(n.args[1], v)).otherwise(compile_node(n.args[2], v))
     if n.kind == "op":
-        return _operator(n.args[0], compile_node(n.args[1], v), compile_node(n.args[2], v))
+        return _let([compile_node(n.args[1], v), compile_node(n.args[2], v)], lambda a, b: _operator(n.args[0], a, b))
     return _call(n.args[0], n.args[1:], v)
 
 

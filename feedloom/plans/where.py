@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import plain_number, variant_map
+from ..model import json_text, plain_number, variant_map
 
 TOKEN = re.compile(r"\s*(?:(?P<str>'[^']*')|(?P<num>-?[0-9][0-9.]*)|(?P<id>[A-Za-z_][A-Za-z0-9_.]*)|(?P<op>!=|>=|<=|=|>|<|\(|\)|,))")
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
@@ -198,18 +198,16 @@ def _number(s: Column) -> Column:
 
 def json_images(before: Column, after: Column) -> Images:
     """Images that are JSON objects in two text columns."""
-    maps = {"before": variant_map(before), "after": variant_map(after)}
     raw = {"before": before, "after": after}
 
     def get(side: str, key: str) -> Value:
-        v = F.try_element_at(maps[side], F.lit(key))
+        t = json_text(raw[side], key)  # the text of any value; null for a missing key and for null
+        # a numeric text may be a string, compared as it is, or a number, compared in its plain form
+        v = F.try_element_at(variant_map(raw[side]), F.lit(key))
         kind = F.schema_of_variant(v)
-        double = F.try_variant_get(v, "$", "double")
-        s = F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain_number(double)).otherwise(F.try_variant_get(v, "$", "string"))
-        null = v.isNull() | F.is_variant_null(v)
-        shown = F.when(null, F.lit("")).otherwise(F.coalesce(s, F.to_json(v)))
-        number = F.when(~null, F.when(kind == "STRING", _number(s)).when(kind != "BOOLEAN", double))
-        return Value(raw[side].isNotNull() & (raw[side] != "null"), null, shown, number)
+        plain = F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain_number(F.try_variant_get(v, "$", "double"))).otherwise(t)
+        shown = F.when(t.isNull(), "").when(t.rlike(NUMBER), plain).otherwise(t)
+        return Value(raw[side].isNotNull() & (raw[side] != "null"), t.isNull(), shown, _number(t))
 
     return get
 
