@@ -111,3 +111,8 @@ def search_terms(*columns: Column, long: Column, least: int = 4) -> Column:
     split = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")
     words = F.concat(*[split(c) for c in columns], F.filter(split(long), lambda x: F.length(x) >= least))
     return F.array_sort(F.filter(F.array_distinct(words), lambda x: x != ""))
+
+
+def by_id(events: DataFrame, value: str, size: int = 10_000, key: str = "id", order: str = "seq") -> DataFrame:
+    """One event of the recent index, or none."""
+    return recent_index(events, size, key, order).where(F.col(key) == value)

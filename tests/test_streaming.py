@@ -71,3 +71,24 @@ def test_windowed_stream(spark, sf, tmp_path):
     q = out.writeStream.outputMode("complete").format("memory").queryName("days").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert spark.table("days").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_raw_log_source(spark, sf, tmp_path):
+    from feedloom.queries_capture import _messages
+    from feedloom.sources import log_files
+    from feedloom.sources.logical import decoded
+
+    folder = tmp_path / "segments"
+    folder.mkdir()
+    by_slot = {}
+    for r in _messages(spark, sf).orderBy("slot", "pos").collect():
+        by_slot.setdefault(r["slot"], []).append((r["lsn"], bytes(r["data"])))
+    log_files.register(spark)
+    for slot, own in by_slot.items():
+        log_files.write(str(folder / f"{slot}-1"), own[:3])
+        log_files.write(str(folder / f"{slot}-2"), own[3:])
+    batch = decoded(spark.read.format("raw_log").load(str(folder))).where("kind = 'change'")
+    assert batch.count() == 25 and batch.agg(F.max("change_seq")).first()[0] == 4
+    q = spark.readStream.format("raw_log").load(str(folder)).writeStream.format("memory").queryName("raw").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("raw").count() == sum(map(len, by_slot.values()))
