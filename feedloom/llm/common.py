@@ -106,6 +106,17 @@ def map_shared(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
+#: Rows of a batch between Spark and Python; texts may be long, so the default of 10,000 is too many.
+BATCH_ROWS = 1500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of its texts on either side; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, what)
@@ -113,6 +124,29 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the machine: its worker lives on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run):
+    """A function over batches that releases memory when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 # ------------------------------------------------------------------ columns
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_value, hashed, map_shared, saved, shared_dir, shingle_hashes, words_of, write_shared
+from .common import WordHash, by_value, hashed, map_shared, saved, shared_dir, shingle_hashes, small_batches, tidy, words_of, write_shared
 from .graph import components
 
 by_value(__name__)
@@ -40,7 +40,7 @@ by_value(__name__)
 #: Bits of a shingle's hash that are counted.  Chance meetings only add to a count, which changes the order but no result.
 COUNTED = 48
 #: Shingles that a task sorts at once, and shingles of a range of hashes, on average.
-BLOCK, RANGE = 3_000_000, 8_000_000
+BLOCK, RANGE = 2_000_000, 8_000_000
 #: Shingles in a cluster that one task joins.
 CLUSTER = 8_000_000
 
@@ -70,7 +70,7 @@ def counted_shingles(docs: DataFrame, text: str, width: int, folder: str) -> int
     """Write the sorted hashes, and counts, of shingles that two or more documents have; return the number of hash ranges."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(conf, size // (6 * RANGE) + 1)
+    ranges = max(2 * conf, size // (6 * RANGE) + 1)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, n = WordHash(), [], 0
@@ -120,7 +120,7 @@ def counted_shingles(docs: DataFrame, text: str, width: int, folder: str) -> int
         write_shared(f"{folder}/{r:07d}.count", np.minimum(total[keep], 0xFFFFFFFF).astype(np.uint32).tobytes())
         return pa.table({"range": pa.array([r], pa.int32()), "n": pa.array([int(keep.sum())], pa.int64())})
 
-    rows = docs.select(text).mapInArrow(blocks, "range int, once binary, more binary, counts binary")
+    rows = docs.select(text).mapInArrow(tidy(blocks), "range int, once binary, more binary, counts binary")
     done = rows.groupBy("range").applyInArrow(merge, "range int, n long")
     done.write.parquet(f"{folder}/ranges")
     return ranges
@@ -189,14 +189,14 @@ def _windows(docs: DataFrame, key: str, text: str, percent: int, width: int, fol
                     keys.append(k)
                     sets.append(shingle_set(t, cache, width))
                     n += len(sets[-1])
-                    if n > 1_000_000:
+                    if n > 600_000:
                         yield answer(keys, sets)
                         keys, sets, n = [], [], 0
             if keys:
                 yield answer(keys, sets)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, n long, node binary, near array<long>, set binary")
+    return rows.mapInArrow(tidy(run), "key long, n long, node binary, near array<long>, set binary")
 
 
 # ------------------------------------------------------------------ one region
@@ -360,6 +360,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     one task joins.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark, "shingles")
     ranges = counted_shingles(docs, text, width, folder)
     all_rows = saved(_windows(docs, key, text, percent, width, folder, ranges), "windows")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_value, hashed, map_shared, shared_dir, words_of, write_shared
+from .common import WordHash, by_value, hashed, map_shared, shared_dir, small_batches, words_of, write_shared
 
 by_value(__name__)
 
@@ -214,6 +214,7 @@ def _count_of_counts(c: np.ndarray) -> list[int]:
 def trained(docs: DataFrame, text: str = "text") -> Model:
     """Count a model over all texts of `docs`."""
     spark = docs.sparkSession
+    small_batches(spark)
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = int(max(conf, size // (6 * RANGE) + 1))
@@ -312,7 +313,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 c[at] = arrays.at_ids(ids[at], "count", np.uint64)
                 n[at] = arrays.at_ids(ids[at], "next", np.uint32)
             base = np.log10((c + 1) / (m.total + v1))
-            low = m.low / v1 + (np.maximum(n - _discount(n, m.d1), 0) / m.pairs if m.pairs else 0)
+            low = m.low / v1 + np.maximum(n - _discount(n, m.d1), 0) / max(1, m.pairs)
             end = int(np.searchsorted(own, END))
             before = np.concatenate(([end], back[:-1]))  # each text follows an end token
             both = known[before] & known[back]

@@ -23,6 +23,7 @@ id and text count as one document, and so keep or lose the same lines.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, saved, shared_dir, write_shared
+from .common import by_value, saved, shared_dir, small_batches, tidy, write_shared
 from .jaccard_join import COUNTED, RANGE, Shared
 from .kneser_ney import blocks, merged
 
@@ -40,7 +41,7 @@ by_value(__name__)
 EDITS, LEAST = 2, 30
 #: Estimated bytes of marked lines up to which they are broadcast; beyond, a shuffle join.
 BROADCAST_BYTES = 24 << 20
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 BINS = 24
 
 
@@ -176,10 +177,11 @@ def with_marked(docs: DataFrame, marked: DataFrame, key: str, text: str) -> Data
 def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int) -> DataFrame:
     """(key, own, id, h, no, line): lines that share a key with another; `rest` as from with_marked."""
     spark = rest.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark, "segments")
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = rest.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = int(max(conf, size // (8 * RANGE) + 1))
+    ranges = int(max(2 * conf, size // (8 * RANGE) + 1))
     rows = rest.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.split(F.col(text), "\n").alias("lines"), F.coalesce("__marked", F.array().cast("array<int>")).alias("m")).where("lines is not null")
 
     def lines(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -191,19 +193,19 @@ def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int) ->
                         yield i, h, no, line
 
     def count(batches):
-        keys, held = Keys(edits), []
+        keys, held = Keys(edits), array("Q")
 
         def flush():
-            h, c = np.unique(np.array(held, np.uint64) >> np.uint64(64 - COUNTED), return_counts=True)
-            held.clear()
+            h, c = np.unique(np.frombuffer(held, np.uint64) >> np.uint64(64 - COUNTED), return_counts=True)
             return blocks(h, c, (((h >> np.uint64(COUNTED - 32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64), ranges)
 
         for batch in batches:
             for _, _, _, line in lines(batch):
                 own, probes = keys.of(line)
-                held += set(own + probes)  # once a line
+                held.extend(set(own + probes))  # once a line
                 if len(held) > BLOCK:
                     yield flush()
+                    held = array("Q")
         if held:
             yield flush()
 
@@ -215,7 +217,7 @@ def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int) ->
         write_shared(f"{folder}/{r:07d}.count", np.minimum(c[keep], 0xFFFFFFFF).astype(np.uint32).tobytes())
         return pa.table({"range": pa.array([r], pa.int32()), "n": pa.array([int(keep.sum())], pa.int64())})
 
-    rows.mapInArrow(count, "range int, once binary, more binary, counts binary").groupBy("range").applyInArrow(merge, "range int, n long").write.parquet(f"{folder}/ranges")
+    rows.mapInArrow(tidy(count), "range int, once binary, more binary, counts binary").groupBy("range").applyInArrow(merge, "range int, n long").write.parquet(f"{folder}/ranges")
     id_type = rest.schema[key].dataType.simpleString()
     schema = f"key long, own boolean, id {id_type}, h long, no int, line string"
     arrow = pa.schema([("key", pa.int64()), ("own", pa.bool_()), ("id", {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())), ("h", pa.int64()), ("no", pa.int32()), ("line", pa.string())])
@@ -234,13 +236,13 @@ def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int) ->
         for batch in batches:
             for x in lines(batch):
                 held.append(x)
-                if len(held) >= 20_000:
+                if len(held) >= 8_000:
                     yield answer(held)
                     held = []
         if held:
             yield answer(held)
 
-    return rows.mapInArrow(emit, schema)
+    return rows.mapInArrow(tidy(emit), schema)
 
 
 def counts_of(line: str) -> np.ndarray:

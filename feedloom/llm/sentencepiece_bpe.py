@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value
+from .common import by_value, release, small_batches
 
 by_value(__name__)
 
@@ -47,7 +47,7 @@ def packed(ids) -> bytes:
 class Kept(dict):
     """What `make` gives for each key, in two generations of bounded size: what is asked for again stays."""
 
-    def __init__(self, make, most: int = 250_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -109,8 +109,9 @@ class PieceModel:
         self.fits: dict[tuple[str, str], bool] = {}
         #: Neighbouring characters that some piece holds; between others nothing ever merges.
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.raw = {p: packed([i]) for p, i in self.ids.items()}
         self.words = Kept(self.encode_word)
-        self.atoms = Kept(self.encode_atom, 150_000)
+        self.atoms = Kept(self.encode_atom, 50_000)
 
     def _merge(self, text: str) -> list[str]:
         """Merge from single characters: the best score first, the leftmost of equals."""
@@ -136,7 +137,7 @@ class PieceModel:
         key = (a, b)
         ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             ok = self.fits[key] = a + b not in self.ids and self._merge(a + b) == [a, b]
         return ok
@@ -150,24 +151,31 @@ class PieceModel:
             longest[end - back] = piece  # a later end is a longer piece
         open_at = bytearray(b"\xff") * (len(text) // 8 + 1)
         out: list[str] = []
-        pos, nxt = 0, longest[0]
-        while pos < len(text):
-            last, piece = out[-1] if out else None, nxt
+        size, fits, shorter = len(text), self.fits, self.shorter
+        pos, nxt, last = 0, longest[0], None
+        while pos < size:
+            piece = nxt
             while True:
                 end = pos + len(piece)
-                if open_at[end >> 3] >> (end & 7) & 1 and (last is None or self._fit(last, piece)):
-                    out.append(piece)
-                    pos = end
-                    nxt = longest[pos] if pos < len(text) else ""
-                    break
-                short = self._prefix(piece)
+                if open_at[end >> 3] >> (end & 7) & 1:
+                    ok = last is None or fits.get((last, piece))
+                    if ok is None:
+                        ok = self._fit(last, piece)
+                    if ok:
+                        out.append(piece)
+                        pos, last = end, piece
+                        nxt = longest[pos] if pos < size else ""
+                        break
+                short = shorter.get(piece, "")
+                if short == "":
+                    short = self._prefix(piece)
                 if short is None:
                     if last is None:
                         raise AssertionError("no tokenisation")
                     open_at[pos >> 3] &= ~(1 << (pos & 7)) & 0xFF
-                    out.pop()
-                    pos -= len(last)
-                    nxt = last
+                    nxt = out.pop()
+                    pos -= len(nxt)
+                    last = out[-1] if out else None
                     break
                 piece = short
         return out
@@ -175,20 +183,28 @@ class PieceModel:
     def encode_atom(self, text: str) -> tuple[bytes, str]:
         """Ids, as 32-bit integers, of a text without inner breaks, and the text that they decode to."""
         if text[0] in self.known:
-            ids = [self.ids[p] for p in self._pieces(text)]
-        else:
-            ids = [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")]
+            pieces = self._pieces(text)
+            return b"".join([self.raw[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
+        ids = [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")]
         return packed(ids), self.spell(ids)
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
         """The same of white space followed by `word`, which is broken where nothing merges."""
         text, inner = SPACE + word, self.inner
+        if word.isalpha() and self.known.issuperset(word):  # as well whole, and nearly all letters do merge
+            return self.encode_atom(text)
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner]
         if not cuts:
             return self.encode_atom(text)
         got = [self.atoms[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
         return b"".join(map(FIRST, got)), "".join(map(SECOND, got))
 
+    def forget(self) -> None:
+        for kept in (self.words, self.atoms):
+            kept.clear()
+            kept.old = {}
+        self.fits.clear()
+
     def spaces(self, n: int) -> bytes:
         full, rest = divmod(n, self.run)
         return packed((self.ids[SPACE * self.run],) * full + self.rest[rest])
@@ -257,12 +273,20 @@ def tokenized(docs: DataFrame, model_path: str, text: str = "text", ids: str = "
     rows: rows handled at once, which bounds a worker's memory.  An existing column of
     either name is replaced.  An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in (ids, decoded)]
     src = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(model_path)
+        try:
+            yield from work(model, batches)
+        finally:  # a worker outlives its task; its next one may be of another stage
+            model.forget()
+            release()
+
+    def work(model, batches):
         end = packed([model.end])
         for whole in batches:
             for at in range(0, whole.num_rows, rows):

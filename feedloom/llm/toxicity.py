@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value
+from .common import by_value, release, small_batches, tidy
 
 by_value(__name__)
 
@@ -59,7 +59,7 @@ def features(word: str) -> tuple[int, ...]:
 class Known(dict):
     """Word -> its features, of all or of those in `only`; kept up to a bound."""
 
-    def __init__(self, only: dict[int, float] | None = None, most: int = 300_000):
+    def __init__(self, only: dict[int, float] | None = None, most: int = 200_000):
         super().__init__()
         self.only, self.most = only, most
 
@@ -91,6 +91,13 @@ def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> list[t
     return out
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The same rows, few at once, which bounds a worker's memory."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
+
+
 @dataclass
 class Classifier:
     """Weights by feature, and an intercept."""
@@ -113,6 +120,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
 
     The chosen labels are few by that bound, so they go to the texts, which are not shuffled.
     """
+    small_batches(docs.sparkSession)
     known_ = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), (F.col(label) > 0).cast("int").alias("y"))
     share = min(1.0, most / max(1, known_.count()))
     chosen = known_.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -123,8 +131,8 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
         return model
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Known()
-        for b in batches:
+        known = Known(most=100_000)
+        for b in parts(batches):
             sets = [np.fromiter(text_features(t, known), np.int64) for t in b["t"]]
             if sets:
                 f, back = np.unique(np.concatenate(sets), return_inverse=True)
@@ -133,7 +141,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
                 pos = np.bincount(back, y, len(f)).astype(np.int64)
                 yield pd.DataFrame({"f": f, "pos": pos, "neg": have - pos})
 
-    counts = rows.mapInPandas(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInPandas(tidy(count), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     tested = counts.withColumn("g", _g(F.col("pos"), F.col("neg"), F.lit(ones), F.lit(total - ones))).where(F.col("g") >= LEAST_G)
     kept = [r["f"] for r in tested.orderBy(F.desc("g"), "f").limit(KEPT).select("f").collect()]
     terms = {f for g in groups for t in g for f in features(t)}
@@ -142,7 +150,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
     def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Known(number)
         ids = lambda t: np.fromiter((number[f] for f in text_features(t, known)), np.int32).tobytes()
-        for b in batches:
+        for b in parts(batches):
             out = []
             for t, y in zip(b["t"], b["y"]):
                 pairs = swapped(t, groups) if t else []
@@ -150,7 +158,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
             yield pd.DataFrame(out, columns=["x", "y", "a", "b"])
 
     # texts with the same few features are one row with a number
-    used = rows.mapInPandas(use, "x binary, y int, a array<binary>, b array<binary>")
+    used = rows.mapInPandas(tidy(use), "x binary, y int, a array<binary>, b array<binary>")
     got = used.groupBy("x", "y", "a", "b").agg(F.count(F.lit(1)).alias("n")).toPandas()
     of = lambda raw: np.frombuffer(raw, np.int32)
     neutral = [f"The {t} live and work here." for g in groups for t in g]
@@ -205,5 +213,6 @@ def score(text: Column, model: Classifier) -> Column:
         for texts in batches:
             z = np.array([sum(weights[f] for f in text_features(t if isinstance(t, str) else "", known)) for t in texts]) + intercept
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        release()
 
     return run(text)
