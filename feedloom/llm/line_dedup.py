@@ -160,8 +160,9 @@ def repeated(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(doc, no): occurrences of equal lines but the first."""
     each = lines_of(docs, key, text).select("doc", F.posexplode("lines").alias("no", "line")).where(F.char_length("line") >= least)
     thin = each.select("doc", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
-    first = thin.groupBy("a", "b").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return thin.join(first, ["a", "b"]).where(~F.struct("doc", "no").eqNullSafe(F.col("first"))).select("doc", "no").distinct()
+    # written first, so that both sides of the join are dealt anew and a hot line's rows can be split
+    first = saved(thin.groupBy("a", "b").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
+    return thin.join(first, ["a", "b"]).where(~F.struct("doc", "no").eqNullSafe(F.col("first"))).select("doc", "no")
 
 
 def with_marked(docs: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
