@@ -367,7 +367,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     some = all_rows.where("node is not null")
     nodes = saved(some.groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(0)).alias("k"), "near", "set")).alias("x")).select("node", "x.near", "x.set"), "nodes")
     meets = nodes.select("node", F.explode("near").alias("h"))
-    hub = meets.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    hub = saved(meets.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "hubs")
     stars = meets.join(hub, "h").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     clusters = components(stars)
     members = clusters.join(nodes.select("node", "set"), "node").select(F.hex("label").alias("cluster"), "node", "set")
@@ -383,7 +383,8 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     thin = all_rows.select("key", "n", "node")
     # most nodes belong to no component but their own
     labelled = thin.where("node is not null").join(roots, "node", "left").select("key", "n", F.coalesce("label", "node").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("key").alias("component_id"))
+    # written first, so that a large component's rows can be split in the join
+    lowest = saved(labelled.groupBy("label").agg(F.min("key").alias("component_id")), "lowest")
     out = labelled.join(lowest, "label").select("key", "n", "component_id")
     alone = thin.where("node is null").select("key", "n", F.col("key").alias("component_id"))
     return alone.unionByName(out).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
