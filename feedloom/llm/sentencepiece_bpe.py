@@ -103,7 +103,8 @@ class PieceModel:
         self.whole = {p for p in words if self._merge(p) == [p]}
         self.auto = ahocorasick.Automaton()
         for p in self.whole:
-            self.auto.add_word(p, (len(p) - 1, p))
+            if len(p) > 1:
+                self.auto.add_word(p, (len(p) - 1, p))
         self.auto.make_automaton()
         self.shorter: dict[str, str | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -146,7 +147,7 @@ class PieceModel:
         """Pieces of a text of known characters, with no white space but at its start."""
         if text in self.whole:
             return [text]
-        longest: list[str] = [""] * len(text)
+        longest = list(text)  # every character is a piece
         for end, (back, piece) in self.auto.iter(text):
             longest[end - back] = piece  # a later end is a longer piece
         open_at = bytearray(b"\xff") * (len(text) // 8 + 1)
@@ -193,17 +194,15 @@ class PieceModel:
         text, inner = SPACE + word, self.inner
         if word.isalpha() and self.known.issuperset(word):  # as well whole, and nearly all letters do merge
             return self.encode_atom(text)
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner]
-        if not cuts:
-            return self.encode_atom(text)
-        got = [self.atoms[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        return b"".join(map(FIRST, got)), "".join(map(SECOND, got))
+        if word[:-1].isalpha() and self.known.issuperset(word) and text[-2:] not in inner:  # a mark behind a word
+            a, b = self.words[word[:-1]], self.atoms[word[-1]]
+            return a[0] + b[0], a[1] + b[1]
+        return self._broken(text)
 
     def forget(self) -> None:
         for kept in (self.words, self.atoms):
             kept.clear()
             kept.old = {}
-        self.fits.clear()
 
     def spaces(self, n: int) -> bytes:
         full, rest = divmod(n, self.run)
@@ -213,10 +212,28 @@ class PieceModel:
         """Ids, as 32-bit integers without the end id, and the text that they decode to."""
         if not text:
             return b"", ""
-        parts = text.replace(" ", SPACE).split(SPACE)  # the white space that is put in front ends an empty first part
+        if "\n" in text and "\n" not in self.known:  # nothing merges across a line's end
+            first, *lines = text.split("\n")
+            end = self.atoms["\n"][0]
+            got = [self._line(first, True)]
+            got += [self._line(x, False) for x in lines]
+            return end.join(map(FIRST, got)), "\n".join(map(SECOND, got))[1:]
+        ids, said = self._line(text, True)
+        return ids, said[1:]
+
+    def _line(self, text: str, led: bool) -> tuple[bytes, str]:
+        """Ids and text of a line; the first one has white space put in front."""
+        parts = text.replace(" ", SPACE).split(SPACE)
+        head = b"", ""
+        if not led:  # what comes before the line's first white space
+            start = parts.pop(0)
+            if start:
+                head = self.atoms[start] if start.isalpha() and self.known.issuperset(start) else self._broken(start)
+            if not parts:
+                return head
         if "" not in parts:
             got = list(map(self.words.__getitem__, parts))
-            return b"".join(map(FIRST, got)), "".join(map(SECOND, got))[1:]
+            return head[0] + b"".join(map(FIRST, got)), head[1] + "".join(map(SECOND, got))
         groups, spelt, run, lone = [], [], 0, packed([self.ids[SPACE]])
         for p in parts:
             if p:
@@ -232,7 +249,13 @@ class PieceModel:
         if run:
             groups.append(self.spaces(run))
             spelt.append(" " * run)
-        return b"".join(groups), "".join(spelt)[1:]
+        return head[0] + b"".join(groups), head[1] + "".join(spelt)
+
+    def _broken(self, text: str) -> tuple[bytes, str]:
+        """A text broken where nothing merges."""
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inner]
+        got = [self.atoms[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        return b"".join(map(FIRST, got)), "".join(map(SECOND, got))
 
     def spell(self, ids) -> str:
         """Decode ids as they are, with white space still in front."""
