@@ -165,7 +165,7 @@ def remainder(doc_id: Column, k: int) -> Column:
 class WordHash(dict):
     """Word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -47,7 +47,7 @@ def packed(ids) -> bytes:
 class Kept(dict):
     """What `make` gives for each key, in two generations of bounded size: what is asked for again stays."""
 
-    def __init__(self, make, most: int = 200_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
