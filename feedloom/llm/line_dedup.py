@@ -3,7 +3,8 @@
 A line of at least `least` characters is removed when an earlier line, of its own or another
 document, equals it or is within `edits` (default 2) insertions, deletions and substitutions.
 Lines are ordered by document id (nulls first), a hash of the text, and place.  Shorter lines
-stay: at their length two edits join lines that have nothing in common.
+take no part in the near step: at their length two edits join lines that have nothing in
+common.  Equal ones are removed from `exact` characters on; 1 leaves only empty lines.
 
 1. Equal lines meet as hashes; all but the first occurrence are marked.
 2. Every first occurrence is split into edits + 1 segments.  A line within `edits` of it holds
@@ -157,7 +158,7 @@ def doc_name(key: str, text: str) -> Column:
 
 
 def repeated(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(doc, no): occurrences of equal lines but the first."""
+    """(doc, no): occurrences of equal lines of `least` characters or more, but the first."""
     each = lines_of(docs, key, text).select("doc", F.posexplode("lines").alias("no", "line")).where(F.char_length("line") >= least)
     thin = each.select("doc", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
     # written first, so that both sides of the join are dealt anew and a hot line's rows can be split
@@ -283,21 +284,21 @@ def similar(edits: int, arrow: pa.Schema):
     return run
 
 
-def marked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def marked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, exact: int = LEAST) -> DataFrame:
     """(doc, no) of every line to remove."""
-    exact = saved(repeated(docs, key, text, least), "repeated")
-    found = candidates(with_marked(docs, exact, key, text), key, text, edits, least)
+    same = saved(repeated(docs, key, text, exact), "repeated")
+    found = candidates(with_marked(docs, same, key, text), key, text, edits, least)
     id_type = docs.schema[key].dataType.simpleString()
     arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())), ("h", pa.int64()), ("no", pa.int32())])
     near = found.groupBy("key").applyInArrow(similar(edits, arrow), f"id {id_type}, h long, no int").distinct()
     near = saved(near.select(F.struct("id", "h").alias("doc"), "no"), "similar")
-    return exact.unionByName(near)
+    return same.unionByName(near)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, exact: int = LEAST) -> DataFrame:
     """`docs` with the marked lines cut from `text`, and n_lines, n_removed."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = with_marked(docs.select(*[F.col(f"`{c}`") for c in names]), marked_lines(docs, key, text, edits, least), key, text)
+    out = with_marked(docs.select(*[F.col(f"`{c}`") for c in names]), marked_lines(docs, key, text, edits, least, exact), key, text)
     lines = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__marked"), i)), "\n")
     cut = F.when(F.col("__marked").isNull(), F.col(text)).otherwise(kept)

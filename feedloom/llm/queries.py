@@ -67,7 +67,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import deduplicated
 
-    rows = deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), exact=1)
     return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -158,6 +158,18 @@ def test_line_dedup_brute_force(spark):
         assert out[k] == "\n".join(kept), k
 
 
+def test_op3_removes_equal_short_lines(spark, sf):
+    seen, want = set(), {}
+    for k, t in sorted(documents(spark, sf)):
+        short = [line for line in (t or "").split("\n") if 0 < len(line) < line_dedup.LEAST]
+        want[k] = sum(line in seen or line in short[:i] for i, line in enumerate(short))
+        seen.update(short)
+    assert sum(want.values()) > 0
+    plain = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in Q.op3_line_dedup(spark, sf).collect()}
+    assert got == {k: plain[k] + n for k, n in want.items()}
+
+
 def test_line_dedup_of_awkward_tables(awkward, empty):
     rows = line_dedup.deduplicated(awkward).collect()
     assert len(rows) == len(AWKWARD) and {r["h"] for r in rows} == {"mine"}
