@@ -260,7 +260,7 @@ def similar(edits: int, arrow: pa.Schema):
         rows = {}
         for own, i, h, no, line in zip(*(table.column(c).to_pylist() for c in ("own", "id", "h", "no", "line"))):
             k = (i is not None, i, h, no)
-            rows[k] = rows.get(k, False) or own, line
+            rows[k] = (rows[k][0] if k in rows else False) or own, line
         order = sorted(rows, key=lambda k: (k[0], k[1] if k[0] else 0, k[2], k[3]))
         own = [rows[k][0] for k in order]
         text = [rows[k][1] for k in order]

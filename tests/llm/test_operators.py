@@ -170,6 +170,20 @@ def test_op3_removes_equal_short_lines(spark, sf):
     assert got == {k: plain[k] + n for k, n in want.items()}
 
 
+def test_line_dedup_of_lines_whose_segments_repeat():
+    import pyarrow as pa
+
+    arrow = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("no", pa.int32())])
+    lines = [("Chapter %02d " % i) + "." * (40 + i % 2) for i in range(20)]
+    # of lines that own the key, every second one also probes it; the longer ones only probe
+    rows = [(own, i, line) for i, line in enumerate(lines) for own in ((True, False) if i % 4 == 0 else (i % 2 == 0,))]
+    cols = list(zip(*rows))
+    table = pa.table({"own": pa.array(cols[0]), "id": pa.array(cols[1], pa.int64()), "h": pa.array([0] * len(rows), pa.int64()), "no": pa.array([0] * len(rows), pa.int32()), "line": pa.array(cols[2])})
+    got = line_dedup.similar(2, arrow)(None, table).column("id").to_pylist()
+    own = [i % 2 == 0 for i in range(20)]
+    assert got == [y for y in range(20) if any((own[x] or own[y]) and edit(lines[x], lines[y]) <= 2 for x in range(y))]
+
+
 def test_line_dedup_of_awkward_tables(awkward, empty):
     rows = line_dedup.deduplicated(awkward).collect()
     assert len(rows) == len(AWKWARD) and {r["h"] for r in rows} == {"mine"}
