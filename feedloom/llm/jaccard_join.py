@@ -17,7 +17,11 @@ of one document lead to nobody, so a document whose window holds only such is al
 3. Nodes that share a window shingle form clusters (components of star edges).
 4. Each cluster is joined by document pivots (`Region`); one too large for a task is first
    split into regions by rounds of distributed pivots (`split`).
-5. Links found (a spanning set of them, not all pairs) give the components.
+5. A spanning set of links gives the components.
+6. Every link is counted.  In a cluster that one task joins, all sets are measured against
+   pivots, pairs that the triangle inequality parts are passed over, and all others compared;
+   only counts leave the task.  Regions of a split cluster share members, so their links are
+   written as pairs and counted once each.
 
 Null text or one without words: an empty set, linked with nothing.
 """
@@ -284,18 +288,48 @@ class Region:
             else:
                 self.visit(x, ids[may])
 
+    def links(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Every link once: a set's number and those of the later sets, in order of size, that it is linked with."""
+        ids = np.lexsort((np.arange(len(self.n)), self.n))
+        n = self.n[ids]
+        pivots = ids[np.linspace(0, len(ids) - 1, min(self.PIVOTS, len(ids) // 16)).astype(int)]
+        every = np.arange(len(ids))
+        known = np.array([1 - (b := self.overlap(int(p), every)[ids]) / (self.n[p] + n - b) for p in pivots])
+        last = np.searchsorted(self.percent * n, 100 * n, "right")  # beyond, sets are too large
+        for i, x in enumerate(ids.tolist()):
+            may = np.arange(i + 1, last[i])
+            for d in known:
+                may = may[np.abs(d[may] - d[i]) <= self.r + 1e-9]
+            if not len(may):
+                continue
+            both = self.overlap(x, ids[may])
+            near = ids[may[100 * both >= self.percent * (self.n[x] + n[may] - both)]]
+            if len(near):
+                yield x, near
+
 
 def _joined(percent: int):
+    """For a cluster or region: a star of links a component, with null c; and the links of each set.
+
+    c rows are rows linked with u; from a region of a split cluster, v names one set linked with u and c is its rows.
+    """
+
     def run(key, table):
         nodes = table.column("node").to_pylist()
+        rows = table.column("rows").to_numpy()
         region = Region([np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()], percent)
         region.join(np.arange(len(nodes)))
-        u, v = [], []
-        for i, root in enumerate(region.label.tolist()):
-            if i != root:
-                u.append(nodes[i])
-                v.append(nodes[root])
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        star = [(nodes[i], nodes[root], None) for i, root in enumerate(region.label.tolist()) if i != root]
+        if "/" in key[0].as_py():
+            out = [(nodes[a], nodes[b], int(rows[b])) for x, ys in region.links() for y in ys.tolist() for a, b in ((x, y), (y, x))]
+        else:
+            degree = np.zeros(len(nodes), np.int64)
+            for x, ys in region.links():
+                degree[x] += rows[ys].sum()
+                degree[ys] += rows[x]
+            out = [(nodes[i], None, int(degree[i])) for i in np.flatnonzero(degree).tolist()]
+        cols = list(zip(*star, *out)) or [()] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip("uvc", cols, (pa.binary(), pa.binary(), pa.int64()))})
 
     return run
 
@@ -303,7 +337,7 @@ def _joined(percent: int):
 def split(members: DataFrame, percent: int, most: int, rounds: int = 4, pivots: int = 16) -> tuple[DataFrame, DataFrame | None]:
     """Split clusters of over `most` shingles into Voronoi regions with windows; (members, links found on the way).
 
-    members: cluster (string), node, set.  A round picks about `pivots` members of each large
+    members: cluster (string), node, set, rows.  A round picks about `pivots` members of each large
     cluster by hash, measures all against them, and deals every member to its own region and,
     by the triangle inequality, to those of possible partners.
     """
@@ -322,7 +356,7 @@ def split(members: DataFrame, percent: int, most: int, rounds: int = 4, pivots:
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for cluster, node, raw, chosen_ in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "set", "pivots"))):
+                for cluster, node, raw, rows, chosen_ in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "set", "rows", "pivots"))):
                     s = np.frombuffer(raw, np.uint64)
                     d = []
                     for p in chosen_:
@@ -331,32 +365,33 @@ def split(members: DataFrame, percent: int, most: int, rounds: int = 4, pivots:
                         union = len(s) + len(t) - both
                         d.append(1 - both / union)
                         if 100 * both >= percent * union and p["node"] != node:
-                            out.append((None, node, None, p["node"]))
+                            out.append((None, node, None, None, p["node"]))
                     own = min(d)
                     if own >= 1:
-                        out.append((f"{cluster}/far", node, raw, None))
+                        out.append((f"{cluster}/far", node, raw, rows, None))
                         continue
                     if min(d) >= 1 - r - 1e-9:
-                        out.append((f"{cluster}/far", node, raw, None))
-                    out += [(f"{cluster}/{j}", node, raw, None) for j, x in enumerate(d) if x - own <= 2 * r + 1e-9 and x < 1 or x == own]
+                        out.append((f"{cluster}/far", node, raw, rows, None))
+                    out += [(f"{cluster}/{j}", node, raw, rows, None) for j, x in enumerate(d) if x - own <= 2 * r + 1e-9 and x < 1 or x == own]
                     # a member at distance 1 of pivot j may still be near one of j's: those at 1 - r or more
-                    out += [(f"{cluster}/{j}", node, raw, None) for j, x in enumerate(d) if x >= 1 and x - own <= 2 * r + 1e-9]
-                cols = list(zip(*out)) if out else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["cluster", "node", "set", "to"])
+                    out += [(f"{cluster}/{j}", node, raw, rows, None) for j, x in enumerate(d) if x >= 1 and x - own <= 2 * r + 1e-9]
+                cols = list(zip(*out)) if out else [(), (), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["cluster", "node", "set", "rows", "to"])
 
-        dealt = members.join(chosen, "cluster").select("cluster", "node", "set", "pivots").mapInArrow(deal, "cluster string, node binary, set binary, to binary")
+        dealt = members.join(chosen, "cluster").select("cluster", "node", "set", "rows", "pivots").mapInArrow(deal, "cluster string, node binary, set binary, rows long, to binary")
         dealt = saved(dealt, "regions")
         found = dealt.where("to is not null").select(F.col("node").alias("u"), F.col("to").alias("v"))
         links = found if links is None else links.unionByName(found)
-        members = saved(tagged.where("total is null").select("cluster", "node", "set").unionByName(dealt.where("to is null").select("cluster", "node", "set").distinct()), "members")
+        members = saved(tagged.where("total is null").select("cluster", "node", "set", "rows").unionByName(dealt.where("to is null").select("cluster", "node", "set", "rows").distinct()), "members")
     return members, links
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, most: int = CLUSTER) -> DataFrame:
-    """(key, n_shingles, component_id) for every row of `docs`.
+    """(key, n_shingles, component_id, n_links) for every row of `docs`.
 
     Two rows are linked when 100 * intersection >= percent * union; component_id is the
-    smallest key that links lead to, the own one included.  most: shingles of a cluster that
+    smallest key that links lead to, the own one included; n_links is the number of
+    other rows the row is linked with, rows of an equal set included.  most: shingles of a cluster that
     one task joins.
     """
     spark = docs.sparkSession
@@ -365,26 +400,30 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     ranges = counted_shingles(docs, text, width, folder)
     all_rows = saved(_windows(docs, key, text, percent, width, folder, ranges), "windows")
     some = all_rows.where("node is not null")
-    nodes = saved(some.groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(0)).alias("k"), "near", "set")).alias("x")).select("node", "x.near", "x.set"), "nodes")
+    nodes = saved(some.groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(0)).alias("k"), "near", "set")).alias("x"), F.count(F.lit(1)).alias("rows")).select("node", "x.near", "x.set", "rows"), "nodes")
     meets = nodes.select("node", F.explode("near").alias("h"))
     hub = saved(meets.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "hubs")
     stars = meets.join(hub, "h").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     clusters = components(stars)
-    members = clusters.join(nodes.select("node", "set"), "node").select(F.hex("label").alias("cluster"), "node", "set")
+    members = clusters.join(nodes.select("node", "set", "rows"), "node").select(F.hex("label").alias("cluster"), "node", "set", "rows")
     members, early = split(saved(members, "members"), percent, most)
-    links = members.groupBy("cluster").applyInArrow(_joined(percent), "u binary, v binary")
+    found = saved(members.groupBy("cluster").applyInArrow(_joined(percent), "u binary, v binary, c long"), "links")
+    links = found.where("c is null").select("u", "v")
     if early is not None:
-        links = links.unionByName(early)
-        roots = components(links)
+        roots = components(links.unionByName(early))
     else:  # each is a star already
-        links = saved(links, "links")
         roots = links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    # a pivot is dealt like any member, so links found early are among the regions' too
+    counts = found.where("c is not null and v is null").select("u", "c").unionByName(found.where("c is not null and v is not null").distinct().select("u", "c"))
+    own = nodes.where("rows > 1").select(F.col("node").alias("u"), (F.col("rows") - 1).alias("c"))
+    degrees = saved(counts.unionByName(own).groupBy(F.col("u").alias("node")).agg(F.sum("c").alias("n_links")), "degrees")
     roots = saved(roots, "roots")
     thin = all_rows.select("key", "n", "node")
+    roots = degrees.join(roots, "node", "full").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # most nodes belong to no component but their own
-    labelled = thin.where("node is not null").join(roots, "node", "left").select("key", "n", F.coalesce("label", "node").alias("label"))
+    labelled = thin.where("node is not null").join(roots, "node", "left").select("key", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # written first, so that a large component's rows can be split in the join
     lowest = saved(labelled.groupBy("label").agg(F.min("key").alias("component_id")), "lowest")
-    out = labelled.join(lowest, "label").select("key", "n", "component_id")
-    alone = thin.where("node is null").select("key", "n", F.col("key").alias("component_id"))
-    return alone.unionByName(out).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    out = labelled.join(lowest, "label").select("key", "n", "component_id", "n_links")
+    alone = thin.where("node is null").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return alone.unionByName(out).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")

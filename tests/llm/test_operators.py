@@ -369,6 +369,25 @@ def test_jaccard_join_of_awkward_tables(awkward, empty):
     assert jaccard_join.joined(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [2500, jaccard_join.CLUSTER])
+def test_jaccard_counts_every_link(spark, most):
+    rng = random.Random(8)
+    texts = []
+    for g in range(3):
+        words = [f"w{g}x{i}" for i in range(60)]
+        for _ in range(50):
+            t = list(words)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+            texts += [" ".join(t)] * rng.choice([1, 1, 1, 2])
+    texts += ["", None, "alone here"]
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(bool(a) and i != j and 4 * len(a & b) >= 3 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.joined(docs, most=most).collect()}
+    assert got == want and max(want.values()) > 20
+
+
 # ---------------------------------------------------------------- 8 SentencePiece
 
 
