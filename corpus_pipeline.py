@@ -41,11 +41,15 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.joined(docs.select("doc_id", "text"))
-    later = groups.where("not doc_id <=> component_id").select("doc_id").distinct()
-    gone = saved(later, "later")
-    named = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(named, "doc_id", "left_anti").select(COLUMNS)
+    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    groups = saved(jaccard_join.joined(rows.select("__row", "text"), "__row").where("n_links > 0").select("__row", "component_id"), "groups")
+    named = groups.join(rows.select("__row", F.struct("doc_id", F.xxhash64("text").alias("h"), "__row").alias("name")), "__row")
+    # null ids come last, as they cannot be ordered among the others
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("name.doc_id").isNull().alias("none"), "name")).alias("first"))
+    stay = saved(first.select(F.col("first.name.__row").alias("__row")), "stay")
+    gone = saved(groups.select("__row").join(stay, "__row", "left_anti"), "later")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(gone, "__row", "left_anti").select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,11 @@ def test_empty_table(spark, sf):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_near_duplicates_of_rows_that_share_ids(spark, sf):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (1, one), (2, two), (2, one), (None, three), (None, three), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, sf).collect()]
+    assert sorted(out, key=str) == sorted([(1, one), (2, two), (None, three), (7, None), (7, None)], key=str)
