@@ -451,7 +451,7 @@ def test_weak_supervision_adds_spans(spark, awkward, empty):
 def test_salvage():
     records = [warc.page_record(i, f"http://x/{i}", bytes([65 + i]) * (500 + i), None) for i in range(8)]
     members = [warc.member(r) for r in records]
-    read = lambda data: [(k, o, n, (h or {}).get("feedloom-key")) for k, o, n, h, _ in warc.salvage(io.BytesIO(data))]
+    read = lambda data: [(k, o, n, (h or {}).get("feedloom-key")) for k, o, n, h, *_ in warc.salvage(io.BytesIO(data))]
     whole = b"".join(members)
     assert [x[3] for x in read(whole)] == [str(i) for i in range(8)]
     assert [x[3] for x in read(b"".join(records))] == [str(i) for i in range(8)]
@@ -480,3 +480,65 @@ def test_warc_round_trip(spark, tmp_path):
         again = k % 3 == 0 and 0 < k < 30
         assert (got[k]["record_type"], got[k]["refers_to"]) == (("revisit", 0) if again else ("response", None))
         assert got[k]["payload_digest"] == sha(h or "") and got[k]["payload_bytes"] == len(h or "")
+
+
+def test_salvage_checks_standard_digests(tmp_path):
+    import base64
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    body = b"<html>" + b"A" * 3000
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    kind = ("Content-Type", "application/http; msgtype=response")
+    sound = [
+        warc.record("response", [kind, ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(body).hexdigest())], http + body),
+        warc.record("response", [kind, ("WARC-Payload-Digest", sha1(body))], http + body),
+        warc.record("response", [kind, ("WARC-Block-Digest", sha1(http + body)), ("WARC-Payload-Digest", "xyz:unknown")], http + body),
+        warc.record("resource", [("Content-Type", "text/html"), ("WARC-Payload-Digest", sha1(body)), ("X-Folded", "a\r\n b")], body),
+    ]
+    for r in sound:
+        for wrap in (warc.member, bytes):
+            ((kind_, _, n, head, block, file, size, at),) = warc.salvage(io.BytesIO(wrap(r)))
+            assert kind_ == "record" and block[at:] == body and size == len(block) and file is None and n == len(wrap(r))
+            hurt = r.replace(b"AAA", b"AAB", 1)
+            (gap,) = warc.salvage(io.BytesIO(wrap(hurt)))
+            assert gap[0] == "gap" and gap[3] == {"reason": "digest"}
+        # a block of any size goes to a file beyond `inline`, and a damaged one leaves none
+        *_, block, file, size, at = next(warc.salvage(io.BytesIO(warc.member(r)), 100, str(tmp_path)))
+        assert block is None and open(file, "rb").read()[at:] == body
+    assert head["x-folded"] == "a b"
+    before = len(list(tmp_path.iterdir()))
+    assert next(warc.salvage(io.BytesIO(sound[0].replace(b"AAA", b"AAB", 1)), 100, str(tmp_path)))[0] == "gap"
+    assert len(list(tmp_path.iterdir())) == before
+    assert warc.target_uri({k.lower(): v for k, v in warc.written_uri(" a%0A\r\nb")}) == " a%0A\r\nb"
+
+
+def test_salvage_of_random_damage():
+    rng = random.Random(6)
+    records = [warc.page_record(i, f"http://x/{i}", rng.randbytes(rng.randint(0, 3000)), None) for i in range(40)]
+    for pack in (warc.member, bytes):
+        parts = [pack(r) for r in records]
+        at = [sum(map(len, parts[:i])) for i in range(41)]
+        for _ in range(60):
+            data = bytearray(b"".join(parts))
+            hit = set()
+            for _ in range(3):
+                i = rng.randrange(len(data))
+                data[i] ^= rng.randrange(1, 256)
+                hit.add(next(k for k in range(40) if at[k] <= i < at[k + 1]))
+            got = list(warc.salvage(io.BytesIO(bytes(data))))
+            keys = [h["feedloom-key"] for k, _, _, h, *_ in got if k == "record" and "feedloom-key" in h]
+            assert set(map(str, set(range(40)) - hit)) <= set(keys)
+            assert [g[1] for g in got] == sorted(g[1] for g in got) and sum(g[2] for g in got) == len(data)
+
+
+def test_warc_of_awkward_tables(spark):
+    same_, other = "same " * 40, "other " * 40
+    rows = [(1, same_), (1, other), (3, same_), (3, "unique " * 40), (3, same_), (None, same_), (None, None), (5, None), (5, "tiny"), (6, other)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    for c in ("url", "k", "d", "p", "u", "first", "refers_to", "path", "block"):
+        pages = pages.withColumn(c, F.lit("mine"))
+    got = warc.round_trip(pages).select(F.element_at("headers", "feedloom-key").alias("k"), "type", F.element_at("headers", "feedloom-refers-to-key").alias("r"), warc.payload_of().cast("string").alias("p")).collect()
+    want = [("1", "response", None, same_), ("1", "response", None, other), ("3", "revisit", "1", ""), ("3", "revisit", "1", ""), ("3", "response", None, "unique " * 40)]
+    want += [(None, "response", None, same_), (None, "response", None, ""), ("5", "response", None, ""), ("5", "response", None, "tiny"), ("6", "revisit", "1", "")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert warc.round_trip(pages.where("false")).count() == 0
