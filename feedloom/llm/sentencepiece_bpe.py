@@ -12,6 +12,11 @@ White space (U+2581 after normalisation) only ever starts a piece, so a text is
 before each word and every distinct word is encoded once per worker.  Runs of white
 space are pieces of their own with the lowest score; they merge last, from the left.
 
+Decoding reads nothing but ids: each stands for some bytes in one table, and the text of many
+rows is gathered from it at once.  Ids of single bytes are joined; what they spell that is no
+UTF-8 becomes U+FFFD, one a byte, and the white space in front of a text goes, both as the library
+has it.
+
 Results: a null text counts as empty and gives the end id alone; very long words cost
 linear time; repeated rows and extra columns pass through unchanged.
 """
@@ -21,7 +26,6 @@ from __future__ import annotations
 import sys
 from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,7 @@ from .common import by_value, release, small_batches
 by_value(__name__)
 
 SPACE = "▁"
-NORMAL, CONTROL, USER, UNUSED, BYTE = 1, 3, 4, 5, 6
-
-
-FIRST, SECOND = itemgetter(0), itemgetter(1)
+NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 
 
 def packed(ids) -> bytes:
@@ -82,15 +83,27 @@ class PieceModel:
         self.byte_id: dict[int, int] = {}
         self.text_of: list[str | int] = []
         self.end = 2
+        led = []
         for i, p in enumerate(proto.pieces):
             self.text_of.append("")
+            led.append(p.piece.startswith(SPACE))
             if p.type in (NORMAL, USER, UNUSED):
                 self.ids[p.piece], self.score[p.piece], self.text_of[i] = i, p.score, p.piece
             elif p.type == BYTE:
                 self.byte_id[int(p.piece[3:5], 16)] = i
                 self.text_of[i] = int(p.piece[3:5], 16)
-            elif p.piece == "</s>":
+            elif p.piece == proto.trainer_spec.eos_piece:
                 self.end = i
+            elif p.type == UNKNOWN:
+                self.text_of[i] = proto.trainer_spec.unk_surface
+        # for decoding: the bytes of every id, one after the other
+        spelt = [bytes([t]) if isinstance(t, int) else t.replace(SPACE, " ").encode() for t in self.text_of]
+        self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+        self.size_of = np.array([len(b) for b in spelt], np.int32)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
+        self.led = np.array(led)
+        #: Ids of single bytes, and those of no text; what stands between bytes parts them.
+        self.is_byte, self.is_empty = np.array([isinstance(t, int) for t in self.text_of]), self.size_of == 0
         self.run = max(len(p) for p in self.ids if not p.strip(SPACE))
         self.rest = [tuple(self.ids[p] for p in self._merge(SPACE * n)) for n in range(self.run)]
         if any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids):
@@ -181,22 +194,19 @@ class PieceModel:
                 piece = short
         return out
 
-    def encode_atom(self, text: str) -> tuple[bytes, str]:
-        """Ids, as 32-bit integers, of a text without inner breaks, and the text that they decode to."""
+    def encode_atom(self, text: str) -> bytes:
+        """Ids, as 32-bit integers, of a text without inner breaks."""
         if text[0] in self.known:
-            pieces = self._pieces(text)
-            return b"".join([self.raw[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
-        ids = [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")]
-        return packed(ids), self.spell(ids)
+            return b"".join([self.raw[p] for p in self._pieces(text)])
+        return packed([self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")])
 
-    def encode_word(self, word: str) -> tuple[bytes, str]:
+    def encode_word(self, word: str) -> bytes:
         """The same of white space followed by `word`, which is broken where nothing merges."""
         text, inner = SPACE + word, self.inner
         if word.isalpha() and self.known.issuperset(word):  # as well whole, and nearly all letters do merge
             return self.encode_atom(text)
         if word[:-1].isalpha() and self.known.issuperset(word) and text[-2:] not in inner:  # a mark behind a word
-            a, b = self.words[word[:-1]], self.atoms[word[-1]]
-            return a[0] + b[0], a[1] + b[1]
+            return self.words[word[:-1]] + self.atoms[word[-1]]
         return self._broken(text)
 
     def forget(self) -> None:
@@ -208,23 +218,19 @@ class PieceModel:
         full, rest = divmod(n, self.run)
         return packed((self.ids[SPACE * self.run],) * full + self.rest[rest])
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids, as 32-bit integers without the end id, and the text that they decode to."""
+    def encode(self, text: str) -> bytes:
+        """Ids, as 32-bit integers without the end id."""
         if not text:
-            return b"", ""
+            return b""
         if "\n" in text and "\n" not in self.known:  # nothing merges across a line's end
             first, *lines = text.split("\n")
-            end = self.atoms["\n"][0]
-            got = [self._line(first, True)]
-            got += [self._line(x, False) for x in lines]
-            return end.join(map(FIRST, got)), "\n".join(map(SECOND, got))[1:]
-        ids, said = self._line(text, True)
-        return ids, said[1:]
-
-    def _line(self, text: str, led: bool) -> tuple[bytes, str]:
-        """Ids and text of a line; the first one has white space put in front."""
+            return self.atoms["\n"].join([self._line(first, True), *[self._line(x, False) for x in lines]])
+        return self._line(text, True)
+
+    def _line(self, text: str, led: bool) -> bytes:
+        """Ids of a line; the first one has white space put in front."""
         parts = text.replace(" ", SPACE).split(SPACE)
-        head = b"", ""
+        head = b""
         if not led:  # what comes before the line's first white space
             start = parts.pop(0)
             if start:
@@ -232,53 +238,95 @@ class PieceModel:
             if not parts:
                 return head
         if "" not in parts:
-            got = list(map(self.words.__getitem__, parts))
-            return head[0] + b"".join(map(FIRST, got)), head[1] + "".join(map(SECOND, got))
-        groups, spelt, run, lone = [], [], 0, packed([self.ids[SPACE]])
+            return head + b"".join(map(self.words.__getitem__, parts))
+        groups, run, lone = [head], 0, packed([self.ids[SPACE]])
         for p in parts:
             if p:
-                ids, said = self.words[p]
+                ids = self.words[p]
                 if run and ids.startswith(lone):
                     groups.append(self.spaces(run + 1) + ids[4:])
                 else:
                     groups.append(self.spaces(run) + ids)
-                spelt.append(" " * run + said)
                 run = 0
             else:
                 run += 1
         if run:
             groups.append(self.spaces(run))
-            spelt.append(" " * run)
-        return head[0] + b"".join(groups), head[1] + "".join(spelt)
+        return b"".join(groups)
 
-    def _broken(self, text: str) -> tuple[bytes, str]:
+    def _broken(self, text: str) -> bytes:
         """A text broken where nothing merges."""
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inner]
-        got = [self.atoms[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        return b"".join(map(FIRST, got)), "".join(map(SECOND, got))
+        return b"".join([self.atoms[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
+
+    def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of rows of ids; a row's ids end before ends[i], where the next one's begin."""
+        size = self.size_of[ids]
+        to = np.cumsum(size, dtype=np.int64)
+        total = int(to[-1]) if len(to) else 0
+        pick = np.repeat(self.start_of[ids] - (to - size), size)
+        pick += np.arange(total)
+        raw = self.flat[pick]
+        before = np.concatenate(([0], to))
+        stop = before[ends]
+        start = np.concatenate(([0], stop[:-1]))
+        # the white space before a row's first piece goes
+        first = np.searchsorted(to, start, "right")
+        some = np.flatnonzero(stop > start)
+        lead = start[some[self.led[ids[first[some]]]]]
+        if len(lead):
+            raw = np.delete(raw, lead)
+        gone = np.zeros(len(stop) + 1, np.int64)
+        gone[1:] = np.searchsorted(lead, stop, "left")
+        at = np.concatenate(([0], stop)) - gone
+        texts = pa.StringArray.from_buffers(len(ends), pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes()))
+        spelt = self.is_byte[ids]
+        if not spelt.any():
+            return texts
+        # rows with single bytes: sound if they are UTF-8 and nothing but text stands among them
+        row = np.searchsorted(ends, np.flatnonzero(spelt), "right")
+        wrong = {}
+        for i in np.unique(row).tolist():
+            own = ids[(ends[i - 1] if i else 0) : ends[i]]
+            try:
+                raw[at[i] : at[i + 1]].tobytes().decode("utf-8")
+                if not self.is_empty[own[:-1]].any():
+                    continue
+            except UnicodeDecodeError:
+                pass
+            wrong[i] = self.decode(own.tolist())
+        return pa.array([wrong[i] if i in wrong else texts[i].as_py() for i in range(len(texts))], pa.string()) if wrong else texts
 
-    def spell(self, ids) -> str:
-        """Decode ids as they are, with white space still in front."""
-        if all(type(self.text_of[i]) is str for i in ids):
-            return "".join([self.text_of[i] for i in ids]).replace(SPACE, " ")
+    def decode(self, ids) -> str:
+        """The text of some ids, one by one."""
         out: list[str] = []
         raw = bytearray()
-        for i in ids:
-            t = self.text_of[i]
+        for i in (*ids, -1):
+            t = self.text_of[i] if i >= 0 else ""
             if isinstance(t, int):
                 raw.append(t)
                 continue
             if raw:
-                out.append(raw.decode("utf-8", "replace"))
+                out.append(loose(bytes(raw)))
                 raw.clear()
-            out.append(t)
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")
+            if t:
+                said = t.replace(SPACE, " ")
+                out.append(said[1:] if not out and self.led[i] else said)
+        return "".join(out)
 
-    def decode(self, ids) -> str:
-        said = self.spell(ids)
-        return said[1:] if said.startswith(" ") else said
+
+def loose(raw: bytes) -> str:
+    """Bytes as UTF-8, with U+FFFD for each byte that belongs to no character."""
+    out, i = [], 0
+    while i < len(raw):
+        n = 1 if raw[i] < 0x80 else 2 if raw[i] < 0xE0 else 3 if raw[i] < 0xF0 else 4
+        try:
+            out.append(raw[i : i + n].decode("utf-8"))
+            i += n
+        except UnicodeDecodeError:
+            out.append("\ufffd")
+            i += 1
+    return "".join(out)
 
 
 def _loaded(path: str) -> PieceModel:
@@ -289,11 +337,15 @@ def _loaded(path: str) -> PieceModel:
     return kept[path]
 
 
+#: Ids that are decoded at once.
+PART = 400_000
+
+
 def tokenized(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", rows: int = 500) -> DataFrame:
-    """Add `ids` (array<int>, ended by the end id) and `decoded` (string) to every row of `docs`.
+    """Add `ids` (array<int>, ended by the end id) and `decoded` (string; decoded from them) to every row of `docs`.
 
     model_path: a model file that every executor has, as installed tokenizers are.
-    rows: rows handled at once, which bounds a worker's memory.  An existing column of
+    rows: rows handled at once, which with PART bounds a worker's memory.  An existing column of
     either name is replaced.  An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
@@ -301,28 +353,58 @@ def tokenized(docs: DataFrame, model_path: str, text: str = "text", ids: str = "
     src = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     names = [f.name for f in kept]
 
+    def work(model, batches):
+        end = packed([model.end])
+
+        def answer(batch, flat, ends):
+            values = np.frombuffer(b"".join(flat), np.int32)
+            got = pa.ListArray.from_arrays(pa.array(np.array([0, *ends], np.int32)), pa.array(values))
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], got, model.decode_rows(values, np.array(ends, np.int64))], names=[*names, ids, decoded])
+
+        for batch in batches:
+            flat, ends, start, n = [], [], 0, 0
+            for i in range(batch.num_rows):
+                got = model.encode(batch.column(len(names))[i].as_py())
+                flat += (got, end)
+                n += len(got) // 4 + 1
+                ends.append(n)
+                if n > PART or len(ends) == rows:
+                    yield answer(batch.slice(start, len(ends)), flat, ends)
+                    flat, ends, start, n = [], [], i + 1, 0
+            if ends:
+                yield answer(batch.slice(start), flat, ends)
+
+    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    return src.mapInArrow(_with_model(model_path, work), schema)
+
+
+def decoded_ids(rows: DataFrame, model_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add `decoded`, the text of `ids` (array<int>; null: empty, and null ids in it have no text), to every row."""
+    small_batches(rows.sparkSession)
+    kept = [f for f in rows.schema.fields if f.name != decoded]
+    none = F.array().cast("array<int>")
+    src = rows.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.filter(F.col(f"`{ids}`"), lambda i: i.isNotNull()), none).alias("__ids"))
+
+    def work(model, batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                lists = batch.column(len(kept))
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], model.decode_rows(flat, ends)], names=[*(f.name for f in kept), decoded])
+
+    schema = T.StructType([*kept, T.StructField(decoded, T.StringType())])
+    return src.mapInArrow(_with_model(model_path, work), schema)
+
+
+def _with_model(path: str, work):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(model_path)
+        model = _loaded(path)
         try:
             yield from work(model, batches)
         finally:  # a worker outlives its task; its next one may be of another stage
             model.forget()
             release()
 
-    def work(model, batches):
-        end = packed([model.end])
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                flat, ends, said = [], [0], []
-                for t in batch.column(len(names)).to_pylist():
-                    got, spelt = model.encode(t)
-                    flat += (got, end)
-                    ends.append(ends[-1] + len(got) // 4 + 1)
-                    said.append(spelt)
-                values = pa.array(np.frombuffer(b"".join(flat), np.int32))
-                got = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got, pa.array(said, pa.string())], names=[*names, ids, decoded])
-
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
-    return src.mapInArrow(run, schema)
+    return run

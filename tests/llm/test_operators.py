@@ -401,16 +401,43 @@ def test_encoding_equals_the_library(spark, sf, awkward, empty):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += [" " * k + s for k in range(40) for s in ("", "a", "😀", "the ")] + ["".join(rng.choice(list(model.ids)) for _ in range(rng.randint(1, 10))) for _ in range(3000)]
     texts += [t for _, t in documents(spark, sf)]
+    flat, ends = [], []
     for t in texts:
-        raw, said = model.encode(t)
-        ids = np.frombuffer(raw, np.int32).tolist()
+        ids = np.frombuffer(model.encode(t), np.int32).tolist()
         assert ids == sp.encode(t), t
-        assert said == sp.decode(ids + [2]) == model.decode(ids), t
+        flat += [*ids, 2]
+        ends.append(len(flat))
+    said = model.decode_rows(np.array(flat, np.int32), np.array(ends)).to_pylist()
+    for a, b, got in zip([0, *ends], ends, said):
+        assert got == sp.decode(flat[a:b]) == model.decode(flat[a:b])
+    # any ids: bytes that spell no character, control ids, white space in front
+    some = [*model.byte_id.values()] * 3 + [model.byte_id[x] for x in "é中😀".encode()] * 40 + [0, 1, 2, *rng.sample(range(3, 32000), 60)]
+    lists = [[rng.choice(some) for _ in range(rng.randint(0, 12))] for _ in range(5000)]
+    ends = np.cumsum([len(x) for x in lists])
+    assert model.decode_rows(np.array(sum(lists, []), np.int32), ends).to_pylist() == [sp.decode(x) for x in lists]
     rows = sentencepiece_bpe.tokenized(awkward, Q.piece_model()).collect()
     assert len(rows) == len(AWKWARD) and all(r["ids"][-1] == 2 for r in rows) and rows[0]["ids"] == [2] and rows[0]["h"] == "mine"
     assert sentencepiece_bpe.tokenized(empty, Q.piece_model()).count() == 0
 
 
+def test_op8_equals_the_library_and_decodes_its_ids(spark, sf):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=Q.piece_model())
+    want = {}
+    for k, t in documents(spark, sf):
+        ids = [*sp.encode(t or ""), 2]
+        want[k] = (len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids)))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in Q.op8_sentencepiece(spark, sf).collect()}
+    assert got == want
+    # another id gives another text
+    rows = sentencepiece_bpe.tokenized(spark.createDataFrame([(1, "the quick fox"), (2, None)], "i int, text string"), Q.piece_model())
+    changed = rows.withColumn("ids", F.transform("ids", lambda x, i: F.when(i == 1, 1000).otherwise(x)))
+    got = {r["i"]: r["decoded"] for r in sentencepiece_bpe.decoded_ids(changed, Q.piece_model()).collect()}
+    same_ = {r["i"]: r["decoded"] for r in sentencepiece_bpe.decoded_ids(rows, Q.piece_model()).collect()}
+    assert same_ == {1: "the quick fox", 2: ""} and got[1] != same_[1] and got[1] == sp.decode(changed.where("i = 1").first()["ids"])
+
+
 # ---------------------------------------------------------------- 9 PII
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
