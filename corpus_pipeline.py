@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each is written as Parquet and read again by the next.
 
 toxicity: documents whose score reaches 0.7 go.  line dedup: repeated and nearly repeated lines
-are cut; a document that loses every line goes.  n-gram Jaccard join: the document with the
+are cut; a document that loses lines and has none but blank ones left goes.  n-gram Jaccard join: the document with the
 smallest id of each group stays.  benchmark decontamination: contaminated documents go.
 SentencePiece: every document left is encoded and decoded.
 """
@@ -36,7 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicated(docs).where("n_removed < n_lines or n_removed = 0")
+    out = line_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 

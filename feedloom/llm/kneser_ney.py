@@ -60,13 +60,12 @@ def unpack(b: bytes) -> np.ndarray:
 
 def blocks(values: np.ndarray, counts: np.ndarray, of: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Sorted values with counts, cut where the range `of` them changes."""
-    cuts = np.searchsorted(of, np.arange(ranges + 1))
+    there, starts = np.unique(of, return_index=True)  # the ranges that have values
     rows = []
-    for r in range(ranges):
-        v, c = values[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]]
-        if len(v):
-            more = c > 1
-            rows.append((r, pack(v[~more]), pack(v[more]), c[more].astype(np.uint32).tobytes()))
+    for r, a, b in zip(there.tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)]):
+        v, c = values[a:b], counts[a:b]
+        more = c > 1
+        rows.append((r, pack(v[~more]), pack(v[more]), c[more].astype(np.uint32).tobytes()))
     cols = list(zip(*rows)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["range", "once", "more", "counts"])
 

@@ -1,10 +1,10 @@
 """Line deduplication by a segment-partition edit join.
 
-A line of at least `least` characters is removed when an earlier line, of its own or another
-document, equals it or is within `edits` (default 2) insertions, deletions and substitutions.
+A line is removed when an earlier line, of its own or another document, equals it, or, from
+`least` characters on, is within `edits` (default 2) insertions, deletions and substitutions.
 Lines are ordered by document id (nulls first), a hash of the text, and place.  Shorter lines
 take no part in the near step: at their length two edits join lines that have nothing in
-common.  Equal ones are removed from `exact` characters on; 1 leaves only empty lines.
+common.  Empty lines stay; equal ones go from `exact` characters on, by default all.
 
 1. Equal lines meet as hashes; all but the first occurrence are marked.
 2. Every first occurrence is split into edits + 1 segments.  A line within `edits` of it holds
@@ -15,11 +15,15 @@ common.  Equal ones are removed from `exact` characters on; 1 leaves only empty
 3. Only keys that two or more lines have are emitted with their lines, and grouped.  In a
    group, indexed lines meet probing ones: those whose character counts are too far apart are
    passed over by array arithmetic, the others are verified by the banded bit-parallel edit
-   distance.  Groups return marked lines, never pairs.
+   distance.  Groups return marked lines, never pairs.  The lines of a key that more than
+   `group` lines have are dealt to blocks by a hash, and every two blocks meet in a task of
+   their own, so the largest task holds two blocks, however hot the key.
 4. The marked lines are cut from the texts.
 
 Null text: no lines.  A document that loses all its lines keeps an empty text.  Rows equal in
-id and text count as one document, and so keep or lose the same lines.
+id and text count as one document, and so keep or lose the same lines.  The id may have any
+type that Spark orders and Arrow carries.  Other columns pass through; of n_lines and n_removed
+the operator's own replace them.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import by_value, saved, shared_dir, small_batches, tidy, write_shared
 from .jaccard_join import COUNTED, RANGE, Shared
@@ -40,6 +45,8 @@ from .kneser_ney import blocks, merged
 by_value(__name__)
 
 EDITS, LEAST = 2, 30
+#: Lines of a key that one task compares with each other.
+GROUP = 4096
 #: Estimated bytes of marked lines up to which they are broadcast; beyond, a shuffle join.
 BROADCAST_BYTES = 24 << 20
 BLOCK = 2_000_000
@@ -176,8 +183,11 @@ def with_marked(docs: DataFrame, marked: DataFrame, key: str, text: str) -> Data
     return docs.join(by_doc, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left").drop("__id", "__h")
 
 
-def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int) -> DataFrame:
-    """(key, own, id, h, no, line): lines that share a key with another; `rest` as from with_marked."""
+def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int, group: int) -> DataFrame:
+    """(key, pair, block, own, id, h, no, line): lines that share a key with another; `rest` as from with_marked.
+
+    pair: the two blocks that meet, of a key that has some; block: the line's own one.
+    """
     spark = rest.sparkSession
     small_batches(spark)
     folder = shared_dir(spark, "segments")
@@ -220,29 +230,44 @@ def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int) ->
         return pa.table({"range": pa.array([r], pa.int32()), "n": pa.array([int(keep.sum())], pa.int64())})
 
     rows.mapInArrow(tidy(count), "range int, once binary, more binary, counts binary").groupBy("range").applyInArrow(merge, "range int, n long").write.parquet(f"{folder}/ranges")
-    id_type = rest.schema[key].dataType.simpleString()
-    schema = f"key long, own boolean, id {id_type}, h long, no int, line string"
-    arrow = pa.schema([("key", pa.int64()), ("own", pa.bool_()), ("id", {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())), ("h", pa.int64()), ("no", pa.int32()), ("line", pa.string())])
+    id_type = rest.schema[key].dataType
+    schema = f"key long, pair string, block int, own boolean, id {id_type.simpleString()}, h long, no int, line string"
+    arrow = pa.schema([("key", pa.int64()), ("pair", pa.string()), ("block", pa.int32()), ("own", pa.bool_()), ("id", to_arrow_type(id_type)), ("h", pa.int64()), ("no", pa.int32()), ("line", pa.string())])
 
     def emit(batches):
         keys, shared = Keys(edits), Shared(folder, ranges)
 
         def answer(held):
             flat = [(k, o, x) for x in held for o, ks in zip((True, False), keys.of(x[3])) for k in dict.fromkeys(ks)]
-            hit = np.flatnonzero(shared.counts(np.array([f[0] for f in flat], np.uint64)) > 1)
-            out = [(np.uint64(flat[i][0]).astype(np.int64).item(), flat[i][1], *flat[i][2]) for i in hit.tolist()]
-            cols = list(zip(*out)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            keyed = np.array([f[0] for f in flat], np.uint64)
+            n = shared.counts(keyed)
+            out: list[tuple] = []
+            for i in np.flatnonzero(n > 1).tolist():
+                k, o, x = flat[i]
+                signed, blocks_ = k - (1 << 64) if k >> 63 else k, -(-int(n[i]) // group)
+                if blocks_ == 1:
+                    out.append((signed, "", 0, o, *x))
+                    continue
+                own = xxhash.xxh3_64_intdigest(x[3].encode("utf-8", "surrogatepass")) % blocks_
+                out += [(signed, f"{min(own, j)}-{max(own, j)}", own, o, *x) for j in range(blocks_)]
+                if len(out) > 50_000:
+                    yield pack(out)
+                    out = []
+            if out:
+                yield pack(out)
+
+        def pack(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
         held = []
         for batch in batches:
             for x in lines(batch):
                 held.append(x)
                 if len(held) >= 8_000:
-                    yield answer(held)
+                    yield from answer(held)
                     held = []
         if held:
-            yield answer(held)
+            yield from answer(held)
 
     return rows.mapInArrow(tidy(emit), schema)
 
@@ -254,51 +279,53 @@ def counts_of(line: str) -> np.ndarray:
 
 
 def similar(edits: int, arrow: pa.Schema):
-    """For a group: the lines that have an earlier one within `edits`."""
+    """For a group: the lines that have an earlier one within `edits`.  Where two blocks meet, only lines of unlike blocks are compared."""
 
     def run(key, table):
         rows = {}
-        for own, i, h, no, line in zip(*(table.column(c).to_pylist() for c in ("own", "id", "h", "no", "line"))):
+        for block, own, i, h, no, line in zip(*(table.column(c).to_pylist() for c in ("block", "own", "id", "h", "no", "line"))):
             k = (i is not None, i, h, no)
-            rows[k] = (rows[k][0] if k in rows else False) or own, line
+            rows[k] = (rows[k][0] if k in rows else False) or own, line, block
         order = sorted(rows, key=lambda k: (k[0], k[1] if k[0] else 0, k[2], k[3]))
-        own = [rows[k][0] for k in order]
+        own = np.array([rows[k][0] for k in order])
+        block = np.array([rows[k][2] for k in order])
         text = [rows[k][1] for k in order]
-        gone: set[int] = set()
-        if len(order) > 12:
-            table_ = np.stack([counts_of(t) for t in text])
-            is_own = np.array(own)
-            for y in range(1, len(order)):
-                may = np.abs(table_[:y] - table_[y]).sum(1) <= 2 * edits
-                if not own[y]:
-                    may &= is_own[:y]
-                if any(text[x] != text[y] and within(text[x], text[y], edits) for x in np.flatnonzero(may).tolist()):
-                    gone.add(y)
-        else:
-            for y in range(1, len(order)):
-                if any((own[x] or own[y]) and text[x] != text[y] and within(text[x], text[y], edits) for x in range(y)):
-                    gone.add(y)
-        some = [order[y] for y in sorted(gone)]
+        apart = len(set(block.tolist())) > 1
+        gone: list[int] = []
+        counts = np.stack([counts_of(t) for t in text]) if len(order) > 12 else None
+        for y in range(1, len(order)):
+            may = np.ones(y, bool) if own[y] else own[:y].copy()
+            if apart:
+                may &= block[:y] != block[y]
+            if counts is not None:
+                may[may] = np.abs(counts[:y][may] - counts[y]).sum(1) <= 2 * edits
+            if any(text[x] != text[y] and within(text[x], text[y], edits) for x in np.flatnonzero(may).tolist()):
+                gone.append(y)
+        some = [order[y] for y in gone]
         return pa.Table.from_arrays([pa.array([s[j] for s in some], f.type) for j, f in zip((1, 2, 3), arrow)], schema=arrow)
 
     return run
 
 
-def marked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, exact: int = LEAST) -> DataFrame:
+def marked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, exact: int = 1, group: int = GROUP) -> DataFrame:
     """(doc, no) of every line to remove."""
     same = saved(repeated(docs, key, text, exact), "repeated")
-    found = candidates(with_marked(docs, same, key, text), key, text, edits, least)
-    id_type = docs.schema[key].dataType.simpleString()
-    arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())), ("h", pa.int64()), ("no", pa.int32())])
-    near = found.groupBy("key").applyInArrow(similar(edits, arrow), f"id {id_type}, h long, no int").distinct()
+    found = candidates(with_marked(docs, same, key, text), key, text, edits, least, group)
+    id_type = docs.schema[key].dataType
+    arrow = pa.schema([("id", to_arrow_type(id_type)), ("h", pa.int64()), ("no", pa.int32())])
+    near = found.groupBy("key", "pair").applyInArrow(similar(edits, arrow), f"id {id_type.simpleString()}, h long, no int").distinct()
     near = saved(near.select(F.struct("id", "h").alias("doc"), "no"), "similar")
     return same.unionByName(near)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, exact: int = LEAST) -> DataFrame:
-    """`docs` with the marked lines cut from `text`, and n_lines, n_removed."""
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, exact: int = 1, group: int = GROUP) -> DataFrame:
+    """`docs` with the marked lines cut from `text`, and n_lines, n_removed.
+
+    exact, least: characters from which equal and nearly equal lines go; group: lines of a key
+    that one task compares with each other.
+    """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = with_marked(docs.select(*[F.col(f"`{c}`") for c in names]), marked_lines(docs, key, text, edits, least, exact), key, text)
+    out = with_marked(docs.select(*[F.col(f"`{c}`") for c in names]), marked_lines(docs, key, text, edits, least, exact, group), key, text)
     lines = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__marked"), i)), "\n")
     cut = F.when(F.col("__marked").isNull(), F.col(text)).otherwise(kept)

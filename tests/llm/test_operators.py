@@ -134,7 +134,9 @@ def test_edit_distance_and_keys():
                 assert oa & ob or oa & pb or ob & pa
 
 
-def test_line_dedup_brute_force(spark):
+@pytest.mark.parametrize("group, most", [(line_dedup.GROUP, line_dedup.BROADCAST_BYTES), (5, line_dedup.BROADCAST_BYTES), (line_dedup.GROUP, 0)])
+def test_line_dedup_brute_force(spark, monkeypatch, group, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(20, 60))) for _ in range(40)]
     docs = []
@@ -146,15 +148,15 @@ def test_line_dedup_brute_force(spark):
                 line[rng.randrange(len(line))] = rng.choice("xyz")
             lines.append("".join(line))
         docs.append((k, "\n".join(lines)))
-    out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), group=group).collect()}
     before: list[str] = []
     for k, t in docs:
         kept = []
         for line in t.split("\n"):
-            if len(line) < line_dedup.LEAST or not any(abs(len(line) - len(o)) <= 2 and edit(line, o) <= 2 for o in before):
+            near = len(line) >= line_dedup.LEAST and any(len(o) >= line_dedup.LEAST and abs(len(line) - len(o)) <= 2 and edit(line, o) <= 2 for o in before)
+            if not (line and line in before or near):
                 kept.append(line)
-            if len(line) >= line_dedup.LEAST:
-                before.append(line)
+            before.append(line)
         assert out[k] == "\n".join(kept), k
 
 
@@ -165,7 +167,7 @@ def test_op3_removes_equal_short_lines(spark, sf):
         want[k] = sum(line in seen or line in short[:i] for i, line in enumerate(short))
         seen.update(short)
     assert sum(want.values()) > 0
-    plain = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    plain = {r["doc_id"]: r["n_removed"] for r in line_dedup.deduplicated(spark.read.parquet(f"{sf}/documents.parquet"), exact=line_dedup.LEAST).collect()}
     got = {r["doc_id"]: r["n_removed"] for r in Q.op3_line_dedup(spark, sf).collect()}
     assert got == {k: plain[k] + n for k, n in want.items()}
 
@@ -178,7 +180,7 @@ def test_line_dedup_of_lines_whose_segments_repeat():
     # of lines that own the key, every second one also probes it; the longer ones only probe
     rows = [(own, i, line) for i, line in enumerate(lines) for own in ((True, False) if i % 4 == 0 else (i % 2 == 0,))]
     cols = list(zip(*rows))
-    table = pa.table({"own": pa.array(cols[0]), "id": pa.array(cols[1], pa.int64()), "h": pa.array([0] * len(rows), pa.int64()), "no": pa.array([0] * len(rows), pa.int32()), "line": pa.array(cols[2])})
+    table = pa.table({"own": pa.array(cols[0]), "id": pa.array(cols[1], pa.int64()), "h": pa.array([0] * len(rows), pa.int64()), "no": pa.array([0] * len(rows), pa.int32()), "line": pa.array(cols[2]), "block": pa.array([0] * len(rows), pa.int32())})
     got = line_dedup.similar(2, arrow)(None, table).column("id").to_pylist()
     own = [i % 2 == 0 for i in range(20)]
     assert got == [y for y in range(20) if any((own[x] or own[y]) and edit(lines[x], lines[y]) <= 2 for x in range(y))]
@@ -189,6 +191,9 @@ def test_line_dedup_of_awkward_tables(awkward, empty):
     assert len(rows) == len(AWKWARD) and {r["h"] for r in rows} == {"mine"}
     assert next(r["text"] for r in rows if r["doc_id"] == 1) is None
     assert line_dedup.deduplicated(empty).count() == 0
+    dated = awkward.select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("doc_id").cast("int")).alias("doc_id"), "text", "n")
+    want = sorted((r["n_removed"] for r in rows))
+    assert sorted(r["n_removed"] for r in line_dedup.deduplicated(dated).collect()) == want
 
 
 # ---------------------------------------------------------------- 4 toxicity
