@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, text string, lang string"
 def awkward(spark):
     """Nulls, empty and very long texts, repeated rows, and columns whose names clash with the operators' own."""
     df = spark.createDataFrame(AWKWARD, SCHEMA)
-    for c in ("h", "start", "key", "n", "node", "ids", "items", "spans", "score", "term"):
+    for c in ("h", "start", "key", "n", "node", "ids", "items", "spans", "score", "term", "doc", "w", "hit", "found", "pos", "k", "t", "p", "u", "v", "c", "id", "no", "label", "line", "near", "set", "rows", "cluster", "kind", "run", "edge", "y"):
         df = df.withColumn(c, F.lit("mine"))
     return df
 
@@ -85,9 +85,10 @@ def test_chat_query_has_the_control_conversation(spark, sf):
 # ---------------------------------------------------------------- 2 decontamination
 
 
-def test_contamination_of_awkward_tables(spark, awkward, empty):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_contamination_of_awkward_tables(spark, awkward, empty, few):
     items = spark.createDataFrame([(1, "two"), (2, None), (3, ""), (4, "ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum dolor sit amet")], "item_id long, text string")
-    rows = decontamination.contamination(awkward, items).collect()
+    rows = decontamination.contamination(awkward, items, few=few).collect()
     assert len(rows) == len(AWKWARD) and rows[0]["key"] == "mine"
     got = {(r["doc_id"], r["n_words"]): (r["n_hit"], list(r["items"]), r["contaminated"]) for r in rows}
     assert got[(3, 2)] == (1, ["1"], True) and got[(1, 0)] == (0, [], False)
@@ -96,11 +97,22 @@ def test_contamination_of_awkward_tables(spark, awkward, empty):
     assert decontamination.contamination(awkward, items.where("false")).where("contaminated").count() == 0
 
 
+def test_contamination_without_broadcasts(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    got, want = (sorted(tuple(r) for r in decontamination.contamination(docs.select("doc_id", "text"), items, few=few).drop("text").collect()) for few in (0, 50_000))
+    assert got == want and any(r[-1] for r in got)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     lists, exact = decontamination.matches(docs, items)
     assert exact.count() == 1 and decontamination.near(lists, 3).select("doc").distinct().count() == 2
+    # the item's first word is in no document, its second one is replaced in document 4
+    docs = spark.createDataFrame([(3, "x y one two three four five"), (4, "one other three four five"), (5, "five one"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "absent one two three four five")], "item_id long, text string")
+    got = {(r["doc_id"], r["item"], r["start"]) for r in decontamination.proximity(docs, items, slack=1).collect()}
+    assert {(3, "9", 1), (4, "9", -1)} <= got and not any(d in (5, None) for d, _, _ in got)
 
 
 # ---------------------------------------------------------------- 3 line dedup
