@@ -12,10 +12,14 @@
 4. A logistic classifier over a candidate's own binary features is trained on these soft labels,
    again over a bounded table of counts, and decides on the candidates outside the base.
 
-Everything that touches texts is DataFrame functions; the two fits are arithmetic over bounded
-tables of counts.  Base spans always stay; an added span never overlaps a base span.
-
-Offsets are code points, ends exclusive.  Null and empty texts have no spans.
+Everything that touches texts is DataFrame functions, in time linear in a text however many
+candidates it has; the two fits are arithmetic over bounded tables of counts.  Base spans always
+stay; an added span never overlaps a base span.  Added spans of two kinds may overlap each other:
+each is judged on its own, and both may stay.
+
+Offsets are code points, ends exclusive.  Null and empty texts have no spans.  Every row has its
+own result, so repeated rows have equal ones, and the key may be null or of any type.  Other
+columns, whatever their names, take no part.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -57,18 +61,64 @@ RESERVED = r"^(?:0|10|127|255)\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|
 LABELERS = 5
 
 
+MATCH = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(items: Column, zero: Column, step, emit, kind: str, block: int = 256) -> Column:
+    """emit(state, x) for every x of an array; step(state, x) makes the state for the next one.
+
+    kind: the type of the outcome.  An array grows by copying, so outcomes are gathered in blocks
+    first: the cost is linear for all arrays that there are.
+    """
+
+    def inner(state: Column, xs: Column) -> Column:
+        start = F.struct(state.alias("state"), F.array().cast(kind).alias("out"))
+        return F.aggregate(xs, start, lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], F.array(emit(a["state"], x))).alias("out")))
+
+    def outer(a: Column, xs: Column) -> Column:
+        return let(inner(a["state"], xs), lambda i: F.struct(i["state"].alias("state"), F.concat(a["out"], F.array(i["out"])).alias("out")))
+
+    blocks = let(items, lambda z: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(z) - 1) / block).cast("int"))), lambda b: F.slice(z, b * block + 1, F.lit(block))))
+    return F.flatten(F.aggregate(blocks, F.struct(zero.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), outer)["out"])
+
+
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, s>> of all matches, from what lies between them."""
+    """array<struct<start, end, s, before, after>> of all matches, from what lies between them; before, after: the 24 characters before and 4 after."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
+    last = lambda c: F.substring(c, -24, 24)
+    # each gap with the match behind it, and the start of what follows that one
+    next_ = F.transform(F.slice(F.concat(between, F.array(F.lit(""))), 2, F.size(between)), lambda g: F.left(g, F.lit(4)))
+    zipped = F.arrays_zip(between.alias("g"), found.alias("m"), next_.alias("n"), F.slice(F.concat(found, F.array(F.lit(""))), 2, F.size(found) + 1).alias("o"))
 
     def step(a: Column, x: Column) -> Column:
+        at = a["at"] + F.char_length(x["g"]) + F.char_length(F.coalesce(x["m"], F.lit("")))
+        return F.struct(at.cast("int").alias("at"), last(F.concat(a["tail"], x["g"], F.coalesce(x["m"], F.lit("")))).alias("tail"))
+
+    def emit(a: Column, x: Column) -> Column:
         start = a["at"] + F.char_length(x["g"])
-        end = start + F.char_length(x["m"])
-        return F.when(x["m"].isNull(), a).otherwise(F.struct(end.cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("s")))).alias("out")))
+        after = F.left(F.concat(F.coalesce(x["n"], F.lit("")), F.coalesce(x["o"], F.lit(""))), F.lit(4))
+        return F.struct(start.cast("int").alias("start"), (start + F.char_length(x["m"])).cast("int").alias("end"), x["m"].alias("s"), last(F.concat(a["tail"], x["g"])).alias("before"), after.alias("after"))
+
+    return F.filter(scanned(zipped, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), step, emit, MATCH), lambda x: x["s"].isNotNull())
+
 
-    zipped = F.arrays_zip(between.alias("g"), found.alias("m"))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+def apart(loose: Column, base: Column) -> Column:
+    """Those of `loose` that overlap none of `base`; both array<struct<start, end, ...>>, by one pass in either direction."""
+    far = 2**31 - 1
+    kind = MATCH.replace("after:string", "after:string,hit:boolean,b:boolean")
+    # sorted by start, base spans first; a span overlaps what begins before it and ends in it, and what begins in it
+    each = lambda c, b: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(not b).alias("l"), x["end"].alias("end"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"), F.lit(False).alias("hit"), F.lit(b).alias("b")))
+    events = F.sort_array(F.concat(each(base, True), each(loose, False)))
+    keep = lambda x, hit: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"), (x["hit"] | hit).alias("hit"), x["b"].alias("b"))
+    ahead = scanned(events, F.lit(-1), lambda a, x: F.when(x["b"], F.greatest(a, x["end"])).otherwise(a), lambda a, x: keep(x, a > x["start"]), kind)
+    back = scanned(F.reverse(ahead), F.lit(far), lambda a, x: F.when(x["b"], F.least(a, x["start"])).otherwise(a), lambda a, x: keep(x, a < x["end"]), kind)
+    free = F.filter(F.reverse(back), lambda x: ~x["b"] & ~x["hit"])
+    return F.when(F.size(loose) == 0, F.array().cast(MATCH)).otherwise(F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"))))
 
 
 def digits(c: Column) -> Column:
@@ -139,19 +189,18 @@ def judged(k: int, kind: str):
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, c): every row with its candidates, as array<struct<kind, start, end, base, votes, features>>."""
     t = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
+    none = F.array().cast(MATCH)
     rows = docs.select(F.col(key).alias("key"), t.alias("t"))
     for k, kind in enumerate(KINDS):
         gate = F.col("t").rlike(GATES[kind])
         base = F.filter(located(F.col("t"), BASE[kind]), checked(kind))
         rows = rows.withColumn(f"b{k}", F.when(gate, base).otherwise(none)).withColumn(f"l{k}", F.when(gate, located(F.col("t"), LOOSE[kind])).otherwise(none))
     parts = []
+    taken = F.concat(*[F.col(f"b{i}") for i in range(len(KINDS))])
+    tag = lambda c, base: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"), F.lit(base).alias("base")))
     for k, kind in enumerate(KINDS):
-        taken = [F.col(f"b{i}") for i in range(len(KINDS))]
-        free = F.filter(F.col(f"l{k}"), lambda x: ~F.exists(F.concat(*taken), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-        tagged = F.concat(F.transform(F.col(f"b{k}"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), F.lit(True).alias("base"))), F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), F.lit(False).alias("base"))))
-        around = F.transform(tagged, lambda x: x.withField("before", F.substr("t", F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))).withField("after", F.substr("t", x["end"] + 1, F.lit(4))))
-        parts.append(F.transform(around, judged(k, kind)))
+        tagged = F.concat(tag(F.col(f"b{k}"), True), tag(apart(F.col(f"l{k}"), taken), False))
+        parts.append(F.transform(tagged, judged(k, kind)))
     return rows.select("key", F.concat(*parts).alias("c"))
 
 

@@ -482,6 +482,37 @@ def test_base_spans_equal_plain_patterns(spark, tmp_path):
         assert [got[k][f"n_{x}"] for x in PATTERNS] == [sum(w.startswith(x) for w in want) for x in PATTERNS]
 
 
+def test_matches_and_what_surrounds_them(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a1", "é😀", " ", "b", "22", "x33y"]) for _ in range(n)) for n in (0, 1, 5, 40, 1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", pii.located(F.col("t"), "[0-9]+").alias("m")).collect():
+        t = texts[r["i"]]
+        want = [(m.start(), m.end(), m[0], t[max(0, m.start() - 24) : m.start()]) for m in re.finditer("[0-9]+", t)]
+        assert [(m["start"], m["end"], m["s"], m["before"]) for m in r["m"]] == want
+        assert all(t[m["end"] : m["end"] + 4].startswith(m["after"][:2]) and len(m["after"]) <= 4 for m in r["m"])
+    spans = [[tuple(sorted(rng.sample(range(900), 2))) for _ in range(n)] for n in (0, 1, 3, 40, 700)]
+    short = lambda xs: [(a, min(b, a + 9), "", "", "") for a, b in xs]
+    kind = pii.MATCH
+    for loose in spans:
+        for base in spans:
+            df = spark.createDataFrame([(short(loose), short(base))], f"l {kind}, b {kind}")
+            got = [(x["start"], x["end"]) for x in df.select(pii.apart(F.col("l"), F.col("b")).alias("x")).first()["x"]]
+            assert got == sorted((a, b) for a, b, *_ in short(loose) if not any(c < b and a < d for c, d, *_ in short(base)))
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (2_000, 100_000):
+        df = spark.createDataFrame([(1, " ".join(f"10.{i % 200}.{i % 99}.7" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert pii.spans(df).select(F.size("spans")).first()[0] == n
+        took.append(time.time() - began)
+    assert took[1] < 60, took
+
+
 def test_weak_supervision_adds_spans(spark, awkward, empty):
     rows = [(1, "please call (644) 555-7859 today"), (2, "mail me: joe (at) site (dot) com."), (3, "x123-456-7890y")] + [(10 + i, f"contact user{i}@mail.com or +1 (234) 567-8{i:03d} thanks") for i in range(100)]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
