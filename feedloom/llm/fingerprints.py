@@ -7,27 +7,37 @@ so parts may be sketched anywhere.  From two sketches follow estimates of resemb
 (Jaccard), of containment and of the number of distinct shingles; below k shingles all of
 them are exact.  Equal texts have equal fingerprints; two empty texts have likeness 1, an
 empty and another text 0.
+
+`fingerprinted` and `estimates` add a column and leave all others, rows and their order alone;
+`merged` gives one row a group, also for null groups and groups of empty texts.  `edited_pairs`
+gives one row for every row, with the columns that it names and no others; its docstring says
+what it does with ties, repeated rows and null keys.  Empty tables stay empty.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHash, by_value, hashed, shingle_hashes, words_of
+from .common import WordHash, by_value, hashed, shingle_hashes, small_batches, words_of
 
 by_value(__name__)
 
 BITS = 48
 K = 128
 WIDTH = 5
+#: Bytes of text of a run of neighbouring keys, on average.
+RUN = 128 << 20
 
 
 def sketch(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -103,8 +113,8 @@ def fingerprinted(docs: DataFrame, text: str = "text", out: str = "fingerprint",
 def merged(prints: DataFrame, by: list[str], fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
     """One fingerprint for each group of parts.
 
-    Exploding a sketch gives at most k hashes, and the k smallest of a group are kept by
-    partial aggregation, so a hot group never comes to one task as a whole.
+    Hashes are counted as rows of their own, dealt by group and hash; each task then keeps the k
+    smallest of a group before they meet, so no task ever holds a hot group as a whole.
     """
 
     @F.pandas_udf("array<long>")
@@ -113,12 +123,13 @@ def merged(prints: DataFrame, by: list[str], fingerprint: str = "fingerprint", k
 
     @F.pandas_udf("string")
     def joined(parts: pd.Series) -> pd.Series:
-        return pd.Series([encode(np.unique(np.array(list(p), np.int64).astype(np.uint64))[:k]) for p in parts], dtype=object)
+        return pd.Series([encode(np.array(sorted(p), np.int64).astype(np.uint64)) for p in parts], dtype=object)
 
-    spread = prints.select(*by, hashes(F.col(fingerprint)).alias("__h"), (F.monotonically_increasing_id() % 64).alias("__salt"))
-    part = spread.groupBy(*by, "__salt").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("__h")))), 1, k).alias("__h"))
-    whole = part.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__h")))), 1, k).alias("__h"))
-    return whole.select(*by, joined(F.col("__h")).alias(fingerprint))
+    names = [f"__by{i}" for i in range(len(by))]
+    each = prints.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(by, names)], F.explode_outer(hashes(F.col(f"`{fingerprint}`"))).alias("__h")).distinct()
+    least = each.withColumn("__no", F.row_number().over(W.partitionBy(*names).orderBy(F.col("__h").asc_nulls_last()))).where(F.col("__no") <= k)
+    whole = least.groupBy(*names).agg(F.collect_list("__h").alias("__h"))
+    return whole.select(*[F.col(n).alias(c) for c, n in zip(by, names)], joined(F.col("__h")).alias(fingerprint))
 
 
 def estimates(a: Column, b: Column, k: int = K) -> Column:
@@ -138,45 +149,84 @@ def estimates(a: Column, b: Column, k: int = K) -> Column:
 # ------------------------------------------------------------------ neighbours in an order
 
 
-def in_runs(docs: DataFrame, key: str, runs: int) -> DataFrame:
-    """Deal rows to runs of neighbouring keys, descending: columns __run, __edge and all of `docs`.
-
-    Approximate quantiles of the integer key bound the runs.  Each run also gets, marked __edge, the row
-    that follows its last one, which is the first row of a later run (for the last run, of
-    all).  So a task finds every row's follower in its own run, and texts move once.
-    Nulls come last.  Rows with equal keys stay in one run.
+class Runs:
+    """The first (key, hash) of every run of an order: keys descending, then hashes; null keys last."""
+
+    def __init__(self, firsts: list[tuple]):
+        self.firsts, self.n = firsts, len(firsts)
+        known = [(f[0], f[1]) for f in firsts if f[0] is not None]
+        self.known = len(known)
+        # ascending, for searches: of equal keys the higher hash is the earlier run
+        self.keys = pd.Index([k for k, _ in reversed(known)]) if known else pd.Index([])
+        self.hashes = [h for _, h in reversed(known)]
+        self.none = np.array([-f[1] - 1 for f in firsts if f[0] is None], np.int64)  # ascending: -h - 1 never overflows
+        self.at = {f: i for i, f in enumerate(firsts)}
+
+    def place(self, keys: pd.Series, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's run, and the run before it if the row is the run's first one, else -1."""
+        run = np.zeros(len(keys), np.int64)
+        null = keys.isna().to_numpy()
+        run[null] = self.known + np.searchsorted(self.none, -hashes[null] - 1, "right") - 1
+        if not null.all():
+            own = keys[~null]
+            low, high = (self.keys.searchsorted(own.to_numpy(), side) for side in ("left", "right"))
+            h = hashes[~null]
+            # firsts that are not after the row: those of higher keys, and of its key those of no lower hash
+            before = self.known - high
+            for i in np.flatnonzero(low != high).tolist():
+                before[i] += high[i] - bisect.bisect_left(self.hashes, h[i], low[i], high[i])
+            run[~null] = before - 1
+        run = np.maximum(run, 0)
+        edge = np.full(len(keys), -1, np.int64)
+        for i, (k, x, none) in enumerate(zip(keys.tolist(), hashes.tolist(), null.tolist())):
+            j = self.at.get((None if none else k, x))
+            if j is not None:
+                edge[i] = (j - 1) % self.n
+        return run, edge
+
+
+def in_runs(docs: DataFrame, key: str, text: str, runs: int) -> tuple[DataFrame, int]:
+    """Deal rows to runs of neighbours in an order: columns __run, __edge, __hash and all of `docs`; and the number of runs.
+
+    Order: key descending, nulls last, then a hash of the text, so that rows of one key can lie in
+    many runs.  Keys and hashes alone are dealt by range to find the first of each run, one row a
+    run.  Each run also gets, marked __edge, the row that follows its last one, which is the first
+    row of the next run (for the last run, of the first).  So a task finds every row's follower in
+    its own run, and texts move once.
     """
-    k = F.col(f"`{key}`")
-    some = docs.select(k.alias("k")).where("k is not null")
-    cuts = some.stat.approxQuantile("k", [i / runs for i in range(1, runs)], 1 / (4 * runs))
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    at = F.lit(cuts).cast("array<bigint>")  # a row's run: the cuts above its key; nulls have the last
-    run = F.when(k.isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(at, lambda c: c > k))).cast("int")
-    firsts = docs.groupBy(run.alias("r")).agg(F.max(k).alias("first")).collect()  # one row a run
-    first = sorted((r["r"], r["first"]) for r in firsts)
-    before = {value: first[i - 1][0] for i, (_, value) in enumerate(first)}
-    edge = F.lit(None).cast("int")
-    if known := {v: r for v, r in before.items() if v is not None}:
-        edge = F.try_element_at(F.map_from_arrays(F.lit(list(known)).cast("array<bigint>"), F.lit(list(known.values())).cast("array<int>")), k.cast("bigint"))
-    edge = F.when(k.isNull(), F.lit(before.get(None)).cast("int")).otherwise(edge)
-    edges = F.when(edge.isNull(), F.array().cast("array<int>")).otherwise(F.array(edge))
-    dealt = docs.withColumn("__to", F.concat(F.array(F.struct(run.alias("run"), F.lit(False).alias("edge"))), F.transform(edges, lambda r: F.struct(r.alias("run"), F.lit(True).alias("edge")))))
-    return dealt.select(F.explode("__to").alias("__t"), *docs.columns).select(F.col("__t.run").alias("__run"), F.col("__t.edge").alias("__edge"), *docs.columns)
-
-
-def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, width: int = WIDTH, runs: int | None = None) -> DataFrame:
+    k, h = F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))
+    name = docs.schema[key].dataType.simpleString()
+    thin = docs.select(k.alias("k"), h.alias("h")).repartitionByRange(runs, F.col("k").desc_nulls_last(), F.col("h").desc())
+    found = thin.groupBy(F.spark_partition_id().alias("part")).agg(F.max_by(F.struct("k", "h"), F.struct("k", "h")).alias("first")).select("part", "first.k", "first.h")
+    firsts = Runs([(r["k"], r["h"]) for r in sorted(found.collect(), key=lambda r: r["part"])])
+
+    @F.pandas_udf("run int, edge int")
+    def place(keys: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        run, edge = firsts.place(keys, hashes.to_numpy())
+        return pd.DataFrame({"run": run.astype(np.int32), "edge": edge.astype(np.int32)})
+
+    placed = docs.select(*docs.columns, h.alias("__hash")).withColumn("__p", place(k.cast(name), F.col("__hash")))
+    to = F.filter(F.array(F.struct(F.col("__p.run").alias("run"), F.lit(False).alias("edge")), F.struct(F.col("__p.edge").alias("run"), F.lit(True).alias("edge"))), lambda x: x["run"] >= 0)
+    dealt = placed.withColumn("__t", F.explode(to))
+    return dealt.select(F.col("__t.run").alias("__run"), F.col("__t.edge").alias("__edge"), "__hash", *docs.columns), max(1, firsts.n)
+
+
+def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, width: int = WIDTH, run: int = RUN) -> DataFrame:
     """Fingerprint every text, its edited text and compare them with each other and the next document.
 
-    Order: descending key, nulls last, equal keys by descending text; the last is followed by
-    the first.  Edited text: the last floor(n / 3) code points give way to the first as many
-    (or all) of the next document's.  A single document follows itself.
+    Order: descending key, nulls last, equal keys by a descending hash of the text; the last is
+    followed by the first.  Edited text: the last floor(n / 3) code points give way to the first as
+    many (or all) of the next document's.  A single document follows itself.  The key may have any
+    type that Spark orders; run: bytes of text that a task walks through, on average.
 
     Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    if runs is None:  # with the cluster's own measure of the input
-        runs = min(4096, max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    dealt = in_runs(rows, key, runs).repartition(runs, "__run").sortWithinPartitions("__run", "__edge", F.col(key).desc_nulls_last(), F.col("__text").desc())
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    dealt, runs = in_runs(rows, "__key", "__text", int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // run + 1)))
+    dealt = dealt.repartitionById(runs, "__run").sortWithinPartitions("__run", "__edge", F.col("__key").desc_nulls_last(), F.col("__hash").desc(), F.col("__text").desc()).drop("__hash")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -215,6 +265,7 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         if out:
             yield flush()
 
-    arrow = pa.schema([(key, pa.int64() if docs.schema[key].dataType.simpleString() == "bigint" else pa.int32()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    schema = T.StructType([docs.schema[key], *T._parse_datatype_string("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").fields])
+    own = docs.schema[key].dataType
+    arrow = pa.schema([(key, to_arrow_type(own)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    schema = T.StructType([T.StructField(key, own), *T._parse_datatype_string("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").fields])
     return dealt.mapInArrow(walk, schema)

@@ -260,6 +260,10 @@ def test_fingerprints(spark, sf):
         a, b = shingles(t), shingles(edited)
         assert got[k]["edited_sha256"] == sha(edited) and got[k]["n_chars"] == len(t)
         assert abs(got[k]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1)) < 0.2
+        c = shingles(after)
+        assert abs(got[k]["near_next"] - (len(a & c) / len(a | c) if a | c else 1)) < 0.2
+        of = lambda x: fingerprints.encode(fingerprints._sketch_text(x, fingerprints.WordHash(), fingerprints.K, 5))
+        assert (got[k]["fingerprint"], got[k]["edited_fingerprint"]) == (of(t), of(edited))
     a, b = (np.arange(x, x + 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in (0, 500))
     h = [fingerprints.sketch(x) for x in (a, b, np.concatenate((a, b)))]
     assert (fingerprints.merge(h[0], h[1]) == h[2]).all()
@@ -267,6 +271,22 @@ def test_fingerprints(spark, sf):
     assert (fingerprints.decode(fingerprints.encode(h[0])) == h[0]).all()
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_fingerprints_follow_the_order_in_many_runs(spark, kind):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, *range(20)]), rng.choice(["", "same text", f"text {i} of these"]) + rng.choice(["", " and", " more"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(5)
+    of = {"string": F.format_string("%03d", "k"), "int": F.col("k"), "date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("k"))}[kind]
+    df = df.select(F.when(F.col("k").isNotNull(), of).alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+    order = df.orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc()).collect()
+    want = collections.Counter()
+    for a, b in zip(order, order[1:] + order[:1]):
+        cut = len(a["text"]) // 3
+        want[a["doc_id"], len(a["text"]), sha(a["text"][: len(a["text"]) - cut] + b["text"][:cut])] += 1
+    got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.edited_pairs(df, run=500).collect())
+    assert got == want
+
+
 def test_fingerprints_of_awkward_tables(spark, awkward, empty):
     rows = fingerprints.edited_pairs(awkward).collect()
     assert len(rows) == len(AWKWARD) and len({r["fingerprint"] for r in rows if r["doc_id"] in (3, 7)}) == 1
@@ -276,6 +296,11 @@ def test_fingerprints_of_awkward_tables(spark, awkward, empty):
     parts = fingerprints.fingerprinted(spark.createDataFrame([("g", "a b c d e f"), ("g", "c d e f g h")], "g string, text string"))
     whole = fingerprints.merged(parts, ["g"]).first()["fingerprint"]
     assert len(fingerprints.decode(whole)) == 4
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(60)) for i in range(40)] + [""] * 3
+    parts = fingerprints.fingerprinted(spark.createDataFrame([(None, "", t) for t in texts] + [("e", "mine", "")], "g string, __h string, text string").repartition(7))
+    got = {r["g"]: r["fingerprint"] for r in fingerprints.merged(parts, ["g"]).collect()}
+    both = np.concatenate([fingerprints._sketch_text(t, fingerprints.WordHash(), 128, 5) for t in texts])
+    assert got == {None: fingerprints.encode(np.unique(both)[:128]), "e": ""}
     assert parts.select(fingerprints.estimates(F.col("fingerprint"), F.col("fingerprint")).alias("e")).first()["e"]["resemblance"] == 1
 
 
