@@ -6,6 +6,11 @@ turn (if the first turn is one) and up to `history` tokens of whole turns before
 repeated as context.  The loss mask covers the assistant turns of the span only, so every target
 is learnt once; repeated ones are masked.  A turn longer than the budget has a window of its own.
 
+Tokens are bounded from above, without a vocabulary: `bytes_written` counts the UTF-8 bytes of a
+turn as it is written, marks, role and escapes included.  A token of a byte-level or byte-fallback
+vocabulary stands for one byte at least, so a window of at most `budget` has no more tokens than
+that in any language.  Another count may be given.
+
 Long conversations are first cut into blocks of about `block` tokens by the same prefix sums, so
 that no row ever holds more than a block; a block borrows the system turn and the history turns
 that come before it.  Only DataFrame functions are used; turns move once, by conversation.
@@ -14,9 +19,9 @@ Template: `<|im_start|>role\\ntext<|im_end|>\\n`.  A control string inside a tex
 backslash behind its first character (one more if it has some), which reading back takes away,
 so any text survives.  Newlines and % in roles are written as %0A and %25.
 
-Turns are ordered by turn (nulls first), then role and text.  Null text and role count as empty.
-A null conversation id is a conversation of its own.  Repeated rows are turns of their own.  An
-empty table gives no windows.
+Turns are ordered by turn (nulls first), then role and text as written.  Null text and role count
+as empty.  A null conversation id is a conversation of its own.  Repeated rows are turns of their
+own.  Other columns, whatever their names, take no part.  An empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -55,21 +60,23 @@ def read_role(c: Column) -> Column:
     return F.replace(F.replace(unescape(c), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def words_and_marks(c: Column) -> Column:
-    """A count of tokens that needs no model: one for about every four characters."""
-    return F.ceil(F.char_length(c) / 4).cast("long") + 4
+def bytes_written(turn: Column) -> Column:
+    """Tokens of a turn as it is written, at most."""
+    return F.octet_length(turn).cast("long")
 
 
-def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 1024, history: int = 256, block: int = 1 << 17, count=words_and_marks) -> DataFrame:
+def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 4096, history: int = 1024, block: int = 1 << 19, count=bytes_written) -> DataFrame:
     """One row a window: conv, window, formatted, loss_spans, n_repeated, n_turns, tokens.
 
     loss_spans: array<struct<start, end>> in code points of `formatted`; n_repeated: turns of
-    context at the front; n_turns: turns of the span.
+    context at the front; n_turns: turns of the span.  budget, history, block: in the units of
+    `count`, a function of a written turn.
     """
-    base = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    order = W.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    said = F.coalesce(F.col(f"`{role}`"), F.lit(""))
+    base = turns.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), said.alias("role"), F.concat(F.lit(OPEN), write_role(said), F.lit("\n")).alias("head"), escape(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("body"))
+    order = W.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     whole = W.partitionBy("conv")
-    rows = base.withColumn("tokens", count(F.col("text"))).withColumn("no", F.row_number().over(order)).withColumn("to", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = base.withColumn("tokens", count(F.concat("head", "body", F.lit(CLOSE)))).withColumn("no", F.row_number().over(order)).withColumn("to", F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumn("start", F.col("to") - F.col("tokens"))
     # the history that fits before a turn begins where the prefix sum is at most `history` smaller
     reach = W.partitionBy("conv").orderBy("start").rangeBetween(-history, 0)
@@ -82,7 +89,7 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     # a turn goes to its block, to the next one if it may be history there, and a system turn to all
     after = F.floor((F.col("to") + history) / block)
     blocks = F.when(is_system, F.sequence("block", "last")).when((after > F.col("block")) & (F.col("block") < F.col("last")), F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
-    item = F.struct("no", "role", "text", "tokens", "start", "to", "past", (F.col("block") < F.col("b")).alias("old"))
+    item = F.struct("no", "role", "head", "body", "tokens", "start", "to", "past", (F.col("block") < F.col("b")).alias("old"))
     packs = rows.withColumn("b", F.explode(blocks)).groupBy("conv", "b", "system").agg(F.sort_array(F.collect_list(item)).alias("t"))
 
     packs = packs.select("conv", "b", F.when(F.col("system") == 1, F.col("t")[0]).alias("sys"), F.filter("t", lambda x: x["no"] > F.col("system")).alias("t"))
@@ -107,12 +114,11 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     windows = packs.select("conv", "b", "sys", F.posexplode(cut).alias("w", "s"))
     # only a conversation's first window owns its system turn
     owns = (F.col("b") == 0) & (F.col("w") == 0) & F.col("sys").isNotNull()
-    bare = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["tokens"].alias("tokens"))
-    lead = F.when(F.col("sys").isNotNull(), F.array(bare(F.col("sys")))).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>"))
+    bare = lambda x: F.struct(x["head"].alias("head"), x["body"].alias("body"), x["role"].alias("role"), x["tokens"].alias("tokens"))
+    lead = F.when(F.col("sys").isNotNull(), F.array(bare(F.col("sys")))).otherwise(F.array().cast("array<struct<head:string,body:string,role:string,tokens:bigint>>"))
     used = F.concat(lead, F.transform(F.col("s")["t"], bare))
     repeated = (F.col("s")["first"] - F.col("s")["past"]) + F.when(F.col("sys").isNotNull() & ~owns, 1).otherwise(0)
-    parts = F.transform(used, lambda x: F.struct(F.concat(F.lit(OPEN), write_role(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), x["role"].alias("role"), x["tokens"].alias("tokens")))
-    out = windows.select("conv", "b", "w", parts.alias("p"), repeated.alias("r"))
+    out = windows.select("conv", "b", "w", used.alias("p"), repeated.alias("r"))
     close = len(CLOSE)
     spans = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("p") - 1)),

@@ -39,6 +39,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import formatted, read_back
 
+    # the digests are of whole conversations, so each is gathered into a row here; the operator's rows are windows
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)

@@ -72,10 +72,65 @@ def test_chat_round_trip(spark):
             assert [(t["role"], t["text"]) for r in rows for t in r["turns"]] == want[c]
             assert "".join(r["loss_text"] for r in rows) == "".join(t for ro, t in want[c] if ro == "assistant")
             # a window over the budget holds one turn and, at most, the system turn
-            assert all(r["tokens"] <= kw.get("budget", 1024) or r["n_turns"] == 1 for r in rows)
+            assert all(r["tokens"] <= kw.get("budget", 4096) or r["n_turns"] == 1 for r in rows)
+            assert all(r["tokens"] == len(r["formatted"].encode()) for r in rows)
     assert chat_format.formatted(df.where("false")).count() == 0
 
 
+def plain_windows(turns, budget=4096, history=1024):
+    """Windows of one conversation, by the rule in words: (first, end, where the context begins)."""
+    written = []
+    for role, text in turns:
+        for sign, rest in (("<", r"\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>"), ("[", r"INST\]|/INST\]")):
+            role, text = (re.sub(rf"{re.escape(sign)}(\\*)({rest})", lambda m: sign + "\\" + m[1] + m[2], x) for x in (role.replace("%", "%25").replace("\n", "%0A") if sign == "<" else role, text))
+        written.append(f"<|im_start|>{role}\n{text}<|im_end|>\n")
+    size = [len(x.encode()) for x in written]
+    start = [sum(size[:i]) for i in range(len(size))]
+    system = int(turns[0][0] == "system")
+    room = budget - (size[0] if system else 0)
+    spans = []
+    for i in range(system, len(turns)):
+        end = start[i] + size[i]
+        if spans and end - start[spans[-1][2]] <= room:
+            spans[-1][1] = i + 1
+        else:
+            past = min(j for j in range(system, i + 1) if start[j] >= start[i] - history)
+            spans.append([i, i + 1, past if end - start[past] <= room else i])
+    spans = spans or [[1, 1, 1]]
+    return ["".join(written[:system] + written[past:end]) for _, end, past in spans]
+
+
+def test_op1_against_plain_python(spark):
+    sf = "/root/testdata/sf0.01"
+    said = "</s>[INST] ok [/INST]"
+    turns = collections.defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        turns[r["conv_id"]].append((r["role"] or "", r["text"] or ""))
+    turns[-7] = [("user", said), ("assistant", said)]
+    got = {r["conv_id"]: tuple(r)[1:] for r in Q.op1_chat_format(spark, sf).collect()}
+    for k, ts in turns.items():
+        loss = "".join(t for ro, t in ts if ro == "assistant")
+        want = (len(ts), sha("".join(f"{ro}\n{t}\n" for ro, t in ts)), len(loss), sha(loss), sum(map(len, plain_windows(ts))))
+        assert got.pop(k) == want, k
+    assert not got
+    windows = chat_format.formatted(spark.read.parquet(f"{sf}/conversations.parquet"), budget=900, history=300).collect()
+    for k, ts in turns.items():
+        if k != -7:
+            mine = [r["formatted"] for r in sorted((r for r in windows if r["conv_id"] == k), key=lambda r: (r["window"]["b"], r["window"]["w"]))]
+            assert mine == plain_windows(ts, 900, 300)
+
+
+def test_chat_of_awkward_tables(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", None), (1, 2, "assistant", "yes"), (1, 2, "assistant", "yes"), (1, None, None, "first"), (None, 1, "user", "x" * 200_000), (2, 5, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    for c in ("conv", "head", "body", "tokens", "no", "to", "start", "system", "past", "block", "last", "b", "w", "t", "s", "p", "r", "window", "formatted"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = collections.defaultdict(list)
+    for r in chat_format.read_back(chat_format.formatted(df)).collect():
+        got[r["conv_id"]] += [(t["role"], t["text"]) for t in r["turns"]]
+    assert got == {1: [("", "first"), ("system", "be kind"), ("user", ""), ("assistant", "yes"), ("assistant", "yes")], None: [("user", "x" * 200_000)], 2: [("assistant", "")]}
+
+
 def test_chat_query_has_the_control_conversation(spark, sf):
     said = "</s>[INST] ok [/INST]"
     r = Q.op1_chat_format(spark, sf).where("conv_id = -7").first()
