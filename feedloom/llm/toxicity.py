@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, release, small_batches, tidy
+from .common import by_value, release, saved, small_batches, tidy
 
 by_value(__name__)
 
-#: Least G of a kept feature (chance gives that to about one in 50,000), and kept features at most.
-LEAST_G, KEPT = 18.0, 5_000
+#: Least G of a kept feature: chance gives that to about one in 50,000.
+LEAST_G = 18.0
 WORD = re.compile(r"\w+")
 #: Groups of terms that a sentence may mention without being toxic; a parameter of `fitted`.
 IDENTITY = (
@@ -115,16 +115,23 @@ def _g(pos, neg, all_pos, all_neg) -> Column:
     return 2 * sum((term(o, e) for o, e in cells), F.lit(0.0))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 30_000, groups=IDENTITY, strength: float = 4.0) -> Classifier:
-    """Fit on about `most` rows of `labels` (key, label), chosen by a hash of `key`; rows without key or label are left out.
+def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 30_000, kept: int = 5_000, pairs_at_most: int = 50_000, groups=IDENTITY, strength: float = 4.0) -> Classifier:
+    """Fit on a bounded sample of `labels` (key, label); rows without key or label are left out.
 
-    The chosen labels are few by that bound, so they go to the texts, which are not shuffled.
+    most: labelled rows, about, chosen by a hash of `key`; a key with several labels counts as 1 if
+    one of them is.  kept: features, at most, of those that tell the labels apart; the best by G,
+    equals by number.  pairs_at_most: swapped sentences that count in the penalty, chosen by a hash.  The
+    three bound what reaches the driver, at any size of input and of text; scoring has no bounds.
+
+    The chosen labels are few by that bound, so they go to the texts, which are not shuffled; the
+    labelled texts are stored and all else reads them there.
     """
     small_batches(docs.sparkSession)
     known_ = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), (F.col(label) > 0).cast("int").alias("y"))
     share = min(1.0, most / max(1, known_.count()))
-    chosen = known_.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["k"]).select(F.col(text).alias("t"), "y")
+    chosen = known_.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("k").agg(F.max("y").alias("y"))
+    texts_ = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    rows = saved(texts_.join(F.broadcast(chosen), "k").select("t", "y"), "labelled")
     ones, total = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     model = Classifier(intercept=float(np.log((ones + 0.5) / (total - ones + 0.5))))
     if not 0 < ones < total:
@@ -143,39 +150,40 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
 
     counts = rows.mapInPandas(tidy(count), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     tested = counts.withColumn("g", _g(F.col("pos"), F.col("neg"), F.lit(ones), F.lit(total - ones))).where(F.col("g") >= LEAST_G)
-    kept = [r["f"] for r in tested.orderBy(F.desc("g"), "f").limit(KEPT).select("f").collect()]
+    best = [r["f"] for r in tested.orderBy(F.desc("g"), "f").limit(kept).select("f").collect()]
     terms = {f for g in groups for t in g for f in features(t)}
-    number = {f: i for i, f in enumerate(dict.fromkeys([*kept, *sorted(terms)]))}
+    number = {f: i for i, f in enumerate(dict.fromkeys([*best, *sorted(terms)]))}
 
     def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Known(number)
-        ids = lambda t: np.fromiter((number[f] for f in text_features(t, known)), np.int32).tobytes()
+        ids = lambda t: np.sort(np.fromiter((number[f] for f in text_features(t, known)), np.int32)).tobytes()
         for b in parts(batches):
             out = []
             for t, y in zip(b["t"], b["y"]):
-                pairs = swapped(t, groups) if t else []
-                out.append((ids(t), y, [ids(p) for p, _ in pairs], [ids(q) for _, q in pairs]))
-            yield pd.DataFrame(out, columns=["x", "y", "a", "b"])
-
-    # texts with the same few features are one row with a number
-    used = rows.mapInPandas(tidy(use), "x binary, y int, a array<binary>, b array<binary>")
-    got = used.groupBy("x", "y", "a", "b").agg(F.count(F.lit(1)).alias("n")).toPandas()
+                out.append((ids(t), y, None))
+                out += [(ids(p), None, ids(q)) for p, q in (swapped(t, groups) if t else [])]
+            yield pd.DataFrame(out, columns=["x", "y", "b"]).astype({"y": "Int32"})
+
+    # texts, and pairs, with the same few features are one row with a number
+    used = saved(rows.mapInPandas(tidy(use), "x binary, y int, b binary").groupBy("x", "y", "b").agg(F.count(F.lit(1)).alias("n")), "features")
+    got = used.where("b is null").toPandas()
+    both = used.where("b is not null").orderBy(F.xxhash64("x", "b"), "x", "b").limit(pairs_at_most).toPandas()
     of = lambda raw: np.frombuffer(raw, np.int32)
     neutral = [f"The {t} live and work here." for g in groups for t in g]
     known = Known(number)
     named = lambda t: np.fromiter((number[f] for f in text_features(t, known)), np.int32)
-    pairs = [(of(p), of(q)) for a, b in zip(got["a"], got["b"]) for p, q in zip(a, b)]
-    pairs += [(named(p), named(q)) for s in neutral for p, q in swapped(s, groups)]
+    pairs = [(of(p), of(q)) for p, q in zip(both["x"], both["b"])]
+    more = [(named(p), named(q)) for s in neutral for p, q in swapped(s, groups)]
     texts = [of(x) for x in got["x"]] + [named(s) for s in neutral]
     y = np.concatenate((got["y"].to_numpy(np.float64), np.zeros(len(neutral))))
     n = np.concatenate((got["n"].to_numpy(np.float64), np.ones(len(neutral))))
-    w, model.intercept = descend(texts, y, n, pairs, len(number), model.intercept, strength)
+    w, model.intercept = descend(texts, y, n, pairs + more, np.concatenate((both["n"].to_numpy(np.float64), np.ones(len(more)))), len(number), model.intercept, strength)
     model.weights = {f: float(w[i]) for f, i in number.items() if w[i]}
     return model
 
 
-def descend(texts, y, n, pairs, size: int, b: float, strength: float, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Minimise the mean loss by gradient steps scaled for each weight (Adam)."""
+def descend(texts, y, n, pairs, times, size: int, b: float, strength: float, ridge: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Minimise the mean loss, and the pairs' mean change of score squared, by gradient steps scaled for each weight (Adam)."""
     flat = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows) if rows else np.zeros(0, np.int32))
     row, col = flat(texts)
     ra, ca = flat([p for p, _ in pairs])
@@ -192,7 +200,7 @@ def descend(texts, y, n, pairs, size: int, b: float, strength: float, ridge: flo
         g = np.bincount(col, g0[row], size) + ridge * w / len(texts)
         if pairs:
             pa_, pb_ = sigmoid(np.bincount(ra, w[ca], len(pairs)) + b), sigmoid(np.bincount(rb, w[cb], len(pairs)) + b)
-            d = 2 * strength * (pa_ - pb_) / len(pairs)
+            d = 2 * strength * (pa_ - pb_) * times / times.sum()
             g += np.bincount(ca, (d * pa_ * (1 - pa_))[ra], size) - np.bincount(cb, (d * pb_ * (1 - pb_))[rb], size)
         g = np.append(g, g0.sum())
         m = 0.9 * m + 0.1 * g

@@ -285,6 +285,10 @@ def test_toxicity_without_labels(spark, awkward, empty):
     rows = awkward.select("doc_id", toxicity.score(F.col("text"), model).alias("s")).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["s"] <= 1 for r in rows)
     assert toxicity.fitted(empty, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
+    # a key with several labels does not multiply its text
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (3, 0), (3, 0), (7, 0)], "doc_id long, toxic int")
+    model = toxicity.fitted(awkward, labels)
+    assert abs(model.intercept) < 20 and awkward.select(toxicity.score(F.col("text"), model)).count() == len(AWKWARD)
 
 
 def test_toxicity_held_out(spark):
