@@ -2,39 +2,51 @@
 
 Jaccard distance is a metric.  Pivots create Voronoi regions; a document is replicated to
 every further region whose members it might be linked with by the triangle inequality; and
-regions are joined recursively until each is small or one component.
+regions are joined recursively until no pivots part them.
 
-First level.  Against whole documents as pivots nearly every document lies at distance
-exactly 1, where the triangle inequality tells nothing, so the first level's pivots are
-single shingles: d(x, {s}) is 1 - 1/|x| if x has s, else 1.  Ties are broken by one order
-of the shingles (rarest first, then by hash), and a document of n shingles is replicated to
-the nearest n - ceil(t n) + 1 pivots: two linked documents then meet in a region.  Shingles
-of one document lead to nobody, so a document whose window holds only such is alone.
+First, candidates.  Against whole documents as pivots nearly every document lies at distance
+exactly 1, where the triangle inequality tells nothing, so documents that can be linked at all
+are brought together by single shingles: d(x, {s}) is 1 - 1/|x| if x has s, else 1.  Ties are
+broken by one order of the shingles (rarest first, then by hash), and a document of n shingles
+has the nearest n - ceil(t n) + 1 of them as its window: two linked documents share one.
+Shingles of one document lead to nobody, so a document whose window holds only such is alone.
 
 1. Shingle hashes are counted over all documents: sorted blocks per task, merged by hash
    range; those of two or more documents become sorted arrays in the shared folder.
 2. Workers map these arrays, and find each document's window.  Equal sets become one node.
 3. Nodes that share a window shingle form clusters (components of star edges).
-4. Each cluster is joined by document pivots (`Region`); one too large for a task is first
-   split into regions by rounds of distributed pivots (`split`).
-5. A spanning set of links gives the components.
-6. Every link is counted.  In a cluster that one task joins, all sets are measured against
-   pivots, pairs that the triangle inequality parts are passed over, and all others compared;
-   only counts leave the task.  Regions of a split cluster share members, so their links are
-   written as pairs and counted once each.
+4. Each cluster is joined by document pivots.  Every member is measured against some of them and
+   belongs to the nearest one's region, or, at distance 1 from all, to the far one.  Regions are
+   numbered, the far one first; a pair counts in its lower one, where a member of the higher one
+   is a guest: to pivot p's region go those with d(x, p) - d(x, own) <= 2r, to the far region
+   those at 1 - r or more from every pivot (r: the distance of a link).  A pair of guests of
+   the same region never counts there, which a bit for each level tells, so that every link is
+   found once.  Regions are parted again while that halves the largest and adds at most half.
+   Then the members' distances to all pivots settle most pairs (further apart than r, or together
+   no more than r), and the others are compared.  In one task: `Region`.
+5. A cluster too large for one task is parted in the same way by rounds over all such clusters
+   (`parted`); rounds end when all are small or cannot be parted.  What pivots cannot part goes to
+   its members' window shingles as regions, if these part it (unlike documents in a chain), a
+   pair counting at its first common one.  Else (thousands of near copies, all about r apart) its
+   members are stored in blocks, once, and tasks join two blocks each.
+6. Groups return a star of links for each component and numbers of links, never pairs.
 
 Null text or one without words: an empty set, linked with nothing.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WordHash, by_value, hashed, map_shared, saved, shared_dir, shingle_hashes, small_batches, tidy, words_of, write_shared
 from .graph import components
@@ -45,8 +57,8 @@ by_value(__name__)
 COUNTED = 48
 #: Shingles that a task sorts at once, and shingles of a range of hashes, on average.
 BLOCK, RANGE = 2_000_000, 8_000_000
-#: Shingles in a cluster that one task joins.
-CLUSTER = 8_000_000
+#: Shingles in a region that one task joins, and in a block of one that cannot be parted: at least half of that, and at most.
+CLUSTER, LARGEST_BLOCK = 250_000, 4_000_000
 
 
 def shingle_set(text: str | None, cache: WordHash, width: int = 5) -> np.ndarray:
@@ -84,13 +96,12 @@ def counted_shingles(docs: DataFrame, text: str, width: int, folder: str) -> int
             held.clear()
             # a range is named by the leading 32 bits times the number of ranges
             of = ((h >> np.uint64(COUNTED - 32)) * np.uint64(ranges)) >> np.uint64(32)
-            cuts = np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))
+            there, starts = np.unique(of, return_index=True)
             out = []
-            for r in range(ranges):
-                part, cnt = h[cuts[r] : cuts[r + 1]], c[cuts[r] : cuts[r + 1]]
-                if len(part):
-                    more = cnt > 1
-                    out.append((r, _pack(part[~more]), _pack(part[more]), cnt[more].astype(np.uint32).tobytes()))
+            for r, a, b in zip(there.tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)]):
+                part, cnt = h[a:b], c[a:b]
+                more = cnt > 1
+                out.append((r, _pack(part[~more]), _pack(part[more]), cnt[more].astype(np.uint32).tobytes()))
             cols = list(zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["range", "once", "more", "counts"])
 
@@ -165,9 +176,11 @@ class Shared:
 def _windows(docs: DataFrame, key: str, text: str, percent: int, width: int, folder: str, ranges: int) -> DataFrame:
     """(key, n, node, near, set): node, near and set are null for documents that nobody can be linked with."""
 
+    own = docs.schema[key].dataType
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, shared = WordHash(), Shared(folder, ranges)
-        types = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("near", pa.list_(pa.int64())), ("set", pa.binary())])
+        types = pa.schema([("key", to_arrow_type(own)), ("n", pa.int64()), ("node", pa.binary()), ("near", pa.list_(pa.int64())), ("set", pa.binary())])
 
         def answer(keys, sets):
             counts = shared.counts(np.concatenate(sets))
@@ -199,26 +212,36 @@ def _windows(docs: DataFrame, key: str, text: str, percent: int, width: int, fol
             if keys:
                 yield answer(keys, sets)
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(tidy(run), "key long, n long, node binary, near array<long>, set binary")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(tidy(run), f"key {own.simpleString()}, n long, node binary, near array<long>, set binary")
 
 
 # ------------------------------------------------------------------ one region
 
 
 class Region:
-    """Sets in one task, joined by pivots; `label` ends as each set's component."""
+    """Sets in one task, joined by pivots.
+
+    guest: a bit for each level at which a set is a guest; two sets that share a bit are no pair here.
+    side: 0 or 1; only pairs of unlike sides count.  home, near: the shingle whose region this is and
+    every set's window shingles; a pair counts where its first common one is.
+    """
 
-    #: Pivots for a level of regions, and members from which a region is split.
-    PIVOTS, SPLIT = 12, 1500
+    #: Sets that are compared without further parting; pivots of a level, at least; distances that a set keeps.
+    LEAF, PIVOTS, KEPT = 8, 8, 16
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, guest=None, side=None, home: int | None = None, near: list[np.ndarray] | None = None):
         self.percent, self.r = percent, 1 - percent / 100
         self.n = np.array([len(s) for s in sets], np.int64)
         self.at = np.concatenate(([0], np.cumsum(self.n)))
         words, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.mark = np.zeros(len(words), bool)
-        self.label = np.arange(len(sets))
+        self.guest = np.zeros(len(sets), np.int64) if guest is None else guest
+        self.bit = int(self.guest.max()).bit_length()
+        if side is not None:
+            self.guest = self.guest | np.where(side, 2 << self.bit, 1 << self.bit)
+            self.bit += 2
+        self.home, self.near = home, near
         self.compared = 0
 
     def overlap(self, x: int, ids: np.ndarray) -> np.ndarray:
@@ -226,164 +249,232 @@ class Region:
         own = self.flat[self.at[x] : self.at[x + 1]]
         self.mark[own] = True
         n = self.n[ids]
-        if len(ids) == len(self.n):
-            got = np.add.reduceat(self.mark[self.flat], self.at[:-1])
-        else:
-            ends = np.cumsum(n)
-            pick = np.repeat(self.at[ids] - (ends - n), n) + np.arange(ends[-1])
-            got = np.add.reduceat(self.mark[self.flat[pick]].astype(np.int64), ends - n)
+        ends = np.cumsum(n)
+        pick = np.repeat(self.at[ids] - (ends - n), n) + np.arange(ends[-1])
+        got = np.add.reduceat(self.mark[self.flat[pick]].astype(np.int64), ends - n)
         self.mark[own] = False
         self.compared += len(ids)
         return got
 
-    def visit(self, x: int, ids: np.ndarray) -> np.ndarray:
-        """Distances from x to `ids`; those near enough become one component with x."""
-        both = self.overlap(x, ids)
-        union = self.n[x] + self.n[ids] - both
-        for other in np.unique(self.label[ids[100 * both >= self.percent * union]]):
-            a, b = sorted((int(other), int(self.label[x])))
-            if a != b:
-                self.label[self.label == b] = a
-        return 1 - both / union
-
-    def join(self, ids: np.ndarray, depth: int = 0) -> None:
-        """Find all links among `ids` that connect components."""
-        eps = 1e-9
-        if len(ids) < 2 or (self.label[ids] == self.label[ids[0]]).all():
-            return
-        if len(ids) > self.SPLIT and depth < 6:
-            by_size = ids[np.lexsort((ids, self.n[ids]))]
-            pivots = by_size[np.linspace(0, len(ids) - 1, self.PIVOTS).astype(int)]
-            d = np.stack([self.visit(int(p), ids) for p in pivots])
-            owner = d.argmin(0)
-            own = d.min(0)
-            far = own >= 1
-            parts = []
-            for j in range(len(pivots)):
-                mine = (owner == j) & ~far
-                if mine.any():
-                    reach = d[j][mine].max() + self.r  # nobody beyond is near a member
-                    guest = (d[j] - own <= 2 * self.r + eps) & (d[j] <= reach + eps)
-                    parts.append(ids[mine | guest])
-            if far.any():  # members touch no pivot, so what is near them nearly touches none
-                parts.append(ids[far | (d >= 1 - self.r - eps).all(0)])
-            if max(map(len, parts)) <= 0.8 * len(ids):
-                for part in parts:
-                    self.join(part, depth + 1)
-                return
-        known: list[np.ndarray] = []
-        n = self.n[ids]
-        for i, x in enumerate(ids.tolist()):
-            may = self.label[ids] != self.label[x]
-            may &= (100 * n >= self.percent * self.n[x]) & (self.percent * n <= 100 * self.n[x])
-            may[: i + 1] = False  # those before have looked this way
-            for d in known:
-                if not may.any():
-                    break
-                may &= np.abs(d - d[i]) <= self.r + eps
-            if not may.any():
-                continue
-            if len(known) < 8:
-                known.append(self.visit(x, ids))
-            else:
-                self.visit(x, ids[may])
-
     def links(self) -> Iterator[tuple[int, np.ndarray]]:
         """Every link once: a set's number and those of the later sets, in order of size, that it is linked with."""
         ids = np.lexsort((np.arange(len(self.n)), self.n))
+        yield from self._links(ids, self.guest[ids], np.zeros((0, len(ids))), self.bit)
+
+    def _links(self, ids: np.ndarray, guest: np.ndarray, known: np.ndarray, bit: int) -> Iterator[tuple[int, np.ndarray]]:
+        if len(ids) < 2 or np.bitwise_and.reduce(guest):
+            return
+        if len(ids) > self.LEAF:
+            pivots = ids[np.linspace(0, len(ids) - 1, min(max(self.PIVOTS, int(1.5 * len(ids) ** 0.5)), len(ids) // 3)).astype(int)]
+            d = np.array([1 - (b := self.overlap(int(p), ids)) / (self.n[p] + self.n[ids] - b) for p in pivots])
+            known = np.concatenate((known, d))[-self.KEPT :]
+            parts = voronoi(d, self.r)
+            sizes = [len(at) for at, _ in parts]
+            if bit < 62 and 2 * max(sizes) <= len(ids) and 2 * sum(sizes) <= 3 * len(ids):
+                for at, other in parts:
+                    yield from self._links(ids[at], guest[at] | np.where(other, 1 << bit, 0), known[:, at], bit + 1)
+                return
+        yield from self._compared(ids, guest, known)
+
+    def _compared(self, ids: np.ndarray, guest: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         n = self.n[ids]
-        pivots = ids[np.linspace(0, len(ids) - 1, min(self.PIVOTS, len(ids) // 16)).astype(int)]
-        every = np.arange(len(ids))
-        known = np.array([1 - (b := self.overlap(int(p), every)[ids]) / (self.n[p] + n - b) for p in pivots])
         last = np.searchsorted(self.percent * n, 100 * n, "right")  # beyond, sets are too large
         for i, x in enumerate(ids.tolist()):
             may = np.arange(i + 1, last[i])
+            may = may[(guest[may] & guest[i]) == 0]
             for d in known:
-                may = may[np.abs(d[may] - d[i]) <= self.r + 1e-9]
+                may = may[np.abs(d[may] - d[i]) <= self.r + EPS]
             if not len(may):
                 continue
-            both = self.overlap(x, ids[may])
-            near = ids[may[100 * both >= self.percent * (self.n[x] + n[may] - both)]]
+            sure = (known[:, may] + known[:, i : i + 1] <= self.r - EPS).any(0)
+            rest = may[~sure]
+            if len(rest):
+                both = self.overlap(x, ids[rest])
+                rest = rest[100 * both >= self.percent * (self.n[x] + n[rest] - both)]
+            near = ids[np.concatenate((may[sure], rest))]
+            if self.home is not None:
+                near = np.array([y for y in near.tolist() if np.intersect1d(self.near[x], self.near[y])[0] == self.home], np.int64)
             if len(near):
                 yield x, near
 
 
-def _joined(percent: int):
-    """For a cluster or region: a star of links a component, with null c; and the links of each set.
+EPS = 1e-9
+
+
+def voronoi(d: np.ndarray, r: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(members and guests, which are guests) of each region, from distances of pivots (rows) to members (columns)."""
+    owner, own = d.argmin(0), d.min(0)
+    owner[own >= 1] = -1
+    parts = []
+    for j in range(-1, len(d)):
+        mine = owner == j
+        if not mine.any():
+            continue
+        if j < 0:
+            other = ~mine & (own >= 1 - r - EPS)
+        else:  # nobody beyond the region's radius and r is near a member
+            other = (owner > j) & (d[j] - own <= 2 * r + EPS) & (d[j] <= d[j][mine].max() + r + EPS)
+        at = np.flatnonzero(mine | other)
+        parts.append((at, other[at]))
+    return parts
 
-    c rows are rows linked with u; from a region of a split cluster, v names one set linked with u and c is its rows.
-    """
+
+FOUND = "u binary, v binary, c long, whole boolean"
+
+
+def _found(region: Region, nodes: list[bytes], rows: np.ndarray, whole: bool) -> pa.RecordBatch:
+    """A star of links for each component, with null c, and the number of rows that each set is linked with here, with null v."""
+    label, degree = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+    for x, ys in region.links():
+        degree[x] += rows[ys].sum()
+        degree[ys] += rows[x]
+        old = np.unique(label[np.append(ys, x)])
+        if len(old) > 1:
+            label[np.isin(label, old[1:])] = old[0]
+    out = [(nodes[i], nodes[root], None, whole) for i, root in enumerate(label.tolist()) if i != root]
+    out += [(nodes[i], None, int(degree[i]), whole) for i in np.flatnonzero(degree).tolist()]
+    types = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, types)], names=["u", "v", "c", "whole"])
+
+
+def _region(table: pa.Table, percent: int, side=None) -> tuple[Region, list[bytes], np.ndarray]:
+    sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
+    home = table.column("home")[0].as_py()
+    near = None if home is None else [np.array(x, np.int64) for x in table.column("near").to_pylist()]
+    guest = table.column("guest").to_numpy().astype(np.int64)
+    return Region(sets, percent, guest, side, home, near), table.column("node").to_pylist(), table.column("rows").to_numpy()
+
+
+def _joined(percent: int):
+    """Joins a region in one task; a cluster that was never parted is `whole`."""
 
     def run(key, table):
-        nodes = table.column("node").to_pylist()
-        rows = table.column("rows").to_numpy()
-        region = Region([np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()], percent)
-        region.join(np.arange(len(nodes)))
-        star = [(nodes[i], nodes[root], None) for i, root in enumerate(region.label.tolist()) if i != root]
-        if "/" in key[0].as_py():
-            out = [(nodes[a], nodes[b], int(rows[b])) for x, ys in region.links() for y in ys.tolist() for a, b in ((x, y), (y, x))]
-        else:
-            degree = np.zeros(len(nodes), np.int64)
-            for x, ys in region.links():
-                degree[x] += rows[ys].sum()
-                degree[ys] += rows[x]
-            out = [(nodes[i], None, int(degree[i])) for i in np.flatnonzero(degree).tolist()]
-        cols = list(zip(*star, *out)) or [()] * 3
-        return pa.table({n: pa.array(c, t) for n, c, t in zip("uvc", cols, (pa.binary(), pa.binary(), pa.int64()))})
+        return pa.Table.from_batches([_found(*_region(table, percent), "/" not in key[0].as_py())])
 
     return run
 
 
-def split(members: DataFrame, percent: int, most: int, rounds: int = 4, pivots: int = 16) -> tuple[DataFrame, DataFrame | None]:
-    """Split clusters of over `most` shingles into Voronoi regions with windows; (members, links found on the way).
+# ------------------------------------------------------------------ clusters too large for a task
 
-    members: cluster (string), node, set, rows.  A round picks about `pivots` members of each large
-    cluster by hash, measures all against them, and deals every member to its own region and,
-    by the triangle inequality, to those of possible partners.
-    """
-    links = None
+MEMBER = "cluster string, node binary, set binary, rows long, guest long, home long, near array<long>"
+
+
+def _by_pivots(large: DataFrame, percent: int, level: int, pivots: int = 16) -> DataFrame:
+    """`large` with `subs`: the regions of each member, array<struct<sub, guest>>; large also has `docs` and `least`, one of the cluster's nodes."""
     r = 1 - percent / 100
-    for round_ in range(rounds):
-        sizes = members.groupBy("cluster").agg(F.sum(F.octet_length("set") / 8).alias("total"), F.count(F.lit(1)).alias("docs")).where((F.col("total") > most) & (F.col("docs") > 2 * pivots))
-        sizes = saved(sizes, "large")
+    pick = F.pmod(F.xxhash64("node", F.lit(level)), F.greatest(F.lit(1), F.floor(F.col("docs") / pivots)).cast("long")) == 0
+    picked = large.where(pick | (F.col("node") == F.col("least")))
+    chosen = picked.groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("node", F.lit(level)).alias("o"), "set"))), 1, pivots)["set"].alias("pivots"))
+    schema = MEMBER + ", total double, subs array<struct<sub:int,guest:boolean>>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, marks = None, None
+        for batch in batches:
+            subs = []
+            for cluster, raw, chosen_ in zip(*(batch.column(c).to_pylist() for c in ("cluster", "set", "pivots"))):
+                if cluster != last:
+                    last, marks = cluster, [np.frombuffer(p, np.uint64) for p in chosen_]
+                s = np.frombuffer(raw, np.uint64)
+                both = np.array([len(np.intersect1d(s, t, assume_unique=True)) for t in marks])
+                d = 1 - both / (len(s) + np.array([len(t) for t in marks]) - both)
+                own = int(d.argmin()) if d.min() < 1 else -1
+                to = [(own, False)]
+                if own >= 0:
+                    if d.min() >= 1 - r - EPS:
+                        to.append((-1, True))
+                    to += [(j, True) for j in np.flatnonzero(d[:own] - d.min() <= 2 * r + EPS).tolist()]
+                subs.append([{"sub": j, "guest": g} for j, g in to])
+            kind = pa.list_(pa.struct([("sub", pa.int32()), ("guest", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(subs, kind)], names=names)
+
+    return large.join(chosen, "cluster").select(*names[:-1], "pivots").mapInArrow(deal, schema)
+
+
+def parted(members: DataFrame, windows: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(regions of at most `most` shingles, members of regions that nothing parts).
+
+    members: columns MEMBER; windows: node, near.
+    """
+    small: list[DataFrame] = []
+    stuck: list[DataFrame] = []
+    level = 0
+    bytes_ = F.octet_length("set") / 8
+    while True:
+        sizes = members.groupBy("cluster").agg(F.sum(bytes_).alias("total"), F.count(F.lit(1)).alias("docs"), F.min_by("node", F.xxhash64("node", F.lit(level))).alias("least"))
+        sizes = saved(sizes.where((F.col("total") > most) & (F.col("docs") > 1)), "large")
         if sizes.isEmpty():
+            small.append(members)
+            break
+        small.append(members.join(sizes.select("cluster"), "cluster", "left_anti"))
+        dealt = saved(_by_pivots(members.join(sizes, "cluster"), percent, level), "dealt")
+        each = dealt.select("cluster", "total", bytes_.alias("size"), F.explode("subs").alias("s"))
+        parts = each.groupBy("cluster", "s.sub").agg(F.sum("size").alias("size"), F.first("total").alias("total"))
+        # a level must halve the largest region, and replicate by half of all at most
+        works = parts.groupBy("cluster").agg(((2 * F.max("size") <= F.first("total")) & (2 * F.sum("size") <= 3 * F.first("total"))).alias("works"))
+        known = dealt.join(saved(works, "works"), "cluster")
+        of = [c.split()[0] for c in MEMBER.split(", ")]
+        apart = known.where("works").withColumn("s", F.explode("subs"))
+        apart = apart.withColumn("cluster", F.concat_ws("/", "cluster", "s.sub")).withColumn("guest", F.when(F.col("s.guest"), F.col("guest").bitwiseOR(F.lit(1 << level))).otherwise(F.col("guest"))).select(of)
+        rest = known.where("not works").select(*of, "total")
+        by_shingle, whole = _by_shingles(rest, windows)
+        stuck.append(whole)
+        members = saved(apart.unionByName(by_shingle.select(of)), "members")
+        level += 1
+        if level > 40:  # every round halves regions, so 2 ** 40 times `most` shingles come first
+            stuck.append(members.withColumn("total", F.sum(bytes_).over(W.partitionBy("cluster"))))
             break
-        tagged = members.join(sizes, "cluster", "left")
-        every = F.greatest(F.lit(1), F.col("docs").cast("long") / pivots).cast("long")
-        picked = members.join(sizes, "cluster").where(F.pmod(F.xxhash64("node", F.lit(round_)), every) == 0)
-        chosen = picked.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("node", "set"))).alias("pivots"))
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for cluster, node, raw, rows, chosen_ in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "set", "rows", "pivots"))):
-                    s = np.frombuffer(raw, np.uint64)
-                    d = []
-                    for p in chosen_:
-                        t = np.frombuffer(p["set"], np.uint64)
-                        both = len(np.intersect1d(s, t, assume_unique=True))
-                        union = len(s) + len(t) - both
-                        d.append(1 - both / union)
-                        if 100 * both >= percent * union and p["node"] != node:
-                            out.append((None, node, None, None, p["node"]))
-                    own = min(d)
-                    if own >= 1:
-                        out.append((f"{cluster}/far", node, raw, rows, None))
-                        continue
-                    if min(d) >= 1 - r - 1e-9:
-                        out.append((f"{cluster}/far", node, raw, rows, None))
-                    out += [(f"{cluster}/{j}", node, raw, rows, None) for j, x in enumerate(d) if x - own <= 2 * r + 1e-9 and x < 1 or x == own]
-                    # a member at distance 1 of pivot j may still be near one of j's: those at 1 - r or more
-                    out += [(f"{cluster}/{j}", node, raw, rows, None) for j, x in enumerate(d) if x >= 1 and x - own <= 2 * r + 1e-9]
-                cols = list(zip(*out)) if out else [(), (), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["cluster", "node", "set", "rows", "to"])
-
-        dealt = members.join(chosen, "cluster").select("cluster", "node", "set", "rows", "pivots").mapInArrow(deal, "cluster string, node binary, set binary, rows long, to binary")
-        dealt = saved(dealt, "regions")
-        found = dealt.where("to is not null").select(F.col("node").alias("u"), F.col("to").alias("v"))
-        links = found if links is None else links.unionByName(found)
-        members = saved(tagged.where("total is null").select("cluster", "node", "set", "rows").unionByName(dealt.where("to is null").select("cluster", "node", "set", "rows").distinct()), "members")
-    return members, links
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts) if parts else None
+    return union(small), union(stuck)
+
+
+def _by_shingles(rest: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members dealt to their window shingles, members of clusters which that does not part)."""
+    bare = rest.where("home is null").drop("near").join(windows.select("node", "near"), "node")
+    each = bare.select("cluster", "total", (F.octet_length("set") / 8).alias("size"), F.explode("near").alias("h"))
+    shingles = each.groupBy("cluster", "h").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("total").alias("total")).where("n > 1")
+    works = saved(shingles.groupBy("cluster").agg(F.max("size").alias("top"), F.sum("size").alias("all"), F.first("total").alias("t")).where("4 * top <= t and all <= 8 * t").select("cluster"), "chains")
+    dealt = bare.join(works, "cluster").withColumn("home", F.explode("near"))
+    # a shingle that one member alone has leads to nobody
+    dealt = dealt.join(shingles.select("cluster", F.col("h").alias("home")), ["cluster", "home"], "left_semi")
+    dealt = dealt.withColumn("cluster", F.concat_ws("/", "cluster", F.concat(F.lit("s"), F.hex("home")))).drop("total")
+    return dealt, rest.join(works, "cluster", "left_anti")
+
+
+def _blocks_joined(stuck: DataFrame, percent: int, most: int) -> DataFrame:
+    """Joins regions that nothing parts, two blocks a task; members are stored once, not sent to every task."""
+    spark = stuck.sparkSession
+    folder = shared_dir(spark, "blocks")
+    size = F.least(F.greatest(F.col("total") / 512, F.lit(most / 2)), F.lit(float(LARGEST_BLOCK)))
+    dealt = stuck.withColumn("block", F.pmod(F.xxhash64("node", F.lit(-1)), F.ceil(F.col("total") / size)))
+
+    def store(key, table):
+        path = f"{folder}/{uuid.uuid4().hex}.arrow"
+        sink = pa.BufferOutputStream()
+        kept = table.select(["node", "set", "rows", "guest", "home", "near"]).combine_chunks()
+        with pa.ipc.new_stream(sink, kept.schema) as out:
+            out.write_table(kept)
+        write_shared(path, sink.getvalue())
+        return pa.table({"cluster": [key[0].as_py()], "block": [key[1].as_py()], "path": [path]}, schema=pa.schema([("cluster", pa.string()), ("block", pa.int64()), ("path", pa.string())]))
+
+    files = saved(dealt.groupBy("cluster", "block").applyInArrow(store, "cluster string, block long, path string"), "files")
+    n = files.count()
+    a, b = files.toDF("cluster", "i", "a"), files.toDF("cluster", "j", "b")
+    pairs = a.join(b, "cluster").where("i <= j").select("a", "b")
+    pairs = pairs.repartition(max(2 * spark.sparkContext.defaultParallelism, n), "a", "b")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda path: pa.ipc.open_stream(pa.py_buffer(map_shared(path, np.uint8))).read_all()
+        for batch in batches:
+            for x, y in zip(*(batch.column(c).to_pylist() for c in range(2))):
+                if x == y:
+                    yield _found(*_region(read(x), percent), False)
+                    continue
+                first, second = read(x), read(y)
+                side = np.repeat([False, True], [first.num_rows, second.num_rows])
+                yield _found(*_region(pa.concat_tables([first, second]), percent, side), False)
+
+    return pairs.mapInArrow(tidy(join), FOUND)
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5, most: int = CLUSTER) -> DataFrame:
@@ -391,8 +482,12 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
     Two rows are linked when 100 * intersection >= percent * union; component_id is the
     smallest key that links lead to, the own one included; n_links is the number of
-    other rows the row is linked with, rows of an equal set included.  most: shingles of a cluster that
+    other rows the row is linked with, rows of an equal set included.  most: shingles of a region that
     one task joins.
+
+    The key may have any type that Spark orders.  Repeated rows, and rows that share a key, are rows of
+    their own; null keys come after all others, so a component_id is null where all keys of a component are.
+    Other columns, whatever their names, take no part.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -400,23 +495,25 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     ranges = counted_shingles(docs, text, width, folder)
     all_rows = saved(_windows(docs, key, text, percent, width, folder, ranges), "windows")
     some = all_rows.where("node is not null")
-    nodes = saved(some.groupBy("node").agg(F.min(F.struct(F.coalesce("key", F.lit(0)).alias("k"), "near", "set")).alias("x"), F.count(F.lit(1)).alias("rows")).select("node", "x.near", "x.set", "rows"), "nodes")
+    nodes = saved(some.groupBy("node").agg(F.first("near").alias("near"), F.first("set").alias("set"), F.count(F.lit(1)).alias("rows")), "nodes")
     meets = nodes.select("node", F.explode("near").alias("h"))
     hub = saved(meets.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "hubs")
     stars = meets.join(hub, "h").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     clusters = components(stars)
-    members = clusters.join(nodes.select("node", "set", "rows"), "node").select(F.hex("label").alias("cluster"), "node", "set", "rows")
-    members, early = split(saved(members, "members"), percent, most)
-    found = saved(members.groupBy("cluster").applyInArrow(_joined(percent), "u binary, v binary, c long"), "links")
-    links = found.where("c is null").select("u", "v")
-    if early is not None:
-        roots = components(links.unionByName(early))
-    else:  # each is a star already
-        roots = links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-    # a pivot is dealt like any member, so links found early are among the regions' too
-    counts = found.where("c is not null and v is null").select("u", "c").unionByName(found.where("c is not null and v is not null").distinct().select("u", "c"))
+    members = clusters.join(nodes.select("node", "set", "rows"), "node")
+    members = saved(members.select(F.hex("label").alias("cluster"), "node", "set", "rows", F.lit(0).cast("long").alias("guest"), F.lit(None).cast("long").alias("home"), F.lit(None).cast("array<long>").alias("near")), "members")
+    small, stuck = parted(members, nodes, percent, most)
+    found = saved(small.groupBy("cluster").applyInArrow(_joined(percent), FOUND), "links")
+    if stuck is not None:
+        found = found.unionByName(saved(_blocks_joined(stuck, percent, most), "links"))
+    links = found.where("v is not null")
+    # a cluster that one task joined has one star a component already
+    whole = links.where("whole").select("u", "v")
+    roots = whole.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(whole.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    if stuck is not None:
+        roots = roots.unionByName(components(links.where("not whole").select("u", "v")))
     own = nodes.where("rows > 1").select(F.col("node").alias("u"), (F.col("rows") - 1).alias("c"))
-    degrees = saved(counts.unionByName(own).groupBy(F.col("u").alias("node")).agg(F.sum("c").alias("n_links")), "degrees")
+    degrees = saved(found.where("c is not null").select("u", "c").unionByName(own).groupBy(F.col("u").alias("node")).agg(F.sum("c").alias("n_links")), "degrees")
     roots = saved(roots, "roots")
     thin = all_rows.select("key", "n", "node")
     roots = degrees.join(roots, "node", "full").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -430,7 +430,7 @@ def brute_components(rows, percent=75):
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
-@pytest.mark.parametrize("most", [jaccard_join.CLUSTER, 2000])
+@pytest.mark.parametrize("most", [jaccard_join.CLUSTER, 300])
 def test_jaccard_join_brute_force(spark, most):
     rows = documents(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -438,29 +438,80 @@ def test_jaccard_join_brute_force(spark, most):
     assert got == brute_components(rows)
 
 
-def test_regions_against_all_pairs():
-    rng = np.random.default_rng(1)
-    sets = []
-    for _ in range(12):
-        base = rng.choice(10**6, 60, replace=False)
-        for _ in range(25):
+def families(rng, groups, copies, words, edits):
+    """Sets of numbers: groups of copies, each with up to so many edits."""
+    out = []
+    for _ in range(groups):
+        base = rng.choice(10**6, words, replace=False)
+        for _ in range(copies):
             s = set(base.tolist())
-            for _ in range(int(rng.integers(0, 14))):
+            for _ in range(int(rng.integers(0, edits + 1))):
                 s.discard(int(rng.choice(base)))
                 s.add(int(rng.integers(10**6)))
-            sets.append(np.array(sorted(s), np.uint64))
-    plain, split = (jaccard_join.Region(sets, 75) for _ in range(2))
-    split.SPLIT, split.PIVOTS = 20, 5
-    for r in (plain, split):
-        r.join(np.arange(len(sets)))
-    label = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            n = len(np.intersect1d(a, sets[j]))
-            if 100 * n >= 75 * (len(a) + len(sets[j]) - n):
-                x, y = sorted((label[i], label[j]))
-                label = [x if v == y else v for v in label]
-    assert plain.label.tolist() == label == split.label.tolist()
+            out.append(np.array(sorted(s), np.uint64))
+    return out
+
+
+def linked(a, b):
+    n = len(np.intersect1d(a, b))
+    return 100 * n >= 75 * (len(a) + len(b) - n)
+
+
+def test_regions_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(1)
+    for sets in (families(rng, 12, 25, 60, 13), families(rng, 1, 200, 60, 4), families(rng, 150, 2, 8, 1)):
+        every = {(i, j) for i, a in enumerate(sets) for j in range(i) if linked(a, sets[j])}
+        pairs = lambda region: [tuple(sorted((x, y), reverse=True)) for x, ys in region.links() for y in ys.tolist()]
+        for leaf, pivots in ((8, 8), (2, 5), (1000, 8)):
+            region = jaccard_join.Region(sets, 75)
+            region.LEAF, region.PIVOTS = leaf, pivots
+            got = pairs(region)
+            assert len(got) == len(set(got)) and set(got) == every
+        assert leaf == 1000 or region.compared < len(sets) ** 2 / 4
+        side = rng.random(len(sets)) < 0.5
+        got = pairs(jaccard_join.Region(sets, 75, side=side))
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in every if side[i] != side[j]}
+        guest = rng.integers(0, 8, len(sets))
+        got = pairs(jaccard_join.Region(sets, 75, guest))
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in every if not guest[i] & guest[j]}
+    # families that lie far apart are parted, not compared
+    region = jaccard_join.Region(families(rng, 40, 10, 60, 3), 75)
+    assert sum(len(ys) for _, ys in region.links()) == 40 * 45 and region.compared < 400 * 399 / 2 / 3
+
+
+def test_jaccard_join_of_thousands_of_near_copies(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(50)]
+    texts = []
+    for _ in range(1500):
+        t = list(words)
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(50)] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    # a chain: each document shares a rare passage with the next one, none is near another
+    texts += [" ".join([f"c{i}x{j}" for j in range(8)] + [f"a{i}y{j}" for j in range(40)] + [f"c{i + 1}x{j}" for j in range(8)]) for i in range(300)]
+    made = {}
+    saved = jaccard_join.saved
+
+    def counted(df, what):
+        out = saved(df, what)
+        made.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "saved", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_join.joined(docs, most=3000).collect()}
+    # every round deals at most half as many rows again, and members of blocks are stored once
+    assert all(b <= 2 * a for a, b in zip(made["members"], made["members"][1:])) and made["files"][0] > 10
+    sets = [shingles(t) for t in texts]
+    number = {x: i for i, x in enumerate(set().union(*sets))}
+    m = np.zeros((len(texts), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    near = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    assert [got[i][1] for i in range(len(texts))] == (near.sum(1) - 1).astype(int).tolist()
+    assert all(got[i][0] == (0 if i < 1500 and near[i].sum() > 1 else i) for i in range(len(texts)))
 
 
 def test_jaccard_join_of_awkward_tables(awkward, empty):
@@ -468,6 +519,11 @@ def test_jaccard_join_of_awkward_tables(awkward, empty):
     assert len(got) == len(AWKWARD)
     assert {c for d, _, c in got if d in (3, 7)} == {3} and (1, 0, 1) in got and (2, 0, 2) in got
     assert jaccard_join.joined(empty).count() == 0
+    named = awkward.withColumn("doc_id", F.format_string("k%s", F.col("doc_id")))
+    got = {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.joined(named).collect()}
+    assert {("k7", "k3", 2), ("k3", "k3", 2), ("k1", "k1", 0)} <= got
+    keyless = jaccard_join.joined(awkward.withColumn("doc_id", F.lit(None).cast("int"))).collect()
+    assert len(keyless) == len(AWKWARD) and {r["component_id"] for r in keyless} == {None} and sorted(r["n_links"] for r in keyless)[-3:] == [2, 2, 2]
 
 
 @pytest.mark.parametrize("most", [2500, jaccard_join.CLUSTER])
