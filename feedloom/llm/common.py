@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import sys
@@ -38,12 +39,14 @@ by_value(__name__)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or, where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or, where it is unset on one machine (tests), a temporary one."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(sc, "_feedloom_root", None)
         if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="feedloom-")
             sc._feedloom_root = root
             sc.setCheckpointDir(root)
@@ -64,6 +67,12 @@ def _tidy() -> None:
     for path in _ours:
         if (local := local_path(path)) is not None:
             shutil.rmtree(local, ignore_errors=True)
+            continue
+        with contextlib.suppress(Exception):  # the process ends; what cannot be reached stays
+            from pyarrow import fs
+
+            store, inner = fs.FileSystem.from_uri(path)
+            store.delete_dir(inner)
 
 
 def local_path(uri: str) -> str | None:

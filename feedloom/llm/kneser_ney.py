@@ -1,24 +1,35 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and mapped by workers.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and mapped by workers.
 
 Counting.  Tasks turn their texts into token hashes, count them in sorted blocks, and send
 the blocks by hash range; a range is merged in one task and stored in the shared folder as
 a sorted array of hashes beside one of counts.  A token's place in all ranges is its id.
-Pairs of ids are counted in the same way, by ranges of the first id, so that all followers
-of a token lie together; with them go the context's total and its numbers of followers seen
-once, twice and more.  From the distinct pairs come the continuation counts of the lower
-order.  Everything grows with the corpus and lies in ranges of bounded mean size; only sums
-of a few numbers for each range reach the driver.
+n-grams of ids are counted in the same way, by ranges of a hash of their context (all tokens but
+the last), so that all followers of a context lie together, and even a frequent first token's
+n-grams are dealt to many tasks.  A block holds its distinct n-grams in order, column by column,
+compressed; that takes two to four bytes an n-gram.  The merge of a range stores its table, one
+file, and sends on what the next lower order counts: for each (n-1)-gram that ends an n-gram,
+how many n-grams of the range it ends.  So the lower orders have continuation counts, down to
+single tokens.  Everything grows with the corpus and lies in ranges of bounded mean size; only a
+few numbers for each range reach the driver.  All n-grams are counted and kept, at any count.
 
-Scoring.  Workers map the arrays and look up the sorted tokens and pairs of a batch.
+A table.  Contexts are sorted by 64-bit hash.  Those with one follower seen once, most of them,
+are a hash and a token; the others have a list of followers, sorted, with counts, and the total and the
+numbers of followers seen once, twice and more.  Numbers are bytes; what does not fit has a
+place in a list of exceptions, in 64 bits.
 
-    P(v|u) = (c(uv) - D(c)) / c(u.) + g(u) P(v)
-    P(v)   = (N(.v) - d(N)) / N(..) + g / (V + 1)
+Scoring.  Workers map the files and look up the sorted contexts of a batch.
+
+    P(w|c) = (n(cw) - D(n)) / n(c.) + g(c) P(w|c')      c': c without its first token
+    P(w)   = (N(.w) - d(N)) / N(..) + g / (V + 1)
 
 with three discounts for each order from the counts of counts, and one more class for all
-unknown tokens.  A text is bounded by end tokens; the last one counts as a token.
+unknown tokens.  A context that the corpus does not have leaves it to the lower order.  A text
+stands between end tokens: order - 1 before it, and one behind, which counts as a token.
 
 Tokens: A-Z lower-cased, runs without white space.  A null text counts as empty, which has
-the end token only.  An empty training set leaves the uniform distribution.
+the end token only.  An empty training set leaves the uniform distribution.  Rows and other
+columns pass through; of n_tokens, n_known, base_score, score and perplexity the operator's own
+replace them.  Repeated rows count as often as they are there, and get equal scores.
 """
 
 from __future__ import annotations
@@ -32,13 +43,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_value, hashed, map_shared, shared_dir, small_batches, words_of, write_shared
+from .common import WordHash, by_value, hashed, map_shared, mix, shared_dir, small_batches, tidy, words_of, write_shared
 
 by_value(__name__)
 
+#: Model order by default: trigrams.
+ORDER = 3
 #: No word has white space, so no word has this hash.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
-BLOCK, RANGE = 3_000_000, 8_000_000
+BLOCK, RANGE = 2_000_000, 4_000_000
 BLOCKS = "range int, once binary, more binary, counts binary"
 
 
@@ -110,23 +123,16 @@ class Model:
 
     folder: str
     ranges: int
-    first: list[int] = field(default_factory=list)  # id of each range's first token, and of none
+    order: int = ORDER
+    types: int = 0
     total: int = 0
-    pairs: int = 0
-    d2: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    d1: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    low: float = 1.0  # share of the uniform distribution in the lower order
+    pairs: int = 0  # distinct bigrams, the sum of the continuation counts
+    discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)  # by order
+    low: float = 1.0  # share of the uniform distribution in the lowest order
 
     @property
-    def types(self) -> int:
-        return self.first[-1]
-
-    def pair_range(self, u: np.ndarray) -> np.ndarray:
-        """Ranges of equal numbers of first ids."""
-        return np.minimum(u // np.uint64(-(-max(1, self.types) // self.ranges)), self.ranges - 1).astype(np.int64)
-
-    def pair_from(self, r: int) -> int:
-        return r * -(-max(1, self.types) // self.ranges)
+    def dtype(self):
+        return np.uint32 if self.types < 1 << 32 else np.uint64
 
 
 class Arrays:
@@ -134,7 +140,7 @@ class Arrays:
 
     def __init__(self, model: Model):
         self.m, self.maps = model, {}
-        self.first = np.array(model.first, np.int64)
+        self.first = map_shared(f"{model.folder}/uni/first", np.int64)  # id of each range's first token, and of none
 
     def _map(self, name: str, dtype):
         if name not in self.maps:
@@ -149,9 +155,7 @@ class Arrays:
     def ids(self, tokens: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; -1 for unknown ones."""
         out = np.full(len(tokens), -1, np.int64)
-        of = hash_range(tokens, self.m.ranges)
-        rs, starts = np.unique(of, return_index=True)
-        for r, a, b in zip(rs.tolist(), starts.tolist(), [*starts[1:].tolist(), len(tokens)]):
+        for r, a, b in runs(hash_range(tokens, self.m.ranges)):
             known = self._map(f"uni/{r:07d}.hash", np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, tokens[a:b]), len(known) - 1)
@@ -161,34 +165,206 @@ class Arrays:
     def at_ids(self, ids: np.ndarray, ending: str, dtype) -> np.ndarray:
         """Values beside the tokens of sorted ids."""
         out = np.zeros(len(ids), dtype)
-        r = np.searchsorted(self.first, ids, "right") - 1
-        rs, starts = np.unique(r, return_index=True)
-        for k, a, b in zip(rs.tolist(), starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+        for k, a, b in runs(np.searchsorted(self.first, ids, "right") - 1):
             out[a:b] = self._map(f"uni/{k:07d}.{ending}", dtype)[ids[a:b] - self.first[k]]
         return out
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs."""
-        out = np.zeros(len(keys), np.float64)
-        for r, a, b in self._by_range(keys >> np.uint64(32)):
-            known = self._map(f"pair/{r:07d}.key", np.uint64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-                out[a:b] = np.where(known[at] == keys[a:b], self._map(f"pair/{r:07d}.count", np.uint32)[at], 0)
-        return out
+    def table(self, order: int, r: int) -> "Table":
+        name = f"{order}/{r:07d}"
+        if name not in self.maps:
+            if len(self.maps) > 8192:
+                self.maps.clear()
+            try:
+                self.maps[name] = Table(map_shared(f"{self.m.folder}/{name}", np.uint8), self.m.dtype)
+            except FileNotFoundError:
+                self.maps[name] = None
+        return self.maps[name]
 
-    def contexts(self, u: np.ndarray) -> np.ndarray:
-        """Total, followers seen once, twice, more of sorted ids."""
-        out = np.zeros((len(u), 4), np.float64)
-        for r, a, b in self._by_range(u):
-            rows = self._map(f"pair/{r:07d}.context", np.uint32)
-            if len(rows):
-                out[a:b] = rows.reshape(-1, 4)[u[a:b].astype(np.int64) - self.m.pair_from(r)]
-        return out
+    def look(self, order: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams, by the hash of the context and the id of the last token, and the contexts' four numbers."""
+        count, stats = np.zeros(len(contexts)), np.zeros((len(contexts), 4))
+        sort = np.argsort(contexts)
+        keys = contexts[sort]
+        for r, a, b in runs(hash_range(keys, self.m.ranges)):
+            if (t := self.table(order, r)) is not None:
+                count[sort[a:b]], stats[sort[a:b]] = t.look(keys[a:b], words[sort[a:b]])
+        return count, stats
+
+
+def runs(sorted_: np.ndarray):
+    """(value, start, end) of each run of equal values."""
+    values, starts = np.unique(sorted_, return_index=True)
+    return zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_)])
+
+
+def context_hash(cols: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def as_bytes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes, 255 for those that do not fit; and these in order."""
+    big = numbers >= 255
+    return np.where(big, 255, numbers).astype(np.uint8), numbers[big].astype(np.uint64)
+
+
+class Table:
+    """One range's n-grams of one order, in one array of bytes."""
+
+    NAMES = ("key1", "word1", "key", "start", "stat", "stat_big", "word", "count", "count_at", "count_big", "stat_at")
+
+    def __init__(self, raw: np.ndarray, dtype):
+        kinds = (np.uint64, dtype, np.uint64, np.uint32, np.uint8, np.uint64, dtype, np.uint8, np.uint32, np.uint64, np.uint32)
+        ends = np.frombuffer(raw[: 8 * len(kinds)].tobytes(), np.uint64).astype(np.int64).tolist()
+        at = 8 * len(kinds)
+        for name, kind, end in zip(self.NAMES, kinds, ends):
+            setattr(self, name, raw[at:end].view(kind))
+            at = -(-end // 8) * 8
+
+    @classmethod
+    def made(cls, contexts: list[np.ndarray], words: np.ndarray, counts: np.ndarray, dtype) -> tuple[bytes, list[int]]:
+        """The bytes of a table, from n-grams in order of their contexts' ids; and the number of n-grams seen once to four times."""
+        new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in contexts], axis=0)))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(words)))
+        lone = (size == 1) & (counts[start] == 1)
+        keys = context_hash([c[start] for c in contexts])
+        alone = np.flatnonzero(lone)
+        alone = alone[np.argsort(keys[alone])]
+        many = np.flatnonzero(~lone)
+        many = many[np.argsort(keys[many])]
+        n = size[many]
+        ends = np.cumsum(n)
+        rows = np.repeat(start[many] - (ends - n), n) + np.arange(int(n.sum()))
+        own = counts[rows]
+        begin = (ends - n).astype(np.int64)
+        sums = np.stack([np.add.reduceat(x.astype(np.uint64), begin) if len(begin) else np.zeros(0, np.uint64) for x in (own, own == 1, own == 2, own >= 3)], 1).reshape(-1)
+        stat, stat_big = as_bytes(sums)
+        count, count_big = as_bytes(own)
+        parts = {
+            "key1": keys[alone], "word1": words[start[alone]].astype(dtype), "key": keys[many], "start": np.append(begin, len(rows)).astype(np.uint32),
+            "stat": stat, "stat_big": stat_big, "stat_at": np.flatnonzero(stat == 255).astype(np.uint32),
+            "word": words[rows].astype(dtype), "count": count, "count_at": np.flatnonzero(count == 255).astype(np.uint32), "count_big": count_big,
+        }
+        out, ends_ = [b""], []
+        at = 8 * len(cls.NAMES)
+        for name in cls.NAMES:
+            data = parts[name].tobytes()
+            ends_.append(at + len(data))
+            out.append(data + b"\0" * (-len(data) % 8))
+            at += len(out[-1])
+        out[0] = np.array(ends_, np.uint64).tobytes()
+        return b"".join(out), _count_of_counts(counts)
+
+    def _number(self, small: np.ndarray, at: np.ndarray, big_at: np.ndarray, big: np.ndarray) -> np.ndarray:
+        got = small[at].astype(np.float64)
+        over = got == 255
+        if over.any():
+            got[over] = big[np.searchsorted(big_at, at[over])]
+        return got
+
+    def look(self, keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count, stats = np.zeros(len(keys)), np.zeros((len(keys), 4))
+        if len(self.key1):
+            at = np.minimum(np.searchsorted(self.key1, keys), len(self.key1) - 1)
+            hit = np.flatnonzero(self.key1[at] == keys)
+            stats[hit, :2] = 1
+            count[hit] = self.word1[at[hit]] == words[hit]
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+            hit = np.flatnonzero(self.key[at] == keys)
+            at = at[hit]
+            for i in range(4):
+                stats[hit, i] = self._number(self.stat, 4 * at + i, self.stat_at, self.stat_big)
+            low, high = self.start[at].astype(np.int64), self.start[at + 1].astype(np.int64)
+            end, want = high.copy(), words[hit]
+            open_ = np.arange(len(hit))
+            while len(open_):  # a binary search in every list at once
+                mid = (low[open_] + high[open_]) >> 1
+                less = self.word[mid] < want[open_]
+                low[open_[less]] = mid[less] + 1
+                high[open_[~less]] = mid[~less]
+                open_ = open_[low[open_] < high[open_]]
+            there = low < end
+            there[there] = self.word[low[there]] == want[there]
+            count[hit[there]] = self._number(self.count, low[there], self.count_at, self.count_big)
+        return count, stats
+
+
+# ------------------------------------------------------------------ blocks of n-grams
+
+
+def combined(cols: list[np.ndarray], size: int) -> tuple[np.ndarray, bool]:
+    """One number for each row of columns below `size`, in the rows' order; and whether the columns can be read from it."""
+    key, width, plain = cols[0].astype(np.uint64), size, True
+    for c in cols[1:]:
+        if width * size >= 1 << 64:
+            values, key = np.unique(key, return_inverse=True)
+            key, width, plain = key.astype(np.uint64), len(values), False
+        if width * size >= 1 << 64:
+            values, c = np.unique(c, return_inverse=True)
+            key, width = key * np.uint64(len(values)) + c.astype(np.uint64), width * len(values)
+        else:
+            key, width = key * np.uint64(size) + c.astype(np.uint64), width * size
+    return key, plain
+
+
+def summed(cols: list[np.ndarray], counts: np.ndarray | None, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, sorted, and the sums of their counts (None: one each)."""
+    key, plain = combined(cols, size)
+    if plain and counts is None:
+        key, total = np.unique(key, return_counts=True)
+    else:
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+        start = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), sorted_[1:] != sorted_[:-1])))
+        total = np.add.reduceat(np.ones(len(key), np.uint64) if counts is None else counts[order], start) if len(start) else np.zeros(0, np.uint64)
+        if not plain:
+            return [c[order[start]] for c in cols], total.astype(np.uint64)
+        key = sorted_[start]
+    out = []
+    for _ in cols[1:]:
+        key, last = np.divmod(key, np.uint64(size))
+        out.append(last)
+    return [key, *out[::-1]], total.astype(np.uint64)
+
+
+def squeezed(cols: list[np.ndarray], counts: np.ndarray, dtype) -> bytes:
+    """Sorted rows, column by column and byte by byte, compressed; the first column as steps."""
+    import zstandard
+
+    wide = np.uint32 if not len(counts) or int(counts.max()) < 1 << 32 else np.uint64
+    cols = [np.diff(cols[0], prepend=cols[0][:1]), *cols[1:]], cols[0][:1].astype(np.uint64).tobytes()
+    planes = [np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T.tobytes() for c, t in [*((c, dtype) for c in cols[0]), (counts, wide)]]
+    return bytes([np.dtype(wide).itemsize]) + len(counts).to_bytes(8, "little") + cols[1] + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
-    def _by_range(self, u: np.ndarray):
-        rs, starts = np.unique(self.m.pair_range(u), return_index=True)
-        return zip(rs.tolist(), starts.tolist(), [*starts[1:].tolist(), len(u)])
+
+def spread(data: bytes, width: int, dtype) -> tuple[list[np.ndarray], np.ndarray]:
+    import zstandard
+
+    n, size = int.from_bytes(data[1:9], "little"), np.dtype(dtype).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[17:]), np.uint8)
+    take = lambda at, t: np.ascontiguousarray(raw[at : at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).reshape(-1)
+    cols = [take(i * n * size, np.dtype(dtype)) for i in range(width)]
+    cols[0] = np.frombuffer(data[9:17], np.uint64)[0] + np.cumsum(cols[0], dtype=np.uint64)
+    return [c.astype(np.uint64) for c in cols], take(width * n * size, np.dtype(np.uint32 if data[0] == 4 else np.uint64)).astype(np.uint64)
+
+
+def n_gram_blocks(cols: list[np.ndarray], counts: np.ndarray, ranges: int, dtype) -> list[tuple[int, bytes]]:
+    """Sorted distinct n-grams, by the range of their contexts' hashes."""
+    of = hash_range(context_hash(cols[:-1]), ranges)
+    order = np.argsort(of.astype(np.uint16) if ranges < 1 << 16 else of, kind="stable")
+    return [(r, squeezed([c[order[a:b]] for c in cols], counts[order[a:b]], dtype)) for r, a, b in runs(of[order])]
+
+
+def n_grams(ids: np.ndarray, lengths: list[int], order: int, pad: int) -> list[np.ndarray]:
+    """Columns of the n-grams that end at each token; before a text stand `pad`s."""
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(ids)) - np.repeat(starts, lengths)
+    back = lambda j: np.where(place < j, pad, np.concatenate((np.full(min(j, len(ids)), pad, ids.dtype), ids[: max(0, len(ids) - j)])))
+    return [*(back(j) for j in range(order - 1, 0, -1)), ids]
 
 
 def hash_range(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -210,8 +386,13 @@ def _count_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def trained(docs: DataFrame, text: str = "text") -> Model:
-    """Count a model over all texts of `docs`."""
+GRAMS = "range int, data binary"
+
+
+def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """Count a model of `order` (2 or more) over all texts of `docs`."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     small_batches(spark)
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -232,57 +413,67 @@ def trained(docs: DataFrame, text: str = "text") -> Model:
         write_shared(f"{folder}/uni/{r:07d}.count", c.tobytes())
         return pa.table({"range": pa.array([r], pa.int32()), "types": pa.array([len(v)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64())})
 
-    sums = texts.mapInArrow(tokens, BLOCKS).groupBy("range").applyInArrow(merge_tokens, "range int, types long, total long").collect()  # one row a range
+    sums = texts.mapInArrow(tidy(tokens), BLOCKS).groupBy("range").applyInArrow(merge_tokens, "range int, types long, total long").collect()  # one row a range
     types = dict((r["range"], r["types"]) for r in sums)
-    model = Model(folder, ranges, [0, *np.cumsum([types.get(r, 0) for r in range(ranges)]).tolist()], sum(r["total"] for r in sums))
-    if model.types >= 1 << 32:
-        raise ValueError("too many distinct tokens")
-
-    def pairs(batches):
+    first = np.array([0, *np.cumsum([types.get(r, 0) for r in range(ranges)]).tolist()], np.int64)
+    write_shared(f"{folder}/uni/first", first.tobytes())
+    model = Model(folder, ranges, order, int(first[-1]), sum(r["total"] for r in sums))
+    if not model.total:
+        return model
+    dtype = model.dtype
+    schema = pa.schema([("range", pa.int32()), ("data", pa.binary())])
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 2, schema)], schema=schema)
+
+    def grams(batches):
         arrays = Arrays(model)
         for held in sequences(batches, 0, BLOCK):
-            flat = np.concatenate(held)
-            own, back = np.unique(flat, return_inverse=True)
-            ids = arrays.ids(own)[back].astype(np.uint64)
-            before = np.concatenate((ids[-1:], ids[:-1]))  # each text follows an end token
-            v, c = np.unique(before << np.uint64(32) | ids, return_counts=True)
-            yield blocks(v, c, model.pair_range(v >> np.uint64(32)), ranges)
-
-    def merge_pairs(key, table):
-        k, c = merged(table)
-        r = key[0].as_py()
-        c = np.minimum(c, 0xFFFFFFFF)
-        u = (k >> np.uint64(32)).astype(np.int64) - model.pair_from(r)
-        n = max(0, min(model.pair_from(r + 1), model.types) - model.pair_from(r))
-        context = np.zeros((n, 4), np.uint32)
-        context[:, 0] = np.minimum(np.bincount(u, c.astype(np.float64), n), 0xFFFFFFFF)
-        for i, which in ((1, c == 1), (2, c == 2), (3, c >= 3)):
-            context[:, i] = np.bincount(u[which], minlength=n)
-        for ending, a in (("key", k), ("count", c.astype(np.uint32)), ("context", context)):
-            write_shared(f"{folder}/pair/{r:07d}.{ending}", a.tobytes())
-        v, followed = np.unique(k & np.uint64(0xFFFFFFFF), return_counts=True)
-        out = pa.Table.from_batches([blocks(v, followed, np.searchsorted(np.array(model.first, np.uint64), v, "right") - 1, ranges)])
-        sums = [_count_of_counts(c)] + [None] * (out.num_rows - 1)
-        return out.append_column("n", pa.array(sums, pa.list_(pa.int64())))
+            own, back = np.unique(np.concatenate(held), return_inverse=True)
+            local = n_grams(back, [len(h) for h in held], order, int(np.searchsorted(own, END)))
+            cols, counts = summed(local, None, len(own))
+            ids = arrays.ids(own).astype(np.uint64)
+            rows = n_gram_blocks([ids[c.astype(np.int64)] for c in cols], counts, ranges, dtype)
+            for at in range(0, len(rows), 64):
+                yield as_batch(rows[at : at + 64])
+
+    def merge(k: int):
+        def run(key, table):
+            got = [spread(d, k, dtype) for d in table.column("data").to_pylist()]
+            cols, counts = summed([np.concatenate([g[0][j] for g in got]) for j in range(k)], np.concatenate([g[1] for g in got]), model.types)
+            del got
+            data, n = Table.made(cols[:-1], cols[-1], counts, dtype)
+            write_shared(f"{folder}/{k}/{key[0].as_py():07d}", data)
+            del data
+            ends, times = summed(cols[1:], None, model.types)
+            if k > 2:
+                rows = n_gram_blocks(ends, times, ranges, dtype)
+            else:  # by the ranges of tokens
+                rows = [(r, squeezed([ends[0][a:b]], times[a:b], dtype)) for r, a, b in runs(np.searchsorted(first, ends[0].astype(np.int64), "right") - 1)]
+            out = pa.Table.from_batches([as_batch(rows)])
+            return out.append_column("n", pa.array([n] + [None] * (out.num_rows - 1), pa.list_(pa.int64())))
+
+        return run
 
     def merge_continuations(key, table):
-        v, c = merged(table)
         r = key[0].as_py()
-        beside = np.zeros(model.first[r + 1] - model.first[r], np.uint32)
-        beside[v.astype(np.int64) - model.first[r]] = c
+        got = [spread(d, 1, dtype) for d in table.column("data").to_pylist()]
+        (v,), c = summed([np.concatenate([g[0][0] for g in got])], np.concatenate([g[1] for g in got]), model.types)
+        beside = np.zeros(int(first[r + 1] - first[r]), np.uint64)
+        beside[v.astype(np.int64) - first[r]] = c
         write_shared(f"{folder}/uni/{r:07d}.next", beside.tobytes())
         n = _count_of_counts(c) + [int((c >= 3).sum()), int(c.sum())]
         return pa.table({"n": pa.array([n], pa.list_(pa.int64()))})
 
-    path = f"{folder}/follow"
-    if model.total:
-        texts.mapInArrow(pairs, BLOCKS).groupBy("range").applyInArrow(merge_pairs, BLOCKS + ", n array<long>").write.parquet(path)
-        follow = spark.read.schema(BLOCKS + ", n array<long>").parquet(path)
-        n2 = follow.where("n is not null").agg(*[F.sum(F.col("n")[i]) for i in range(4)]).first()
-        n1 = follow.drop("n").groupBy("range").applyInArrow(merge_continuations, "n array<long>").agg(*[F.sum(F.col("n")[i]) for i in range(6)]).first()
-        model.d2, model.d1 = discounts(list(n2)), discounts(list(n1)[:4])
-        model.pairs = n1[5]
-        model.low = (model.d1[0] * n1[0] + model.d1[1] * n1[1] + model.d1[2] * n1[4]) / model.pairs
+    below = texts.mapInArrow(tidy(grams), GRAMS)
+    for k in range(order, 1, -1):
+        path = f"{folder}/follow{k}"
+        below.groupBy("range").applyInArrow(merge(k), GRAMS + ", n array<long>").write.parquet(path)
+        follow = spark.read.schema(GRAMS + ", n array<long>").parquet(path)
+        model.discounts[k] = discounts(list(follow.where("n is not null").agg(*[F.sum(F.col("n")[i]) for i in range(4)]).first()))
+        below = follow.drop("n")
+    n1 = below.groupBy("range").applyInArrow(merge_continuations, "n array<long>").agg(*[F.sum(F.col("n")[i]) for i in range(6)]).first()
+    model.discounts[1] = discounts(list(n1)[:4])
+    d, model.pairs = model.discounts[1], n1[5]
+    model.low = (d[0] * n1[0] + d[1] * n1[1] + d[2] * n1[4]) / model.pairs
     return model
 
 
@@ -310,26 +501,24 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             at = np.flatnonzero(known)[order]
             if len(at):
                 c[at] = arrays.at_ids(ids[at], "count", np.uint64)
-                n[at] = arrays.at_ids(ids[at], "next", np.uint32)
+                n[at] = arrays.at_ids(ids[at], "next", np.uint64)
             base = np.log10((c + 1) / (m.total + v1))
-            low = m.low / v1 + np.maximum(n - _discount(n, m.d1), 0) / max(1, m.pairs)
-            end = int(np.searchsorted(own, END))
-            before = np.concatenate(([end], back[:-1]))  # each text follows an end token
-            both = known[before] & known[back]
-            p = np.zeros(len(flat))
-            share = np.ones(len(flat))
-            if both.any():
-                keys, place_ = np.unique(ids[before[both]].astype(np.uint64) << np.uint64(32) | ids[back[both]].astype(np.uint64), return_inverse=True)
-                got = arrays.pairs(keys)
-                p[both] = (got - _discount(got, m.d2))[place_]
-            if known.any():
-                ctx = np.zeros((len(own), 4))
-                ctx[at] = arrays.contexts(ids[at].astype(np.uint64))
-                t = ctx[:, 0]
-                g = np.where(t > 0, (ctx[:, 1] * m.d2[0] + ctx[:, 2] * m.d2[1] + ctx[:, 3] * m.d2[2]) / np.maximum(t, 1), 1.0)
-                share = g[before]
-                p = p / np.maximum(t[before], 1)
-            logs = np.log10(p + share * low[back])
+            p = (m.low / v1 + np.maximum(n - _discount(n, m.discounts.get(1, (0.5,) * 3)), 0) / max(1, m.pairs))[back]
+            if m.total:
+                end = int(np.searchsorted(own, END))
+                cols = n_grams(back, [len(h) for h in held], m.order, end)
+                words = np.where(ids < 0, m.types, ids).astype(m.dtype)[back]  # no token has that id
+                for k in range(2, m.order + 1):
+                    context = [ids[x] for x in cols[-k:-1]]
+                    some = np.flatnonzero(np.all([x >= 0 for x in context], axis=0))
+                    if not len(some):
+                        break
+                    # a context's hash is the same wherever it stands, so it is looked up with every token
+                    got, stat = arrays.look(k, context_hash([x[some] for x in context]), words[some])
+                    d, t = m.discounts[k], np.maximum(stat[:, 0], 1)
+                    high = (got - _discount(got, d) + (stat[:, 1] * d[0] + stat[:, 2] * d[1] + stat[:, 3] * d[2]) * p[some]) / t
+                    p[some] = np.where(stat[:, 0] > 0, high, p[some])
+            logs = np.log10(p)
             lengths = np.array([len(h) for h in held], np.int64)
             starts = np.cumsum(lengths) - lengths
             total = np.add.reduceat(logs, starts)
@@ -349,10 +538,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     src = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    return src.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return src.mapInArrow(tidy(run), f"{schema}, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
-def scored_by(docs: DataFrame, training: Column, text: str = "text") -> tuple[DataFrame, Model]:
-    """Train on the rows where `training` holds, and score all rows."""
-    model = trained(docs.where(training), text)
+def scored_by(docs: DataFrame, training: Column, text: str = "text", order: int = ORDER) -> tuple[DataFrame, Model]:
+    """Train a model of `order` on the rows where `training` holds, and score all rows."""
+    model = trained(docs.where(training), text, order)
     return scored(docs, model, text), model

@@ -366,37 +366,88 @@ def test_fingerprints_of_awkward_tables(spark, awkward, empty):
 # ---------------------------------------------------------------- 6 language model
 
 
-def test_kneser_ney_brute_force(spark, sf):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_brute_force(spark, sf, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK", 20_000)
     rows = documents(spark, sf)
-    got = {r["doc_id"]: r for r in Q.op6_kneser_ney(spark, sf).collect()}
-    seq = {k: [b" ", *words_of(t), b" "] for k, t in rows}
+    if order == kneser_ney.ORDER:
+        out = Q.op6_kneser_ney(spark, sf)
+    else:
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).alias("held_out"))
+        out, model = kneser_ney.scored_by(docs, ~F.col("held_out"), order=order)
+        out = out.withColumn("train_tokens", F.lit(model.total))
+    got = {r["doc_id"]: r for r in out.collect()}
+    seq = {k: [*[b" "] * (order - 1), *words_of(t), b" "] for k, t in rows}
     train = [w for k, w in seq.items() if zlib.crc32(str(k).encode()) % 7 != 2]
-    c1 = collections.Counter(x for w in train for x in w[1:])
-    c2 = collections.Counter(p for w in train for p in zip(w, w[1:]))
+    grams = lambda w, k: (tuple(w[i - k + 1 : i + 1]) for i in range(order - 1, len(w)))
+    c1 = collections.Counter(g for w in train for g in grams(w, 1))
     n, v = sum(c1.values()), len(c1)
-    cont = collections.Counter(b for _, b in c2)
-    D, d = (kneser_ney.discounts([sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]) for c in (c2, cont))
+    # the highest order counts occurrences, every other one the n-grams that it ends
+    count = {order: collections.Counter(g for w in train for g in grams(w, order))}
+    for k in range(order - 1, 0, -1):
+        count[k] = collections.Counter(g[1:] for g in count[k + 1])
+    D = {k: kneser_ney.discounts([sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]) for k, c in count.items()}
     total, kinds = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in c2.items():
-        total[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-    low = sum(d[min(x, 3) - 1] for x in cont.values()) / len(c2)
+    for k in range(2, order + 1):
+        for g, c in count[k].items():
+            total[k, g[:-1]] += c
+            kinds[k, g[:-1]][min(c, 3) - 1] += 1
+    pairs = sum(count[1].values())
+    low = sum(D[1][min(x, 3) - 1] for x in count[1].values()) / pairs
     of = lambda c, t: t[min(c, 3) - 1] if c else 0
-    p1 = lambda y: (cont[y] - of(cont[y], d)) / len(c2) + low / (v + 1)
-    p2 = lambda x, y: p1(y) if not total[x] else (c2[x, y] - of(c2[x, y], D)) / total[x] + sum(i * j for i, j in zip(D, kinds[x])) / total[x] * p1(y)
-    for x in (b" ", b"the", b"?"):
-        assert abs(sum(p2(x, y) for y in c1) + p2(x, b"? ?") - 1) < 1e-9
+
+    def p(g):
+        k = len(g)
+        c = count[k][g]
+        if k == 1:
+            return (c - of(c, D[1])) / pairs + low / (v + 1)
+        t = total[k, g[:-1]]
+        return (c - of(c, D[k]) + sum(i * j for i, j in zip(D[k], kinds[k, g[:-1]])) * p(g[1:])) / t if t else p(g[1:])
+
+    for c in (b" ", b"the", b"?"):
+        context = (*[b" "] * (order - 2), c)
+        assert abs(sum(p((*context, *y)) for y in c1) + p((*context, b"? ?")) - 1) < 1e-9
     base = score = 0
     for k, w in seq.items():
         r = got[k]
-        s, b = sum(math.log10(p2(x, y)) for x, y in zip(w, w[1:])), sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w[1:])
+        s, b = sum(math.log10(p(g)) for g in grams(w, order)), sum(math.log10((c1[g] + 1) / (n + v + 1)) for g in grams(w, 1))
         assert abs(r["score"] - s) < 1e-6 * abs(s) and abs(r["base_score"] - b) < 1e-6 * abs(b)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) - 1, sum(x in c1 for x in w[1:]), n)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) - order + 1, sum(g in c1 for g in grams(w, 1)), n)
         if r["held_out"]:
             base, score = base + b, score + s
     assert score > base
 
 
+def test_n_gram_tables():
+    rng = np.random.default_rng(4)
+    for size, n in ((3, 2000), (200, 5000), (1 << 40, 500)):
+        dtype = np.uint64 if size > 1 << 32 else np.uint32
+        raw = [rng.integers(0, size, n).astype(np.uint64) for _ in range(3)]
+        raw[0][: n // 2] = raw[0][0]
+        want = collections.Counter(zip(*(c.tolist() for c in raw)))
+        for base in (None, rng.integers(1, 1 << 34, n).astype(np.uint64)):
+            cols, counts = kneser_ney.summed(raw, base, size)
+            assert list(zip(*(c.tolist() for c in cols))) == sorted(want)
+            if base is None:
+                assert counts.tolist() == [want[k] for k in sorted(want)]
+            back, again = kneser_ney.spread(kneser_ney.squeezed(cols, counts, dtype), 3, dtype)
+            assert all((a == b).all() for a, b in zip(back, cols)) and (again == counts).all()
+            data, _ = kneser_ney.Table.made(cols[:-1], cols[-1], counts, dtype)
+            table = kneser_ney.Table(np.frombuffer(data, np.uint8), dtype)
+            key = kneser_ney.context_hash(cols[:-1])
+            order = np.argsort(key, kind="stable")
+            got, stats = table.look(key[order], cols[2][order].astype(dtype))
+            assert (got == counts[order]).all()
+            sums = collections.defaultdict(lambda: [0, 0, 0, 0])
+            for u, w, c in zip(cols[0].tolist(), cols[1].tolist(), counts.tolist()):
+                t = sums[u, w]
+                t[0] += c
+                t[min(c, 3)] += 1
+            assert stats.astype(np.int64).tolist() == [sums[u, w] for u, w in zip(cols[0][order].tolist(), cols[1][order].tolist())]
+            absent = kneser_ney.context_hash([np.array([size + 5], np.uint64)] * 2)
+            assert table.look(absent, np.zeros(1, dtype))[1].sum() == 0 and table.look(key[order][:1], np.array([size if size < 1 << 40 else size + 1], dtype))[0].sum() == 0
+
+
 def test_kneser_ney_of_awkward_tables(awkward, empty):
     out, model = kneser_ney.scored_by(awkward, F.col("doc_id") != 3)
     rows = out.collect()
