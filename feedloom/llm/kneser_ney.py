@@ -181,14 +181,18 @@ class Arrays:
         return self.maps[name]
 
     def look(self, order: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams, by the hash of the context and the id of the last token, and the contexts' four numbers."""
-        count, stats = np.zeros(len(contexts)), np.zeros((len(contexts), 4))
+        """For n-grams, by the hash of the context and the id of the last token: the own share, and that of the lower order."""
+        own, rest = np.zeros(len(contexts)), np.ones(len(contexts))
         sort = np.argsort(contexts)
-        keys = contexts[sort]
+        keys, last = contexts[sort], words[sort]
+        d = np.array([0.0, *self.m.discounts[order]])
         for r, a, b in runs(hash_range(keys, self.m.ranges)):
             if (t := self.table(order, r)) is not None:
-                count[sort[a:b]], stats[sort[a:b]] = t.look(keys[a:b], words[sort[a:b]])
-        return count, stats
+                hit, count, stat = t.look(keys[a:b], last[a:b], self.m.types)
+                at = sort[a:b][hit]
+                own[at] = (count - d[np.minimum(count, 3).astype(np.int64)]) / stat[:, 0]
+                rest[at] = stat[:, 1:] @ d[1:] / stat[:, 0]
+        return own, rest
 
 
 def runs(sorted_: np.ndarray):
@@ -258,39 +262,66 @@ class Table:
         out[0] = np.array(ends_, np.uint64).tobytes()
         return b"".join(out), _count_of_counts(counts)
 
-    def _number(self, small: np.ndarray, at: np.ndarray, big_at: np.ndarray, big: np.ndarray) -> np.ndarray:
-        got = small[at].astype(np.float64)
-        over = got == 255
-        if over.any():
-            got[over] = big[np.searchsorted(big_at, at[over])]
-        return got
-
-    def look(self, keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count, stats = np.zeros(len(keys)), np.zeros((len(keys), 4))
+    def look(self, keys: np.ndarray, words: np.ndarray, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the n-grams have a known context, their counts, these contexts' four numbers); keys ascend."""
+        hits, counts, stats = [], [], []
         if len(self.key1):
             at = np.minimum(np.searchsorted(self.key1, keys), len(self.key1) - 1)
             hit = np.flatnonzero(self.key1[at] == keys)
-            stats[hit, :2] = 1
-            count[hit] = self.word1[at[hit]] == words[hit]
+            hits.append(hit)
+            counts.append((self.word1[at[hit]] == words[hit]).astype(np.float64))
+            stats.append(np.broadcast_to(np.array([1.0, 1, 0, 0]), (len(hit), 4)))
         if len(self.key):
             at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
             hit = np.flatnonzero(self.key[at] == keys)
             at = at[hit]
-            for i in range(4):
-                stats[hit, i] = self._number(self.stat, 4 * at + i, self.stat_at, self.stat_big)
-            low, high = self.start[at].astype(np.int64), self.start[at + 1].astype(np.int64)
-            end, want = high.copy(), words[hit]
-            open_ = np.arange(len(hit))
-            while len(open_):  # a binary search in every list at once
-                mid = (low[open_] + high[open_]) >> 1
-                less = self.word[mid] < want[open_]
-                low[open_[less]] = mid[less] + 1
-                high[open_[~less]] = mid[~less]
-                open_ = open_[low[open_] < high[open_]]
-            there = low < end
-            there[there] = self.word[low[there]] == want[there]
-            count[hit[there]] = self._number(self.count, low[there], self.count_at, self.count_big)
-        return count, stats
+            small = self.stat.reshape(-1, 4)[at]
+            stat = small.astype(np.float64)
+            over = np.nonzero(small == 255)
+            if len(over[0]):
+                stat[over] = self.stat_big[np.searchsorted(self.stat_at, 4 * at[over[0]] + over[1])]
+            place, there = self._find(at, words[hit], types)
+            got = np.zeros(len(hit))
+            some = self.count[place[there]]
+            got[there] = some
+            if (some == 255).any():
+                over = np.flatnonzero(there)[some == 255]
+                got[over] = self.count_big[np.searchsorted(self.count_at, place[over])]
+            hits.append(hit)
+            counts.append(got)
+            stats.append(stat)
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 4))
+        return np.concatenate(hits), np.concatenate(counts), np.concatenate(stats)
+
+    def _find(self, at: np.ndarray, want: np.ndarray, types: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of tokens in the lists of followers of contexts, and whether they are there."""
+        start, end = self.start[at].astype(np.int64), self.start[at + 1].astype(np.int64)
+        low, high = start.copy(), end.copy()
+        # ids follow hashes, so they lie evenly, and a long list is searched about where the token should be
+        long = np.flatnonzero(end - start > 64)
+        if len(long):
+            size = end[long] - start[long]
+            guess = start[long] + (want[long].astype(np.float64) * size / types).astype(np.int64)
+            width = (1.5 * np.sqrt(size)).astype(np.int64) + 2
+            a, b = np.maximum(start[long], guess - width), np.minimum(end[long] - 1, guess + width)
+            a = np.minimum(a, b)
+            right = (a == start[long]) | (self.word[a] < want[long])
+            low[long[right]] = a[right]
+            right = self.word[b] >= want[long]
+            high[long[right]] = b[right]
+        open_ = np.flatnonzero(low < high)
+        while len(open_):  # a binary search in every list at once
+            l, h = low[open_], high[open_]
+            mid = (l + h) >> 1
+            less = self.word[mid] < want[open_]
+            l = np.where(less, mid + 1, l)
+            h = np.where(less, h, mid)
+            low[open_], high[open_] = l, h
+            open_ = open_[l < h]
+        there = low < end
+        there[there] = self.word[low[there]] == want[there]
+        return low, there
 
 
 # ------------------------------------------------------------------ blocks of n-grams
@@ -491,7 +522,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m, v1 = model, model.types + 1
         cache = WordHash()
 
-        def answer(part: pa.RecordBatch, held: list[np.ndarray]) -> pa.RecordBatch:
+        def answer(parts: list[pa.RecordBatch], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(held)
             own, back = np.unique(flat, return_inverse=True)
             ids = arrays.ids(own)
@@ -514,27 +545,32 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     if not len(some):
                         break
                     # a context's hash is the same wherever it stands, so it is looked up with every token
-                    got, stat = arrays.look(k, context_hash([x[some] for x in context]), words[some])
-                    d, t = m.discounts[k], np.maximum(stat[:, 0], 1)
-                    high = (got - _discount(got, d) + (stat[:, 1] * d[0] + stat[:, 2] * d[1] + stat[:, 3] * d[2]) * p[some]) / t
-                    p[some] = np.where(stat[:, 0] > 0, high, p[some])
+                    share, rest = arrays.look(k, context_hash([x[some] for x in context]), words[some])
+                    p[some] = share + rest * p[some]
             logs = np.log10(p)
             lengths = np.array([len(h) for h in held], np.int64)
             starts = np.cumsum(lengths) - lengths
             total = np.add.reduceat(logs, starts)
             cols = [pa.array(lengths), pa.array(np.add.reduceat(known[back].astype(np.int64), starts)), pa.array(np.add.reduceat(base[back], starts)), pa.array(total), pa.array(10 ** (-total / lengths))]
-            return pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*names, "n_tokens", "n_known", "base_score", "score", "perplexity"])
+            at = 0
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([*part.columns, *(c.slice(at, part.num_rows) for c in cols)], names=[*names, "n_tokens", "n_known", "base_score", "score", "perplexity"])
+                at += part.num_rows
 
+        # many texts at once, also of several batches: what is looked up together is sorted
+        parts, held, size = [], [], 0
         for batch in batches:
-            start, held, size = 0, [], 0
+            start = 0
             for i in range(batch.num_rows):
                 held.append(token_hashes(batch.column(place)[i].as_py(), cache))
                 size += len(held[-1])
                 if size > 1_500_000:
-                    yield answer(batch.slice(start, i + 1 - start), held)
-                    start, held, size = i + 1, [], 0
-            if held:
-                yield answer(batch.slice(start), held)
+                    yield from answer([*parts, batch.slice(start, i + 1 - start)], held)
+                    parts, held, size, start = [], [], 0, i + 1
+            if start < batch.num_rows:
+                parts.append(batch.slice(start))
+        if parts:
+            yield from answer(parts, held)
 
     src = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
