@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_value, hashed, map_shared, mix, shared_dir, small_batches, tidy, words_of, write_shared
+from .common import WordHash, by_value, hashed, map_shared, mix, release, shared_dir, small_batches, tidy, words_of, write_shared
 
 by_value(__name__)
 
@@ -51,7 +51,9 @@ by_value(__name__)
 ORDER = 3
 #: No word has white space, so no word has this hash.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
-BLOCK, RANGE = 2_000_000, 4_000_000
+BLOCK, RANGE = 1_500_000, 4_000_000
+#: Tokens that are looked up at once.
+LOOK = 1_000_000
 BLOCKS = "range int, once binary, more binary, counts binary"
 
 
@@ -494,10 +496,21 @@ def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
         n = _count_of_counts(c) + [int((c >= 3).sum()), int(c.sum())]
         return pa.table({"n": pa.array([n], pa.list_(pa.int64()))})
 
+    def frugal(merge_):
+        """A merge that gives back what it has used: its worker goes on with the next range."""
+
+        def run(key, table):
+            try:
+                return merge_(key, table)
+            finally:
+                release()
+
+        return run
+
     below = texts.mapInArrow(tidy(grams), GRAMS)
     for k in range(order, 1, -1):
         path = f"{folder}/follow{k}"
-        below.groupBy("range").applyInArrow(merge(k), GRAMS + ", n array<long>").write.parquet(path)
+        below.groupBy("range").applyInArrow(frugal(merge(k)), GRAMS + ", n array<long>").write.parquet(path)
         follow = spark.read.schema(GRAMS + ", n array<long>").parquet(path)
         model.discounts[k] = discounts(list(follow.where("n is not null").agg(*[F.sum(F.col("n")[i]) for i in range(4)]).first()))
         below = follow.drop("n")
@@ -512,10 +525,13 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0.0)))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add n_tokens, n_known, base_score, score (log10 of a text's probability) and perplexity to every row."""
-    names = [c for c in docs.columns if c not in ("n_tokens", "n_known", "base_score", "score", "perplexity")]
-    place = names.index(text)
+def scored(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Add n_tokens, n_known, base_score, score (log10 of a text's probability) and perplexity to every row.
+
+    keep_text: whether the text itself comes back, too.
+    """
+    names = [c for c in docs.columns if c not in ("n_tokens", "n_known", "base_score", "score", "perplexity", text)]
+    names += [text] * keep_text
 
     def run(batches):
         arrays = Arrays(model)
@@ -560,24 +576,24 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         # many texts at once, also of several batches: what is looked up together is sorted
         parts, held, size = [], [], 0
         for batch in batches:
-            start = 0
-            for i in range(batch.num_rows):
-                held.append(token_hashes(batch.column(place)[i].as_py(), cache))
+            start, texts, kept = 0, batch.column(len(names) - keep_text), pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+            for i in range(kept.num_rows):
+                held.append(token_hashes(texts[i].as_py(), cache))
                 size += len(held[-1])
-                if size > 1_500_000:
-                    yield from answer([*parts, batch.slice(start, i + 1 - start)], held)
+                if size > LOOK:
+                    yield from answer([*parts, kept.slice(start, i + 1 - start)], held)
                     parts, held, size, start = [], [], 0, i + 1
-            if start < batch.num_rows:
-                parts.append(batch.slice(start))
+            if start < kept.num_rows:
+                parts.append(kept.slice(start))
         if parts:
             yield from answer(parts, held)
 
-    src = docs.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    src = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text])])
+    schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names)
     return src.mapInArrow(tidy(run), f"{schema}, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
-def scored_by(docs: DataFrame, training: Column, text: str = "text", order: int = ORDER) -> tuple[DataFrame, Model]:
+def scored_by(docs: DataFrame, training: Column, text: str = "text", order: int = ORDER, keep_text: bool = True) -> tuple[DataFrame, Model]:
     """Train a model of `order` on the rows where `training` holds, and score all rows."""
     model = trained(docs.where(training), text, order)
-    return scored(docs, model, text), model
+    return scored(docs, model, text, keep_text), model

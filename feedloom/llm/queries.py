@@ -100,7 +100,7 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney import scored_by
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
-    out, model = scored_by(docs, ~F.col("held_out"))
+    out, model = scored_by(docs, ~F.col("held_out"), keep_text=False)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
