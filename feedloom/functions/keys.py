@@ -38,16 +38,16 @@ def canonical_key(columns: dict[str, tuple[Column, T.DataType]]) -> Column:
     return escape_html(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
 
 
-def _bytes(c: Column) -> Column:
-    """array<bigint> of the UTF-8 bytes."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    n = F.octet_length(c)
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substr(h, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")))
+def _fold(c: Column, start: Column, step) -> Column:
+    """Fold step(state, byte) over the UTF-8 bytes of a text, which are made once; null stays null."""
+    each = lambda b: F.aggregate(F.sequence(F.lit(1), F.octet_length(b)), start, lambda h, i: step(h, F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("bigint")))
+    done = F.element_at(F.transform(F.array(F.encode(c, "UTF-8")), each), 1)
+    return F.when(F.octet_length(c) > 0, done).when(c.isNotNull(), start)
 
 
 def fnv32(c: Column) -> Column:
     """FNV-1a, 32 bits, as bigint."""
-    return F.aggregate(_bytes(c), F.lit(2166136261).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
+    return _fold(c, F.lit(2166136261).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")))
 
 
 def partition_of(key: Column, n: int = PARTITIONS) -> Column:
@@ -70,8 +70,8 @@ def fnv64_hex(c: Column) -> Column:
         return F.struct(high.bitwiseAND(m32).alias("hi"), low.bitwiseAND(m32).alias("lo"))
 
     start = F.struct(F.lit(0xCBF29CE4).cast("bigint").alias("hi"), F.lit(0x84222325).cast("bigint").alias("lo"))
-    out = F.aggregate(_bytes(c), start, step)
-    return F.lower(F.concat(F.lpad(F.hex(out["hi"]), 8, "0"), F.lpad(F.hex(out["lo"]), 8, "0")))
+    shown = lambda out: F.lower(F.concat(F.lpad(F.hex(out["hi"]), 8, "0"), F.lpad(F.hex(out["lo"]), 8, "0")))
+    return F.element_at(F.transform(F.array(_fold(c, start, step)), shown), 1)
 
 
 def lsn_number(c: Column) -> Column:
@@ -123,8 +123,8 @@ def scope_id(token: Column) -> Column:
     return F.concat(F.lit("auth:"), F.substr(F.sha2(token, 256), F.lit(1), F.lit(16)))
 
 
-#: The namespace that point ids of stored vectors are derived in.
-POINTS = uuid.NAMESPACE_URL
+#: Fixed value: the namespace that point ids of stored vectors are derived in.
+POINTS = uuid.UUID("a1b2c3d4-e5f6-7890-abcd-ef1234567890")
 
 
 def uuid5(c: Column, namespace: uuid.UUID = POINTS) -> Column:

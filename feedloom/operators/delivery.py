@@ -89,12 +89,27 @@ def without_skipped(log: DataFrame, skipped: DataFrame) -> DataFrame:
 
 
 def poison_streaks(results: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
-    """streak: consecutive poisons up to a row; from 25 on they count as transient (the endpoint is at fault)."""
+    """streak: consecutive poisons up to a row; after 25 of them a further one counts as transient (the endpoint is at fault)."""
     w = W.partitionBy(*by).orderBy(order)
     rows = results.withColumn("__ok", F.sum(F.when(F.col("result") != "poison", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     streak = F.sum(F.when(F.col("result") == "poison", 1).otherwise(0)).over(W.partitionBy(*by, "__ok").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("streak", streak).drop("__ok")
-    return rows.withColumn("verdict", F.when((F.col("result") == "poison") & (F.col("streak") >= POISON_STREAK), "transient").otherwise(F.col("result")))
+    return rows.withColumn("verdict", F.when((F.col("result") == "poison") & (F.col("streak") > POISON_STREAK), "transient").otherwise(F.col("result")))
+
+
+def poison_skips(results: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
+    """What a consumer does with each entry of a partition, from the results of sending them in order.
+
+    delivered (ok), skipped (poison: dead-lettered, then passed over), blocked (the first that is
+    transient, or poison after a streak of them: it is tried again, nothing overtakes it) or pending
+    (all behind that).  cursor: where the partition is read from next.
+    """
+    judged = poison_streaks(results, by, order)
+    whole = W.partitionBy(*by)
+    stop = F.min(F.when(F.col("verdict") == "transient", F.col(order))).over(whole)
+    rows = judged.withColumn("__stop", stop).withColumn("cursor", F.coalesce("__stop", F.max(order).over(whole) + 1))
+    action = F.when(F.col(order) > F.col("__stop"), "pending").when(F.col(order) == F.col("__stop"), "blocked").when(F.col("verdict") == "poison", "skipped").otherwise("delivered")
+    return rows.withColumn("action", action).drop("__stop", "streak", "verdict")
 
 
 def dead_letters(failed: DataFrame, existing: DataFrame | None = None, order: str = "seq") -> DataFrame:

@@ -53,8 +53,7 @@ def batched(decided: DataFrame, by: list[str], order: str = "seq", most: int = B
     """Consecutive runs of upserts or deletes, cut into batches of at most `most`."""
     work = decided.where(F.col("decision").isin("upsert", "delete"))
     numbered = runs(work, by, order, F.col("decision"))
-    n = F.row_number().over(W.partitionBy(*by, "run").orderBy(order)) - 1
-    return numbered.withColumn("batch", F.floor(n / most).cast("int"))
+    return numbered.withColumn("batch", F.floor(F.col("place") / most).cast("int")).drop("place")
 
 
 def net_effect(decided: DataFrame, id_: str = "vector_id", order: str = "seq") -> DataFrame:

@@ -93,12 +93,14 @@ def looked_up(rows: DataFrame, dimension: DataFrame, on: str, name: str, out: st
     return rows.join(d, rows[on] == d["__on"], "left").withColumn(out, F.coalesce("__name", F.col(on).cast("string"))).drop("__on", "__name")
 
 
-def runs(events: DataFrame, by: list[str], order: str, kind: Column, out: str = "run") -> DataFrame:
-    """Number runs of consecutive rows of the same kind."""
+def runs(events: DataFrame, by: list[str], order: str, kind: Column, out: str = "run", place: str = "place") -> DataFrame:
+    """Number runs of consecutive rows of the same kind, and rows within their run from 0; all in one sort."""
     w = W.partitionBy(*by).orderBy(order)
-    rows = events.withColumn("__k", kind)
-    start = F.when(F.lag("__k").over(w).eqNullSafe(F.col("__k")) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return rows.withColumn("__s", start).withColumn(out, F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__k", "__s")
+    rows = events.withColumn("__k", kind).withColumn("__n", F.row_number().over(w))
+    rows = rows.withColumn("__s", F.when(F.lag("__k").over(w).eqNullSafe(F.col("__k")) & (F.col("__n") > 1), 0).otherwise(1))
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn(out, F.sum("__s").over(so_far)).withColumn(place, F.col("__n") - F.max(F.when(F.col("__s") == 1, F.col("__n"))).over(so_far))
+    return rows.drop("__k", "__n", "__s")
 
 
 def per_key_order(events: DataFrame, partitions: int = 64) -> DataFrame:

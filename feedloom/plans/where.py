@@ -179,12 +179,17 @@ def parse(text: str):
 
 @dataclass(frozen=True)
 class Value:
-    """A field of an image: whether the image is there, its text form and its number."""
+    """A field of an image: whether the image is there, its text as it stands, its plain form and its number.
+
+    The last two are made when asked for: a comparison with a number needs no plain form, since what is
+    no number compares as it stands.
+    """
 
     present: Column
     is_null: Column
-    text: Column
-    number: Column
+    raw: Column
+    text: Callable[[], Column]
+    number: Callable[[], Column]
 
 
 #: Gives the Value of a key in one image.
@@ -192,8 +197,7 @@ Images = Callable[[str, str], Value]
 
 
 def _number(s: Column) -> Column:
-    clean = F.when(s.rlike(NUMBER), F.regexp_replace(s, r"^\+", ""))
-    return clean.try_cast("double")
+    return F.when(s.rlike(NUMBER), s).try_cast("double")
 
 
 def json_images(before: Column, after: Column) -> Images:
@@ -202,12 +206,15 @@ def json_images(before: Column, after: Column) -> Images:
 
     def get(side: str, key: str) -> Value:
         t = json_text(raw[side], key)  # the text of any value; null for a missing key and for null
-        # a numeric text may be a string, compared as it is, or a number, compared in its plain form
-        v = F.try_element_at(variant_map(raw[side]), F.lit(key))
-        kind = F.schema_of_variant(v)
-        plain = F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain_number(F.try_variant_get(v, "$", "double"))).otherwise(t)
-        shown = F.when(t.isNull(), "").when(t.rlike(NUMBER), plain).otherwise(t)
-        return Value(raw[side].isNotNull() & (raw[side] != "null"), t.isNull(), shown, _number(t))
+
+        def shown() -> Column:
+            # a numeric text may be a string, compared as it is, or a number, compared in its plain form
+            v = F.try_element_at(variant_map(raw[side]), F.lit(key))
+            kind = F.schema_of_variant(v)
+            plain = F.when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), plain_number(F.try_variant_get(v, "$", "double"))).otherwise(t)
+            return F.when(t.isNull(), "").when(t.rlike(NUMBER), plain).otherwise(t)
+
+        return Value(raw[side].isNotNull() & (raw[side] != "null"), t.isNull(), t, shown, lambda: _number(t))
 
     return get
 
@@ -220,9 +227,9 @@ def typed_images(before: dict[str, Column], after: dict[str, Column], has_before
         c = fields.get(key, F.lit(None).cast("string"))
         if key in numbers:
             d = c.cast("double")
-            return Value(there, c.isNull(), F.coalesce(plain_number(d), F.lit("")), d)
+            return Value(there, c.isNull(), plain_number(d), lambda: F.coalesce(plain_number(d), F.lit("")), lambda: d)
         s = c.cast("string")
-        return Value(there, c.isNull(), F.coalesce(s, F.lit("")), _number(s))
+        return Value(there, c.isNull(), s, lambda: F.coalesce(s, F.lit("")), lambda: _number(s))
 
     return get
 
@@ -232,22 +239,23 @@ def _pick(images: Images, name: Name) -> Value:
         return images(name.side, name.key)
     a, b = images("after", name.key), images("before", name.key)
     use = lambda x, y: F.when(a.present, x).otherwise(y)
-    return Value(a.present | b.present, use(a.is_null, b.is_null), use(a.text, b.text), use(a.number, b.number))
+    return Value(a.present | b.present, use(a.is_null, b.is_null), use(a.raw, b.raw), lambda: use(a.text(), b.text()), lambda: use(a.number(), b.number()))
 
 
 def _compare(v: Value, op: str, value: Literal) -> Column:
     s = F.lit(value.value if value.value is not None else "")
-    as_text = {"=": v.text == s, "!=": v.text != s, ">": v.text > s, "<": v.text < s, ">=": v.text >= s, "<=": v.text <= s}[op]
+    by = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}[op]
     if value.value is not None and re.search(NUMBER, value.value):
         x = float(value.value)
+        n = v.number()
         if x != x:  # nothing equals or orders with NaN
-            as_number = F.lit(op == "!=")
+            as_number = F.when(n.isNotNull(), F.lit(op == "!="))
+        elif op in (">", ">="):  # NaN is no larger than anything
+            as_number = by(n, F.lit(x)) & (n <= float("inf"))
         else:
-            n = v.number
-            plain = {"=": n == x, "!=": n != x, ">": n > x, "<": n < x, ">=": n >= x, "<=": n <= x}[op]
-            as_number = F.when(F.isnan(n), F.lit(op == "!=")).otherwise(plain)
-        as_text = F.when(v.number.isNotNull(), as_number).otherwise(as_text)
-    return F.coalesce(v.present & as_text, F.lit(False))
+            as_number = by(n, F.lit(x))
+        return F.coalesce(v.present & F.coalesce(as_number, by(F.coalesce(v.raw, F.lit("")), s)), F.lit(False))
+    return F.coalesce(v.present & by(v.text(), s), F.lit(False))
 
 
 def to_column(tree, images: Images) -> Column:

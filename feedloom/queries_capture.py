@@ -90,13 +90,18 @@ def s_slot_positions(spark, sf):
     return table(spark, sf, "customer").select(k, capture.acknowledged(k * 7 % 1000, k * 13 % 1000).alias("ack"), capture.slot_decision(checkpoint, F.when(k % 3 != 0, k)).alias("decision"), capture.start_position(checkpoint, k * 2).alias("start_lsn"))
 
 
-@query("select s as strategy, cast(case s when 'stream_only' then (select count(*) from events) when 'snapshot_only' then (select count(*) from orders) else (select count(*) from events) + (select count(*) from orders) end as bigint) as n from (values ('snapshot_and_stream'), ('stream_only'), ('snapshot_only'), ('snapshot_deferred'), ('snapshot_partial')) t(s)")
+@query("""
+    select s as strategy, origin, case origin when 'live' then l.n else o.n end as n, case origin when 'live' then l.total else o.total end as total
+    from (values ('snapshot_and_stream'), ('stream_only'), ('snapshot_only'), ('snapshot_deferred'), ('snapshot_partial')) t(s), (values ('live'), ('snapshot')) u(origin),
+         (select count(*) as n, cast(sum(event_id) as bigint) as total from events) l, (select count(*) as n, cast(sum(o_orderkey) as bigint) as total from orders) o
+    where not (s = 'stream_only' and origin = 'snapshot') and not (s = 'snapshot_only' and origin = 'live')
+""")
 def s_strategies(spark, sf):
-    snap = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
-    live = table(spark, sf, "events").select(F.col("event_id").alias("k"))
+    snap = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit("snapshot").alias("origin"))
+    live = table(spark, sf, "events").select(F.col("event_id").alias("k"), F.lit("live").alias("origin"))
     out = None
     for s in snapshot.STRATEGIES:
-        one = snapshot.branches(s, snap, live).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("strategy"), "n")
+        one = snapshot.branches(s, snap, live).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total")).select(F.lit(s).alias("strategy"), "origin", "n", "total")
         out = one if out is None else out.unionByName(one)
     return out
 

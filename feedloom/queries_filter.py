@@ -103,11 +103,11 @@ def f_fanout(spark, sf):
     return fan_out(order_feed(spark, sf), routes).select("consumer", "arrival")
 
 
-@query(f"with {FEED} select arrival, 'orders' as \"table\", op as operation, '2023-11-14T' || strftime(make_timestamp(1700000000000000 + lsn * 1000), '%H:%M:%S') as ts, a_status as status from feed where lsn < 900000")
+@query(f"with {FEED} select arrival, 'orders' as \"table\", op as operation, strftime(make_timestamp(1700000000000000 + lsn * 1000), '%Y-%m-%dT%H:%M:%S') as ts, a_status as status from feed")
 def f_vector_metadata(spark, sf):
-    rows = order_feed(spark, sf).where("lsn < 900000").select("arrival", project.vector_metadata(["o_orderstatus", "nothing"]).alias("m"))
+    rows = order_feed(spark, sf).select("arrival", project.vector_metadata(["o_orderstatus", "nothing"]).alias("m"))
     g = lambda k: F.get_json_object("m", f"$.{k}")
-    return rows.select("arrival", g("table").alias("table"), g("operation").alias("operation"), F.concat(F.lit("2023-11-14T"), F.substr(g("timestamp"), F.lit(12), F.lit(8))).alias("ts"), g("o_orderstatus").alias("status"))
+    return rows.select("arrival", g("table").alias("table"), g("operation").alias("operation"), F.substr(g("timestamp"), F.lit(1), F.lit(19)).alias("ts"), g("o_orderstatus").alias("status"))
 
 
 @query(f"with {FEED} select arrival, 'tpch.orders' as \"table\", op as operation, b_status is not null as has_before, a_status as status from feed")

@@ -11,7 +11,7 @@ from .functions import scalars
 from .model import plain_number, short_number
 from .operators import actions, enrich, eventlog, vector, views
 from .plans.templates import destination
-from .registry import FEED, FNV, query, table
+from .registry import EVENT, FEED, FNV, FNV64, IDK, query, table, uuid5_sql
 from .sources.feed import order_feed
 
 _SEQ = f"with {FEED}, p as (select *, cast({FNV} % 64 as integer) as partition from log), s as (select *, row_number() over (partition by partition order by arrival) as seq from p)"
@@ -100,17 +100,22 @@ def x_destination(spark, sf):
     return rows.withColumn("table", prefix).select("arrival", destination("{{.Table}} ").alias("topic"))
 
 
-@query()
+@query(f"with {FEED} select arrival, {uuid5_sql("'tpch.orders:' || key", str(K.POINTS))} as point from feed")
 def x_uuid5(spark, sf):
-    return order_feed(spark, sf).select("arrival", K.uuid5(F.col("key")).alias("point"))
+    return order_feed(spark, sf).select("arrival", K.uuid5(K.vector_id(F.col("schema"), F.col("table"), F.col("key"))).alias("point"))
 
 
-@query()
+@query(f"with {FEED} select arrival, {FNV64} as group_id, sha256({IDK}) as dedup_id from feed")
 def x_sqs_ids(spark, sf):
     return order_feed(spark, sf).select("arrival", K.fnv64_hex(F.col("key")).alias("group_id"), K.dedup_id(F.col("idempotency_key")).alias("dedup_id"))
 
 
-@query()
+def _pad(byte: int) -> str:
+    """The signing key's block, as hex."""
+    return bytes(b ^ byte for b in b"secret".ljust(64, b"\0")).hex()
+
+
+@query(f"with m as (select *, cast(floor(epoch(ts)) as bigint) as t from events) select event_id, 't=' || t || ',v1=' || sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(t || '.' || props)))) as signature from m")
 def x_signature(spark, sf):
     return table(spark, sf, "events").select("event_id", K.signature("secret", F.unix_seconds(F.col("ts").cast("timestamp")), F.col("props")).alias("signature"))
 
@@ -176,7 +181,7 @@ def p_ai_context_validate(spark, sf):
     return table(spark, sf, "events").select("event_id", enrich.verdict(status, body, timed_out=m == 7).alias("reason"))
 
 
-@query("select event_id, case when event_id % 4 = 0 then 'error' when event_id % 4 = 1 then 'non_object' end as enrich_reason, event_id % 4 in (2, 3) and event_type <> 'view' as has_context from (select event_id, event_type from events where event_id < 2000 and event_type <> 'view') union all select event_id, null, false from events where event_id < 2000 and event_type = 'view'")
+@query("select event_id, case when event_id % 4 = 0 then 'error' when event_id % 4 = 1 then 'non_object' end as enrich_reason, event_id % 4 in (2, 3) and event_type <> 'view' as has_context from events where event_type <> 'view' union all select event_id, null, false from events where event_type = 'view'")
 def p_enrich(spark, sf):
     import json
 
@@ -186,7 +191,7 @@ def p_enrich(spark, sf):
             raise RuntimeError("down")
         return 200, "[]" if n % 4 == 1 else '{"intent":"x"}'
 
-    e = table(spark, sf, "events").where("event_id < 2000").select("event_id", "event_type")
+    e = table(spark, sf, "events").select("event_id", "event_type")
     out = enrich.enriched(e, call, F.col("event_type") != "view")
     return out.select("event_id", "enrich_reason", F.col("ai_context").isNotNull().alias("has_context"))
 
@@ -239,79 +244,80 @@ def t_embedding_order(spark, sf):
     return e.select("vec_id", F.size(vector.ordered_vectors(items)).cast("bigint").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
 
 
-@query("select p_partkey, len(p_name) as dims from part where p_partkey <= 200")
+@query("select p_partkey, len(p_name) as dims, cast(list_sum(list_transform(range(1, length(p_name) + 1), lambda i: i * ord(substr(p_name, i, 1)))) as bigint) as digest from part")
 def p_embed(spark, sf):
-    rows = table(spark, sf, "part").where("p_partkey <= 200").select("p_partkey", F.col("p_name").alias("text"))
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("text"))
     out = vector.embedded(rows, lambda texts: [[float(ord(c)) for c in t] for t in texts])
-    return out.select("p_partkey", F.size("vector").cast("bigint").alias("dims"))
+    digest = F.aggregate(F.transform("vector", lambda x, i: (i + 1) * x.cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("p_partkey", F.size("vector").cast("bigint").alias("dims"), digest.alias("digest"))
 
 
-@query("select 1 as id, '[1,0.5,-2]' as literal")
+@query("select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: rtrim(rtrim(cast(cast(cast(cast(x as varchar) as double) as decimal(38, 12)) as varchar), '0'), '.')), ',') || ']' as literal from embeddings")
 def x_vector_text(spark, sf):
-    return spark.range(1, 2).select(F.col("id").cast("int").alias("id"), vector.vector_text(F.array(F.lit(1.0), F.lit(0.5), F.lit(-2.0)).cast("array<float>")).alias("literal"))
+    return table(spark, sf, "embeddings").select("vec_id", vector.vector_text(F.col("embedding")).alias("literal"))
 
 
 # ------------------------------------------------------------------ sinks
 
 
-@query(f"{_SEQ} select seq, partition, 'id: feed:tpch.orders:' || key || ':' || op || ':' || upper(to_base(lsn >> 32, 16)) || '/' || upper(to_base(lsn & 4294967295, 16)) || ':0' as head from s")
+def _digest(c: str):
+    return F.sha2(c, 256)
+
+
+@query(f"{_SEQ} select seq, sha256('id: ' || {IDK} || chr(10) || 'data: ' || {EVENT} || chr(10) || chr(10)) as frame from s")
 def o_sse_frames(spark, sf):
-    rows = _log(spark, sf).withColumn("id", F.col("idempotency_key"))
-    out = sinks.sse_frames(rows.where("partition >= 0"))
-    return out.select("seq", K.partition_of(F.get_json_object(F.substring_index(F.split_part(F.col("frame"), F.lit("data: "), F.lit(2)), "\n\n", 1), "$.key")).alias("partition"), F.split_part(F.col("frame"), F.lit("\n"), F.lit(1)).alias("head"))
+    out = sinks.sse_frames(_log(spark, sf).withColumn("id", F.col("idempotency_key")))
+    return out.select("seq", _digest("frame").alias("frame"))
 
 
-@query(f"with {FEED} select arrival, op as operation from feed")
+@query(f"with {FEED} select sha256({EVENT} || chr(10)) as line from feed")
 def o_stdout(spark, sf):
-    lines = sinks.stdout_lines(order_feed(spark, sf))
-    lsn = K.lsn_number(F.split_part(F.get_json_object("value", "$.idempotency_key"), F.lit(":"), F.lit(-2)))
-    rows = lines.select(F.get_json_object("value", "$.operation").alias("operation"), lsn.alias("lsn"))
-    dup = rows.groupBy("operation", "lsn").agg(F.count(F.lit(1)).alias("n"))
-    return dup.select("operation", F.explode(F.when(F.col("n") == 2, F.array(F.col("lsn"), F.col("lsn") + 9)).otherwise(F.array("lsn"))).alias("arrival"))
+    return sinks.stdout_lines(order_feed(spark, sf)).select(_digest("value").alias("line"))
 
 
-@query(f"with {FEED} select 'cdc.tpch.orders' as topic, key, count(*) as n from feed group by key")
+@query(f"with {FEED} select 'cdc.tpch.orders' as topic, key, sha256({EVENT}) as value, 'Idempotency-Key' as header, {IDK} as idempotency_key from feed")
 def o_kafka_rows(spark, sf):
     rows = sinks.kafka_rows(order_feed(spark, sf), "cdc.{{.Schema}}.{{.Table}}")
-    return rows.groupBy("topic", F.decode("key", "UTF-8").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    h = F.col("headers")[0]
+    return rows.select("topic", F.decode("key", "UTF-8").alias("key"), _digest("value").alias("value"), h["key"].alias("header"), F.decode(h["value"], "UTF-8").alias("idempotency_key"))
 
 
-@query(f"with {FEED} select 'orders.' || op as subject, count(*) as n from feed group by op")
+@query(f"with {FEED} select 'orders.' || op as subject, sha256({EVENT}) as payload, {IDK} as message_id from feed")
 def o_subjects(spark, sf):
-    return sinks.subject_rows(order_feed(spark, sf), "{{.Table}}.{{.Operation}}").groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.subject_rows(order_feed(spark, sf), "{{.Table}}.{{.Operation}}").withColumn("payload", _digest("payload"))
 
 
-@query(f"with {FEED} select op as queue, (row_number() over (partition by op order by arrival) - 1) // 10 as batch, arrival as seq from feed")
+@query(f"with {FEED} select op as queue, (row_number() over (partition by op order by arrival) - 1) // 10 as batch, arrival as seq, {FNV64} as group_id, sha256({IDK}) as dedup_id, sha256({EVENT}) as body from feed")
 def o_queue_batches(spark, sf):
     rows = order_feed(spark, sf).withColumnRenamed("arrival", "seq")
-    return sinks.queue_rows(rows, "{{.Operation}}").select("queue", "batch", "seq")
+    return sinks.queue_rows(rows, "{{.Operation}}").select("queue", "batch", "seq", "group_id", "dedup_id", _digest("body").alias("body"))
 
 
-@query(f"with {FEED} select 'orders' as topic, key as ordering_key, count(*) as n from feed group by key")
+@query(f"with {FEED} select 'orders' as topic, key as ordering_key, sha256({EVENT}) as data, {IDK} as idempotency_key from feed")
 def o_pubsub(spark, sf):
-    return sinks.pubsub_rows(order_feed(spark, sf), "{{.Table}}").groupBy("topic", "ordering_key").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.pubsub_rows(order_feed(spark, sf), "{{.Table}}").select("topic", "ordering_key", _digest("data").alias("data"), F.element_at("attributes", sinks.HEADER).alias("idempotency_key"))
 
 
-@query(f"{_SEQ} select 'tpch.' || op as routing_key, partition as channel, count(*) as n from s group by op, partition")
+@query(f"{_SEQ} select 'tpch.' || op as routing_key, partition as channel, 2 as delivery_mode, sha256({EVENT}) as body, {IDK} as message_id from s")
 def o_exchange(spark, sf):
-    return sinks.exchange_rows(_log(spark, sf), "{{.Schema}}.{{.Operation}}").groupBy("routing_key", "channel").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.exchange_rows(_log(spark, sf), "{{.Schema}}.{{.Operation}}").withColumn("body", _digest("body"))
 
 
-@query(f"with {FEED} select op as operation, count(*) as n, count(distinct key) as keys from feed group by op")
+@query(f"with {FEED} select {IDK} as idempotency_key, 'orders' as \"table\", op as operation, key, sha256({EVENT}) as payload from feed")
 def o_rpc(spark, sf):
-    return sinks.rpc_messages(order_feed(spark, sf)).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
+    return sinks.rpc_messages(order_feed(spark, sf)).withColumn("payload", _digest("payload"))
 
 
 @query(f"""{_SEQ}, u as (select *, 'https://h/' || op as url from s), r as (select *, case when lag(url) over w = url then 0 else 1 end as c from u window w as (partition by partition order by seq)),
     n as (select *, sum(c) over (partition by partition order by seq rows between unbounded preceding and current row) as run from r), b as (select *, (row_number() over (partition by partition, run order by seq) - 1) // 4 as batch from n)
-    select partition, min(seq) as first_seq, url, cast(count(*) as integer) as events from b group by partition, run, batch, url""")
+    select partition, min(seq) as first_seq, url, cast(count(*) as integer) as events, sha256('[' || string_agg({EVENT}, ',' order by seq) || ']') as body, sha256(string_agg({IDK}, ',' order by seq)) as keys from b group by partition, run, batch, url""")
 def o_webhook_batches(spark, sf):
-    return sinks.webhook_requests(_log(spark, sf), "https://h/{{.Operation}}", ["partition"], 4).select("partition", "first_seq", "url", "events")
+    return sinks.webhook_requests(_log(spark, sf), "https://h/{{.Operation}}", ["partition"], 4).select("partition", "first_seq", "url", "events", _digest("body").alias("body"), _digest("keys").alias("keys"))
 
 
-@query(f"with {FEED} select arrival, 'tpch.orders:' || key as id from feed")
+@query(f"with {FEED} select arrival, 'tpch.orders:' || key as id, {uuid5_sql("'tpch.orders:' || key", str(K.POINTS))} as point_id from feed")
 def o_vector_rows(spark, sf):
-    return sinks.point_rows(order_feed(spark, sf).withColumn("text", F.col("arrival").cast("string"))).select(F.col("text").cast("bigint").alias("arrival"), "id")
+    return sinks.point_rows(order_feed(spark, sf).withColumn("text", F.col("arrival").cast("string"))).select(F.col("text").cast("bigint").alias("arrival"), "id", "point_id")
 
 
 @query("select '{\"ids\":[' || string_agg('\"' || n_name || '\"', ',' order by n_name) || ']}' as body from nation")

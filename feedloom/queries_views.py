@@ -239,7 +239,19 @@ def t_per_key_order(spark, sf):
     return views.per_key_order(eventlog.append(order_feed(spark, sf))).select("partition", "seq", "arrival")
 
 
-@query("with r as (select *, case when event_type = 'click' then 'ok' else 'poison' end as result from events), g as (select *, sum(case when result <> 'poison' then 1 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as g from r), s as (select *, sum(case when result = 'poison' then 1 else 0 end) over (partition by user_id, g order by event_id rows between unbounded preceding and current row) as streak from g) select event_id, cast(streak as bigint) as streak, case when result = 'poison' and streak >= 25 then 'transient' else result end as verdict from s")
+@query("""
+    with r as (select *, case when event_type = 'click' then 'ok' when event_id % 211 = 0 then 'transient' else 'poison' end as result from events),
+    g as (select *, sum(case when result <> 'poison' then 1 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as g from r),
+    s as (select *, sum(case when result = 'poison' then 1 else 0 end) over (partition by user_id, g order by event_id rows between unbounded preceding and current row) as streak from g),
+    t as (select *, min(case when result = 'transient' or result = 'poison' and streak > 25 then event_id end) over (partition by user_id) as stop, max(event_id) over (partition by user_id) as top from s)
+    select user_id, event_id, case when event_id > stop then 'pending' when event_id = stop then 'blocked' when result = 'poison' then 'skipped' else 'delivered' end as action, coalesce(stop, top + 1) as cursor from t
+""")
+def k_poison_skip(spark, sf):
+    result = F.when(F.col("event_type") == "click", "ok").when(F.col("event_id") % 211 == 0, "transient").otherwise("poison")
+    return delivery.poison_skips(table(spark, sf, "events").select("user_id", "event_id", result.alias("result")), ["user_id"], "event_id").select("user_id", "event_id", "action", "cursor")
+
+
+@query("with r as (select *, case when event_type = 'click' then 'ok' else 'poison' end as result from events), g as (select *, sum(case when result <> 'poison' then 1 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as g from r), s as (select *, sum(case when result = 'poison' then 1 else 0 end) over (partition by user_id, g order by event_id rows between unbounded preceding and current row) as streak from g) select event_id, cast(streak as bigint) as streak, case when result = 'poison' and streak > 25 then 'transient' else result end as verdict from s")
 def w_poison_streak(spark, sf):
     e = table(spark, sf, "events").withColumn("result", F.when(F.col("event_type") == "click", "ok").otherwise("poison"))
     return delivery.poison_streaks(e, ["user_id"], "event_id").select("event_id", "streak", "verdict")

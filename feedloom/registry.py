@@ -58,4 +58,28 @@ feed as (
     select * from feed where arrival % 10 <> 9
 )"""
 
+#: Of an event of the feed: its idempotency key, and its JSON as sinks send it.
+IDK = "('feed:tpch.orders:' || key || ':' || op || ':' || upper(to_base(lsn >> 32, 16)) || '/' || upper(to_base(lsn & 4294967295, 16)) || ':0')"
+
+
+def _image(status: str) -> str:
+    price = "case when o_totalprice = floor(o_totalprice) then cast(cast(o_totalprice as bigint) as varchar) else cast(o_totalprice as varchar) end"
+    return f"""coalesce('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || k || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || {status} || '","o_totalprice":' || {price} || '}}', 'null')"""
+
+
+_TIME = "strftime(make_timestamp(1700000000000000 + lsn * 1000), '%Y-%m-%dT%H:%M:%S.%g')"
+EVENT = f"""('{{"idempotency_key":"' || replace({IDK}, '"', chr(92) || '"') || '","timestamp":"' || {_TIME} || 'Z","source":"feed","operation":"' || op || '","schema":"tpch","table":"orders","key":' || key || ',"before":' || {_image("b_status")} || ',"after":' || {_image("a_status")} || '}}')"""
+
+
+def uuid5_sql(name: str, namespace: str) -> str:
+    """A name-based UUID in SQL; `name` is an expression without duplicates to fear."""
+    h = f"sha1(unhex('{namespace.replace('-', '')}') || encode({name}))"
+    variant = f"lower(to_base((cast('0x' || substr({h}, 17, 2) as integer) & 63) | 128, 16))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 19, 2) || '-' || substr({h}, 21, 12)"
+
+
+#: FNV-1a of 64 bits, as hex, of a text of ASCII characters.
+_FNV64 = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(key) + 1), lambda i: ord(substr(key, i, 1))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) & 18446744073709551615::HUGEINT)"
+FNV64 = f"lower(lpad(to_base(cast({_FNV64} // 4294967296 as bigint), 16), 8, '0') || lpad(to_base(cast({_FNV64} % 4294967296 as bigint), 16), 8, '0'))"
+
 FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(range(1, length(key) + 1), lambda i: ord(substr(key, i, 1))::UBIGINT)), lambda h, b: (xor(h, b) * 16777619::UBIGINT) & 4294967295::UBIGINT)"

@@ -59,12 +59,14 @@ def webhook_requests(events: DataFrame, url: str, by: list[str], most: int = 100
     """Consecutive events of one URL, at most `most`, as one request with a JSON array.
 
     A batch of one is sent as the object itself when `most` is one.  Requests carry the keys of
-    their events, comma-joined in order.
+    their events, comma-joined in order.  Events are numbered before they are written as JSON.
     """
-    rows = events.withColumn("url", template(url)).withColumn("__p", event_json() if payload is None else payload).where("__p is not null")
-    numbered = runs(rows, by, order, F.col("url"))
-    n = F.row_number().over(W.partitionBy(*by, "run").orderBy(order)) - 1
-    rows = numbered.withColumn("batch", F.floor(n / most).cast("int"))
+    rows = events.withColumn("url", template(url))
+    if payload is not None:  # an event without one is not sent, so it is made first
+        rows = rows.withColumn("__p", payload).where("__p is not null")
+    rows = runs(rows, by, order, F.col("url")).withColumn("batch", F.floor(F.col("place") / most).cast("int"))
+    if payload is None:
+        rows = rows.withColumn("__p", event_json())
     items = F.sort_array(F.collect_list(F.struct(order, "__p", "idempotency_key")))
     out = rows.groupBy(*by, "run", "batch", "url").agg(items.alias("i"))
     joined = F.array_join(F.transform("i", lambda x: x["__p"]), ",")
