@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import keys as K
@@ -12,7 +13,7 @@ from .operators import backfill, eventlog
 from .registry import FEED, FNV, query, table
 from .sources import capture, documents, snapshot, streams_text
 from .sources.feed import order_feed
-from .sources.logical import decoded
+from .sources.logical import change_events, decoded
 
 
 @query("select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey > 1000 order by o_orderkey limit 500")
@@ -147,27 +148,61 @@ def s_sse_parse(spark, sf):
     return table(spark, sf, "events").select("event_id", F.size(d).alias("n"), F.get(d, F.lit(0)).alias("first"))
 
 
+SLOTS = 32
+
+
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Protocol messages that insert the nations of each region in one transaction, on a slot of its own."""
+    """Protocol messages of a history of `lineitem`, on 32 slots: each order is a transaction.
+
+    Lines are inserted, updated with an old key and an unchanged column, updated with an old row, or
+    deleted.  Every third order is streamed in two segments with those of other orders between
+    them, and then committed or aborted.
+    """
+    num = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    word = lambda c: F.hex(F.encode(c, "UTF-8"))
+    value = lambda c: F.concat(F.lit("74"), num(F.octet_length(c), 8), word(c))
+    o = F.col("l_orderkey")
+    w = W.partitionBy("l_orderkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("int").cast("string").alias("qty"))
+    lines = lines.withColumn("n", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey"))).withColumn("half", F.floor((F.count(F.lit(1)).over(w) + 1) / 2))
+    streamed, second = o % 3 == 0, F.col("n") > F.col("half")
+    id_ = (o * 100 + F.col("n")).cast("string")
+    full = F.concat(F.lit("0003"), value(id_), value(F.col("l_returnflag")), value(F.col("qty")))
+    bare = F.concat(F.lit("0003"), value(id_), F.lit("6E6E"))
+    part = F.concat(F.lit("0003"), value(id_), F.lit("75"), value(F.col("qty")))
+    kind = F.col("n") % 4
+    tail = F.when(kind == 1, F.concat(F.lit("4E"), full)).when(kind == 2, F.concat(F.lit("4B"), bare, F.lit("4E"), part)).when(kind == 3, F.concat(F.lit("4F"), full, F.lit("4E"), full)).otherwise(F.concat(F.lit("4F"), full))
+    data = F.concat(F.when(kind == 1, "49").when(kind == 0, "44").otherwise("55"), F.when(streamed, num(o, 8)).otherwise(""), F.lit("00000007"), tail)
+    later = (o + 2 * SLOTS) * 1000 + 400  # the second segment comes after the first one of a later order
+    pos = F.when(streamed & second, later + 1 + F.col("n")).otherwise(o * 1000 + F.col("n"))
+    changes = lines.select(o, pos.alias("pos"), data.alias("data"))
+    at = lambda p, d: F.struct(p.cast("long").alias("pos"), d.alias("data"))
+    base = o * 1000
+    plain = F.array(at(base, F.concat(F.lit("42"), num(o * 100, 16), F.lit("0" * 16), num(o, 8))), at(base + 300, F.lit("43")))
+    end = F.when(o % 2 == 0, F.concat(F.lit("63"), num(o, 8), F.lit("00"), num(o * 100 + 7, 16), F.lit("0" * 32))).otherwise(F.concat(F.lit("41"), num(o, 8), num(o, 8)))
+    segments = F.array(at(base, F.concat(F.lit("53"), num(o, 8), F.lit("01"))), at(base + 300, F.lit("45")), at(later + 1, F.concat(F.lit("53"), num(o, 8), F.lit("00"))), at(later + 300, F.lit("45")), at(later + 301, end))
+    marks = lines.where("n = 1").select(o, F.explode(F.when(streamed, segments).otherwise(plain)).alias("m")).select(o, "m.pos", "m.data")
     z = lambda s: s.encode() + b"\0"
-    rows = []
-    nations = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
-    for region in sorted({n["n_regionkey"] for n in nations}):
-        relation = b"R" + struct.pack(">I", 7) + z("public") + z("nation") + b"d" + struct.pack(">H", 2) + b"\1" + z("id") + struct.pack(">Ii", 23, -1) + b"\0" + z("name") + struct.pack(">Ii", 25, -1)
-        own = [b"B" + struct.pack(">QqI", 100 + region, 0, 500 + region), relation]
-        for n in sorted((n for n in nations if n["n_regionkey"] == region), key=lambda n: n["n_nationkey"]):
-            values = [str(n["n_nationkey"]).encode(), n["n_name"].encode()]
-            own.append(b"I" + struct.pack(">I", 7) + b"N" + struct.pack(">H", 2) + b"".join(b"t" + struct.pack(">I", len(v)) + v for v in values))
-        rows += [(f"slot{region}", 100 + region, i, bytearray(m)) for i, m in enumerate(own)]
-    return spark.createDataFrame(rows, "slot string, lsn long, pos long, data binary")
+    columns = b"".join(struct.pack(">B", key) + z(name) + struct.pack(">Ii", oid, -1) for key, name, oid in ((1, "id", 20), (0, "flag", 25), (0, "qty", 1700)))
+    relation = b"R" + struct.pack(">I", 7) + z("public") + z("lineitem") + b"d" + struct.pack(">H", 3) + columns
+    relations = spark.range(SLOTS).select(F.col("id").alias("l_orderkey"), F.lit(-1).cast("long").alias("pos"), F.lit(relation.hex()).alias("data"))
+    rows = changes.unionByName(marks).unionByName(relations)
+    return rows.select(F.concat(F.lit("slot"), o % SLOTS).alias("slot"), F.lit(0).cast("long").alias("lsn"), "pos", F.unhex("data").alias("data"))
 
 
 @query("""
-    select 'slot' || n_regionkey as slot, 'insert' as operation, '{"id":"' || n_nationkey || '"}' as key, '{"id":"' || n_nationkey || '","name":"' || n_name || '"}' as after,
-           cast(100 + n_regionkey as bigint) as lsn, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as change_seq from nation
+    with r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n from lineitem),
+    v as (select *, l_orderkey * 100 + n as id, cast(cast(l_quantity as integer) as varchar) as qty, case n % 4 when 1 then 'insert' when 0 then 'delete' else 'update' end as operation,
+          l_orderkey * 100 + case when l_orderkey % 3 = 0 then 7 else 0 end as lsn from r where not (l_orderkey % 3 = 0 and l_orderkey % 2 = 1)),
+    j as (select *, '{"id":"' || id || '"}' as key, '{"flag":"' || l_returnflag || '","id":"' || id || '","qty":"' || qty || '"}' as image from v)
+    select 'slot' || (l_orderkey % 32) as slot, operation, key, case n % 4 when 2 then '{"flag":null,"id":"' || id || '","qty":null}' when 1 then null else image end as before,
+           case n % 4 when 2 then '{"id":"' || id || '","qty":"' || qty || '"}' when 0 then null else image end as after, case when n % 4 = 2 then 'flag' else '' end as unchanged, lsn, n - 1 as change_seq,
+           'pg:public.lineitem:' || key || ':' || operation || ':' || upper(to_base(lsn >> 32, 16)) || '/' || upper(to_base(lsn & 4294967295, 16)) || ':' || (n - 1) as idempotency_key
+    from j
 """)
 def s_logical_decode(spark, sf):
-    return decoded(_messages(spark, sf)).where("kind = 'change'").select("slot", "operation", "key", "after", "lsn", "change_seq")
+    rows = change_events(decoded(_messages(spark, sf)))
+    return rows.select("slot", "operation", "key", "before", "after", F.array_join("unchanged", ",").alias("unchanged"), "lsn", "change_seq", "idempotency_key")
 
 
 # ------------------------------------------------------------------ event log

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.keys import dedup_id, fnv64_hex, qualified, uuid5, vector_id
 from .operators.actions import event_json
+from .operators.delivery import POISON_STREAK
 from .operators.views import runs
 from .plans.templates import destination, template
 
@@ -55,7 +56,7 @@ def exchange_rows(events: DataFrame, routing_key: str, channels: int = 64) -> Da
     return events.select(destination(routing_key).alias("routing_key"), (F.col("partition") % channels).alias("channel"), F.lit(2).alias("delivery_mode"), event_json().alias("body"), F.col("idempotency_key").alias("message_id"))
 
 
-def webhook_requests(events: DataFrame, url: str, by: list[str], most: int = 100, payload: Column | None = None, order: str = "seq") -> DataFrame:
+def webhook_requests(events: DataFrame, url: str, by: list[str], most: int = 100, payload: Column | None = None, order: str = "seq", items_too: bool = False) -> DataFrame:
     """Consecutive events of one URL, at most `most`, as one request with a JSON array.
 
     A batch of one is sent as the object itself when `most` is one.  Requests carry the keys of
@@ -71,7 +72,7 @@ def webhook_requests(events: DataFrame, url: str, by: list[str], most: int = 100
     out = rows.groupBy(*by, "run", "batch", "url").agg(items.alias("i"))
     joined = F.array_join(F.transform("i", lambda x: x["__p"]), ",")
     body = joined if most == 1 else F.concat(F.lit("["), joined, F.lit("]"))
-    return out.select(*by, F.col("i")[0][order].alias(f"first_{order}"), "url", F.size("i").alias("events"), body.alias("body"), F.array_join(F.transform("i", lambda x: x["idempotency_key"]), ",").alias("keys"))
+    return out.select(*by, F.col("i")[0][order].alias(f"first_{order}"), "url", F.size("i").alias("events"), body.alias("body"), F.array_join(F.transform("i", lambda x: x["idempotency_key"]), ",").alias("keys"), *([F.col("i").alias("items")] if items_too else []))
 
 
 def vector_rows(events: DataFrame) -> DataFrame:
@@ -102,21 +103,46 @@ def qualified_name() -> Column:
     return qualified(F.col("schema"), F.col("table"))
 
 
-def sender(send: Callable[[str, str, str], int], url: str, by: list[str], most: int = 100) -> Callable[[DataFrame, int], None]:
+def sender(send: Callable[[str, str, str], int], url: str, by: list[str], most: int = 100, park: Callable[[dict], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: each request goes out from its task, in order for each `by`.
 
-    send: (url, body, keys) -> status.  A status that is not 2xx fails the micro-batch, which then
-    runs again as a whole, so receivers see every event at least once.
+    send: (url, body, keys) -> status.  2xx is success.  A transient status (408, 429, 5xx) fails the
+    micro-batch, which then runs again as a whole, so receivers see every event at least once.  Any
+    other one is poison: the request's events are sent one by one, those that are refused are handed
+    to `park`, which must return only when it has stored them, and the rest goes on.  After
+    25 refusals in a row the endpoint itself is at fault, and the micro-batch fails; so it does
+    without `park`, since nothing is passed over without a copy.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        requests = webhook_requests(batch, url, by, most)
+        requests = webhook_requests(batch, url, by, most, items_too=True)
 
         def post(rows):
-            for r in rows:
-                status = send(r["url"], r["body"], r["keys"])
-                if not 200 <= status < 300:
+            streak: dict[tuple, int] = {}
+
+            def refused(group: tuple, target: str, body: str, keys: str) -> int | None:
+                """The status if it is poison; raises if it is transient."""
+                status = send(target, body, keys)
+                if 200 <= status < 300:
+                    streak[group] = 0
+                    return None
+                if status in (408, 429) or 500 <= status < 600 or park is None:
                     raise RuntimeError(f"status {status}")
+                return status
+
+            for r in rows:
+                group = tuple(r[c] for c in by)
+                if refused(group, r["url"], r["body"], r["keys"]) is None:
+                    continue
+                for item in r["items"]:
+                    seq, payload, key = item
+                    status = refused(group, r["url"], payload if most == 1 else f"[{payload}]", key)
+                    if status is None:
+                        continue
+                    if streak.get(group, 0) >= POISON_STREAK:
+                        raise RuntimeError(f"status {status}, {POISON_STREAK} times in a row")
+                    park(dict(zip(by, group)) | {"seq": seq, "idempotency_key": key, "payload": payload, "reason": f"status {status}"})
+                    streak[group] = streak.get(group, 0) + 1
 
         requests.repartition(*by).sortWithinPartitions(*by, "first_seq").foreachPartition(post)
 

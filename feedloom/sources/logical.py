@@ -2,18 +2,27 @@
 
 Input: rows of (lsn, data), the raw messages of one slot in order.  The decoder is a state machine
 over a slot, so a slot is one group; slots are decoded in parallel.
+
+Changes of a transaction are numbered from 0, each transaction on its own, also where the segments
+of streamed ones interleave.  A streamed change has no position of its own until its transaction
+commits; `change_events` stamps it, builds the idempotency key with the commit's position and
+leaves out what was aborted or never ended.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.keys import idempotency_key
 
-SCHEMA = "slot string, lsn long, pos long, xid long, kind string, operation string, rel_id long, schema string, table string, key string, before string, after string, unchanged array<string>, change_seq long, error string"
+SCHEMA = "slot string, lsn long, pos long, xid long, sub long, streamed boolean, kind string, operation string, rel_id long, schema string, table string, key string, before string, after string, unchanged array<string>, change_seq long, error string"
 
 
 class DecodeError(ValueError):
@@ -48,11 +57,12 @@ class Reader:
 
 
 class Decoder:
-    """State of one slot: relations, the open transaction and its change counter."""
+    """State of one slot: relations, the open transaction or segment, and change counters by transaction."""
 
     def __init__(self):
         self.relations: dict[int, tuple[str, str, list[tuple[str, bool]]]] = {}
-        self.lsn, self.xid, self.seq, self.streaming = 0, 0, 0, False
+        self.lsn, self.xid, self.streaming = 0, 0, False
+        self.seq: dict[int, int] = {}
 
     def relation(self, r: Reader) -> None:
         oid, schema, table = r.take("I"), r.text(), r.text()
@@ -76,8 +86,6 @@ class Decoder:
             elif kind == "t":
                 values[name] = r.raw(r.take("I")).decode()
             elif kind == "b":
-                import base64
-
                 values[name] = base64.b64encode(r.raw(r.take("I"))).decode()
             else:
                 raise DecodeError(f"unknown column kind {kind!r}")
@@ -89,22 +97,30 @@ class Decoder:
         kind = chr(r.take("B"))
         if kind == "B":
             self.lsn, _, self.xid = r.take("QqI")
-            self.seq = 0
+            self.seq[self.xid] = 0
             return None
         if kind == "C":
+            self.seq.pop(self.xid, None)
             return None
         if kind == "S":
             self.xid, first = r.take("IB")
             self.streaming = True
-            self.seq = 0 if first else self.seq
+            if first:
+                self.seq[self.xid] = 0
             return None
         if kind == "E":
             self.streaming = False
             return None
         if kind in ("c", "A"):
             xid = r.take("I")
-            commit = r.take("BQQq")[1] if kind == "c" else None
-            return {"kind": "commit" if kind == "c" else "abort", "xid": xid, "lsn": commit if commit is not None else lsn}
+            self.streaming = False
+            if kind == "c":
+                self.seq.pop(xid, None)
+                return {"kind": "commit", "xid": xid, "lsn": r.take("BQQq")[1]}
+            sub = r.take("I")  # a part of a transaction, or itself
+            if sub == xid:
+                self.seq.pop(xid, None)
+            return {"kind": "abort", "xid": xid, "sub": sub, "lsn": lsn}
         if kind == "R":
             if self.streaming:
                 r.take("I")
@@ -112,7 +128,7 @@ class Decoder:
             return None
         if kind not in "IUD":
             return None  # truncate, type, origin, message
-        xid = r.take("I") if self.streaming else self.xid
+        sub = r.take("I") if self.streaming else self.xid
         oid = r.take("I")
         if oid not in self.relations:
             raise DecodeError(f"unknown relation {oid}")
@@ -132,14 +148,15 @@ class Decoder:
             raise DecodeError("no tuple")
         dump = lambda d: None if d is None else json.dumps(d, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
         key = {n: image.get(n) for n, is_key in columns if is_key and n in image}
-        self.seq += 1
-        return {"kind": "change", "operation": {"I": "insert", "U": "update", "D": "delete"}[kind], "rel_id": oid, "schema": schema, "table": table, "key": dump(key), "before": dump(before), "after": dump(after), "unchanged": unchanged, "xid": xid, "lsn": self.lsn or lsn, "change_seq": self.seq - 1}
+        number = self.seq.get(self.xid, 0)
+        self.seq[self.xid] = number + 1
+        return {"kind": "change", "operation": {"I": "insert", "U": "update", "D": "delete"}[kind], "rel_id": oid, "schema": schema, "table": table, "key": dump(key), "before": dump(before), "after": dump(after), "unchanged": unchanged, "xid": self.xid, "sub": sub, "streamed": self.streaming, "lsn": None if self.streaming else self.lsn or lsn, "change_seq": number}
 
 
 def decoded(messages: DataFrame) -> DataFrame:
     """Decode (slot, lsn, pos, data); `pos` orders a slot's messages.  Unreadable ones are rows of kind error."""
 
-    arrow = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (c.split(" ") for c in SCHEMA.split(", "))])
+    arrow = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[t]) for n, t in (c.split(" ") for c in SCHEMA.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: dict[str, Decoder] = {}
@@ -155,3 +172,20 @@ def decoded(messages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return messages.select("slot", "lsn", "pos", "data").repartition("slot").sortWithinPartitions("slot", "pos").mapInArrow(run, SCHEMA)
+
+
+def change_events(rows: DataFrame, source: str = "pg") -> DataFrame:
+    """Changes of `decoded` rows with their transactions' positions and idempotency keys.
+
+    Changes of aborted transactions, of aborted parts of one and of those without an end are left out.
+    """
+    ends = rows.where("kind in ('commit', 'abort')").select("slot", "xid", "kind", "sub", F.col("lsn").alias("__lsn"))
+    commits = ends.where("kind = 'commit'").groupBy("slot", "xid").agg(F.max("__lsn").alias("__lsn"))
+    gone = ends.where("kind = 'abort'").select("slot", "xid", "sub").distinct()
+    whole = gone.where("sub = xid").select("slot", "xid")
+    changes = rows.where("kind = 'change'")
+    late = changes.where("streamed").join(whole, ["slot", "xid"], "left_anti").join(gone, ["slot", "xid", "sub"], "left_anti")
+    late = late.join(commits, ["slot", "xid"]).withColumn("lsn", F.col("__lsn")).drop("__lsn")
+    out = changes.where("not streamed").unionByName(late.select(changes.columns))
+    c = F.col
+    return out.withColumn("source", F.lit(source)).withColumn("idempotency_key", idempotency_key(c("source"), c("schema"), c("table"), c("key"), c("operation"), c("lsn"), c("change_seq")))

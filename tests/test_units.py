@@ -165,3 +165,50 @@ def test_watermark_equals_a_scan(spark):
         make = lambda rows, p: spark.createDataFrame(rows, f"table string, key string, {p} long").withColumn("schema", F.lit("s"))
         got = {(r["table"], r["key"]) for r in backfill.still_current(make(snap, "snapshot_lsn"), make(log, "lsn")).collect()}
         assert got == {(t, k) for t, k, cut in snap if not any(x == (t, k) and n > cut for *x_, n in log for x in [tuple(x_)])}
+
+
+def test_interleaved_segments_count_on_their_own(spark):
+    import struct
+
+    from feedloom.sources.logical import change_events
+
+    z = lambda s: s.encode() + b"\0"
+    relation = b"R" + struct.pack(">I", 7) + z("public") + z("t") + b"d" + struct.pack(">H", 1) + b"\1" + z("id") + struct.pack(">Ii", 23, -1)
+    row = lambda xid, v: b"I" + (struct.pack(">I", xid) if xid else b"") + struct.pack(">I", 7) + b"N" + struct.pack(">H", 1) + b"t" + struct.pack(">I", len(v)) + v.encode()
+    start = lambda xid, first: b"S" + struct.pack(">IB", xid, first)
+    commit = lambda xid, lsn: b"c" + struct.pack(">IBQQq", xid, 0, lsn, 0, 0)
+    stop = b"E"
+    messages = [relation, start(5, 1), row(5, "a"), row(50, "part"), stop, start(6, 1), row(6, "b"), row(6, "c"), stop, start(5, 0), row(5, "d"), stop, b"A" + struct.pack(">II", 5, 50), start(6, 0), row(6, "e"), stop, commit(5, 500), b"A" + struct.pack(">II", 6, 6), start(8, 1), row(8, "open"), stop]
+    messages += [b"B" + struct.pack(">QqI", 600, 0, 9), row(0, "f"), row(0, "f"), b"C"]
+    df = spark.createDataFrame([("s", 1, i, bytearray(m)) for i, m in enumerate(messages)], "slot string, lsn long, pos long, data binary")
+    got = sorted((json.loads(r["key"])["id"], r["lsn"], r["change_seq"], r["idempotency_key"].rpartition(":insert:")[2]) for r in change_events(decoded(df)).collect())
+    assert got == [("a", 500, 0, "0/1F4:0"), ("d", 500, 2, "0/1F4:2"), ("f", 600, 0, "0/258:0"), ("f", 600, 1, "0/258:1")]
+
+
+def test_poison_is_parked_and_passed_over(spark, tmp_path):
+    from feedloom import sinks
+
+    rows = [(1, i, f"k{i}", "insert", "t", "s", "feed", f'{{"id":"{i}"}}', None, '{"v":1}', None) for i in range(12)]
+    events = spark.createDataFrame(rows, "partition int, seq long, idempotency_key string, operation string, table string, schema string, source string, key string, before string, after string, timestamp timestamp")
+    sent, parked = str(tmp_path / "sent"), str(tmp_path / "parked")
+
+    def write(path, line):
+        with open(path, "a") as f:
+            f.write(line + "\n")
+
+    def send(url, body, keys, bad=("k3", "k4")):
+        if any(k in bad for k in keys.split(",")):
+            return 422
+        write(sent, keys)
+        return 200
+
+    sinks.sender(send, "http://x", ["partition"], 5, park=lambda r: write(parked, f"{r['partition']} {r['seq']} {r['idempotency_key']} {r['reason']}"))(events, 0)
+    assert open(sent).read().split() == ["k0", "k1", "k2", "k5,k6,k7,k8,k9", "k10,k11"] and open(parked).read().splitlines() == ["1 3 k3 status 422", "1 4 k4 status 422"]
+    for status, park in ((422, None), (503, print)):
+        with pytest.raises(Exception, match=f"status {status}"):
+            sinks.sender(lambda *a, status=status: status, "http://x", ["partition"], 5, park=park)(events, 0)
+    many = spark.range(40).selectExpr("1 as partition", "id as seq", "concat('k', id) as idempotency_key", "'insert' as operation", "'t' as table", "'s' as schema", "'feed' as source", "'{}' as key", "string(null) as before", "'{}' as after", "timestamp(null) as timestamp")
+    more = str(tmp_path / "more")
+    with pytest.raises(Exception, match="25 times in a row"):
+        sinks.sender(lambda *a: 404, "http://x", ["partition"], 100, park=lambda r: write(more, str(r["seq"])))(many, 0)
+    assert open(more).read().split() == [str(i) for i in range(25)]
