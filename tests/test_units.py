@@ -212,3 +212,27 @@ def test_poison_is_parked_and_passed_over(spark, tmp_path):
     with pytest.raises(Exception, match="25 times in a row"):
         sinks.sender(lambda *a: 404, "http://x", ["partition"], 100, park=lambda r: write(more, str(r["seq"])))(many, 0)
     assert open(more).read().split() == [str(i) for i in range(25)]
+
+
+BUILTINS = [
+    ("[.[] | . * 2]", "[1,2,3]", [2, 4, 6]), ("map(.a)", '[{"a":1},{"b":2}]', [1, None]), ("map(select(. > 1))", "[1,2,3]", [2, 3]), ("add", "[1,2,3.5]", 6.5), ("add", '["a","b"]', "ab"), ("add", "[]", None),
+    ("any(. > 2)", "[1,2,3]", True), ("all(. > 2)", "[1,2,3]", False), ("any", "[false,null]", False), ("min", "[3,1,2]", 1), ("max", '["b","a"]', "b"), ("sort", '[3,"a",null,1,true,{"x":1}]', [None, True, 1, 3, "a", {"x": 1}]),
+    ("unique", "[3,1,3]", [1, 3]), ("first", "[7,8]", 7), ("last", "[7,8]", 8), (".[-1]", "[7,8]", 8), (".[1:]", "[7,8,9]", [8, 9]), (".[:-1]", '"abc"', "ab"), (".[1:2]", "[7,8,9]", [8]),
+    ("[range(3)]", "null", [0, 1, 2]), ("[range(2; 4), 9]", "null", [2, 3, 9]), ("flatten", "[1,[2,[3,[4]]]]", [1, 2, 3, 4]), ("del(.a)", '{"a":1,"b":2}', {"b": 2}), ("del(.[0])", "[1,2]", [2]),
+    ("to_entries", '{"a":1}', [{"key": "a", "value": 1}]), ('with_entries(select(.key != "a"))', '{"a":1,"b":null}', {"b": None}), ("from_entries", '[{"key":"x","value":[1]}]', {"x": [1]}),
+    ("pow(2; 10)", "null", 1024), ('sub("b+"; "x")', '"abbcb"', "axcb"), ('gsub("b"; "$")', '"abcb"', "a$c$"), ("@base64", '"hi"', "aGk="), ("@base64d", '"aGk="', "hi"), ("@uri", '"a b/é~*"', "a%20b%2F%C3%A9~%2A"),
+    ("@csv", '[1,"a\\"b",null,true]', '1,"a""b",,true'), ('strftime("%Y-%m-%dT%H:%M:%SZ")', "0", "1970-01-01T00:00:00Z"), ('contains(["b"])', '["abc","d"]', True), ('contains(["x"])', '["abc","d"]', False), ("reverse", "[1,2]", [2, 1]),
+    ("round", "2.5", 3), ("ceil", "1.2", 2), ("[.items[].id]", '{"items":[{"id":1},{"id":2}]}', [1, 2]), ("now > 1700000000", "null", True), (".id", '{"id":12345678901234567890}', 12345678901234567890), ("{id, status}", '{"id":1,"status":"open","n":2}', {"id": 1, "status": "open"}),
+]
+
+
+def test_jq_builtins(spark):
+    got = spark.range(1).select(*[jq(expression, F.lit(raw)).alias(f"c{i}") for i, (expression, raw, _) in enumerate(BUILTINS)]).first()
+    for value, (expression, raw, want) in zip(got, BUILTINS):
+        assert (None if value is None else json.loads(value)) == want, (expression, raw, value)
+    for bad in ("1, 2", ".[]", "repeat(1)", "range(3)", "map(.[])"):
+        with pytest.raises(JqError):
+            jq(bad, F.lit("[1,2]"))
+    for bad in ('error("boom")', "1 + .status"):
+        with pytest.raises(Exception, match="boom|cannot add"):
+            spark.range(1).select(jq(bad, F.lit('{"status":"open"}'))).collect()
