@@ -20,16 +20,44 @@ def first_arrivals(events: DataFrame, key: str = "idempotency_key", arrival: str
     return first.select(*[F.col(key) if c == key else F.col(f"__e.{c}").alias(c) for c in events.columns])
 
 
-def append(events: DataFrame, log: DataFrame | None = None, n: int = PARTITIONS, key: str = "idempotency_key", arrival: str = "arrival") -> DataFrame:
+#: Bytes of a partition that one task numbers.
+RUN_BYTES = 1 << 30
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a result's size; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def numbered(new: DataFrame, order: list[str], ranges: int) -> DataFrame:
+    """Add seq, from 1 in each partition by `order` (the first of it a number).
+
+    A partition is cut into `ranges` ranges of the first column, each numbered in a task of its own;
+    what earlier ranges hold is added from one count a range.
+    """
+    if ranges == 1:
+        return new.withColumn("seq", F.row_number().over(W.partitionBy("partition").orderBy(*order)).cast("bigint"))
+    cuts = new.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    cut = F.lit(sorted({float(c) for c in cuts})).cast("array<double>")
+    rows = new.withColumn("__r", F.size(F.filter(cut, lambda c: c < F.col(order[0]))))
+    before = W.partitionBy("partition").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("partition", "__r").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.row_number().over(W.partitionBy("partition", "__r").orderBy(*order))
+    return rows.withColumn("seq", own.cast("bigint")).join(counts, ["partition", "__r"]).withColumn("seq", F.col("seq") + F.col("__before")).drop("__r", "__before")
+
+
+def append(events: DataFrame, log: DataFrame | None = None, n: int = PARTITIONS, key: str = "idempotency_key", arrival: str = "arrival", ranges: int | None = None) -> DataFrame:
     """Rows to add to `log`: new keys only, with partition and seq.
 
     seq is monotone within a partition and goes on after the log's highest; gaps are allowed.
+    ranges: tasks that number a partition; by default as many as its planned size asks for.  The
+    numbers are the same for any.
     """
     new = first_arrivals(events, key, arrival)
     if log is not None:
         new = new.join(log.select(key), key, "left_anti")
     new = new.withColumn("partition", partition_of(F.col("key"), n))
-    new = new.withColumn("seq", F.row_number().over(W.partitionBy("partition").orderBy(arrival, key)).cast("bigint"))
+    new = numbered(new, [arrival, key], ranges or planned_bytes(new) // (n * RUN_BYTES) + 1)
     if log is not None:
         high = log.groupBy("partition").agg(F.max("seq").alias("__high"))
         new = new.join(F.broadcast(high), "partition", "left").withColumn("seq", F.col("seq") + F.coalesce("__high", F.lit(0))).drop("__high")

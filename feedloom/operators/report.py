@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 0.35
+MOST_WINDOWS = 10_000
 #: Bytes of the size units, longest suffix first.
 UNITS = (("GiB", 1024**3), ("MiB", 1024**2), ("KiB", 1024), ("GB", 1e9), ("MB", 1e6), ("kB", 1e3), ("B", 1))
 
@@ -18,9 +19,11 @@ def scenario_windows(markers: DataFrame) -> DataFrame:
 def attributed(events: DataFrame, windows: DataFrame, at: str = "bench_ts") -> DataFrame:
     """The scenario whose window (both ends included) holds the event; else its own tag.
 
-    Of overlapping windows the one that starts first wins.  Windows are few and are folded into one
-    array, so the event side is neither shuffled nor multiplied.
+    Of overlapping windows the one that starts first wins.  Windows are few (a count checks it) and are
+    folded into one array, so the event side is neither shuffled nor multiplied.
     """
+    if windows.limit(MOST_WINDOWS + 1).count() > MOST_WINDOWS:
+        raise ValueError(f"more than {MOST_WINDOWS} windows")
     all_ = windows.agg(F.sort_array(F.collect_list(F.struct("start", "end", "scenario"))).alias("__w"))
     hit = F.filter("__w", lambda w: (w["start"] <= F.col(at)) & (F.col(at) <= w["end"]))
     return events.crossJoin(F.broadcast(all_)).withColumn("scenario", F.coalesce(F.get(hit, F.lit(0))["scenario"], F.col("scenario"))).drop("__w")
@@ -54,7 +57,7 @@ def histogram(rows: DataFrame, value: str, buckets: list[float], by: list[str] |
 def gate(current: DataFrame, baseline: DataFrame, on: str = "scenario") -> DataFrame:
     """failed: throughput below 65 % of the baseline's; advisory: burst p50 above 135 %."""
     b = baseline.select(on, F.col("throughput").alias("base_throughput"), F.col("p50").alias("base_p50"))
-    rows = current.join(F.broadcast(b), on)
+    rows = current.join(b, on)
     return rows.withColumn("failed", F.col("throughput") < F.col("base_throughput") * (1 - TOLERANCE)).withColumn("advisory", (F.col(on) == "burst") & (F.col("p50") > F.col("base_p50") * (1 + TOLERANCE)))
 
 
@@ -96,7 +99,7 @@ def latency_us(receive: Column, bench: Column) -> Column:
 
 def recovery_seconds(events: DataFrame, kills: DataFrame, by: str = "tool", cap: float = 120.0) -> DataFrame:
     """Seconds from each kill to the first event after it, at most `cap`."""
-    first = events.join(F.broadcast(kills), by).where(F.col("receive_ts") > F.col("kill_ts")).groupBy(by, "kill_ts").agg(F.min("receive_ts").alias("back"))
+    first = events.join(kills, by).where(F.col("receive_ts") > F.col("kill_ts")).groupBy(by, "kill_ts").agg(F.min("receive_ts").alias("back"))
     seconds = (F.unix_micros("back") - F.unix_micros("kill_ts")) / 1e6
     return kills.join(first, [by, "kill_ts"], "left").select(by, "kill_ts", F.least(F.coalesce(seconds, F.lit(cap)), F.lit(cap)).alias("recovery_seconds"))
 

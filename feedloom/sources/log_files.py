@@ -2,8 +2,9 @@
 
 A file holds one slot's messages in order, each as position (8 bytes), length (4 bytes) and data,
 big-endian; its name begins with the slot's name and a dash, and files of a slot sort by name.
-Every file is a partition.  A stream's offset is the number of files by name, so files must arrive
-in order of their names, as a log's segments do.
+Every file is a partition.  A stream's offset holds the last file of each slot by name, so a slot's
+files must arrive in order of their names, as a log's segments do; slots are free of each other, and
+new ones may come at any time.  Folders of stores that pyarrow reads work like local ones.
 """
 
 from __future__ import annotations
@@ -28,25 +29,64 @@ def write(path: str, messages: list[tuple[int, bytes]]) -> None:
 
 
 class Segment(InputPartition):
-    def __init__(self, path: str, number: int):
-        self.path, self.number = path, number
+    def __init__(self, path: str, slot: str, number: int):
+        self.path, self.slot, self.number = path, slot, number
 
 
-def segments(folder: str) -> list[str]:
-    return sorted(n for n in os.listdir(folder) if not n.endswith(".tmp"))
+def _store(folder: str):
+    """(file system, path) of a remote folder, or None for a local one."""
+    scheme, sep, rest = folder.partition("://")
+    if not sep or scheme == "file":
+        return None, (rest if sep else folder)
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
+def segments(folder: str) -> dict[str, list[str]]:
+    """The file names of each slot, in order: by the number after the slot's name, or by name."""
+    store, path = _store(folder)
+    if store is None:
+        names = os.listdir(path)
+    else:
+        from pyarrow import fs
+
+        names = [f.base_name for f in store.get_file_info(fs.FileSelector(path)) if f.is_file]
+    out: dict[str, list[str]] = {}
+    for n in names:
+        if not n.endswith(".tmp"):
+            out.setdefault(n.rpartition("-")[0], []).append(n)
+    return {slot: sorted(own, key=order) for slot, own in sorted(out.items())}
+
+
+def order(name: str) -> tuple:
+    end = name.rpartition("-")[2]
+    return (0, int(end), name) if end.isdigit() else (1, 0, name)
+
+
+def parts(folder: str, after: dict[str, str], upto: dict[str, str] | None) -> list[Segment]:
+    """The segments behind those named in `after`, up to those in `upto`."""
+    out = []
+    for slot, names in segments(folder).items():
+        for i, n in enumerate(names):
+            if slot in after and order(n) <= order(after[slot]) or upto is not None and (slot not in upto or order(n) > order(upto[slot])):
+                continue
+            number = order(n)[1] if order(n)[0] == 0 else i
+            out.append(Segment(f"{folder}/{n}", slot, number))
+    return out
 
 
 def messages(part: Segment) -> Iterator[tuple]:
     """pos orders a slot's messages across its segments."""
-    slot = os.path.basename(part.path).rpartition("-")[0]
-    with open(part.path, "rb") as f:
+    store, path = _store(part.path)
+    with open(path, "rb") if store is None else store.open_input_stream(path) as f:
         n = 0
         while len(head := f.read(12)) == 12:
             lsn, size = struct.unpack(">QI", head)
             data = f.read(size)
             if len(data) < size:
                 raise ValueError(f"{part.path} is cut short")
-            yield slot, lsn, (part.number << 32) + n, bytearray(data)
+            yield part.slot, lsn, (part.number << 32) + n, bytearray(data)
             n += 1
         if head:
             raise ValueError(f"{part.path} is cut short")
@@ -57,7 +97,7 @@ class Batch(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> list[Segment]:
-        return [Segment(f"{self.folder}/{n}", i) for i, n in enumerate(segments(self.folder))]
+        return parts(self.folder, {}, None)
 
     def read(self, partition: Segment) -> Iterator[tuple]:
         return messages(partition)
@@ -68,14 +108,13 @@ class Stream(DataSourceStreamReader):
         self.folder = folder
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {}
 
     def latestOffset(self) -> dict:
-        return {"files": len(segments(self.folder))}
+        return {slot: names[-1] for slot, names in segments(self.folder).items()}
 
     def partitions(self, start: dict, end: dict) -> list[Segment]:
-        names = segments(self.folder)
-        return [Segment(f"{self.folder}/{names[i]}", i) for i in range(start["files"], end["files"])]
+        return parts(self.folder, start, end)
 
     def read(self, partition: Segment) -> Iterator[tuple]:
         return messages(partition)

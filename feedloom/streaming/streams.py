@@ -62,9 +62,11 @@ def delivery(stream: DataFrame, send: Callable[[str, int], str]) -> DataFrame:
         if state.exists:
             _, attempts, due, seqs, ids = state.get
             seqs, ids = list(seqs), list(ids)
+        queued = set(seqs)
         for b in batches:
             for s, i in sorted(zip(b["seq"], b["event_id"])):
-                if s not in seqs:
+                if s not in queued:
+                    queued.add(int(s))
                     seqs.append(int(s))
                     ids.append(i)
         order = sorted(range(len(seqs)), key=seqs.__getitem__) if attempts == 0 else [0, *sorted(range(1, len(seqs)), key=seqs.__getitem__)]

@@ -236,3 +236,29 @@ def test_jq_builtins(spark):
     for bad in ('error("boom")', "1 + .status"):
         with pytest.raises(Exception, match="boom|cannot add"):
             spark.range(1).select(jq(bad, F.lit('{"status":"open"}'))).collect()
+
+
+def test_sequence_numbers_do_not_depend_on_ranges(spark, sf):
+    from feedloom.operators import eventlog
+    from feedloom.sources.feed import order_feed
+
+    feed = order_feed(spark, sf)
+    one_, many = (sorted(tuple(r) for r in eventlog.append(feed, n=8, ranges=k).select("arrival", "partition", "seq").collect()) for k in (1, 5))
+    assert one_ == many
+
+
+def test_segments_by_slot(tmp_path):
+    from feedloom.sources import log_files as L
+
+    for n in ("b-2", "b-10", "a-1"):
+        L.write(str(tmp_path / n), [(1, b"x")])
+    stream = L.Stream(str(tmp_path))
+    first = stream.latestOffset()
+    assert first == {"a": "a-1", "b": "b-10"}
+    # a new slot whose name sorts first, and a further file: neither moves another slot's files
+    for n in ("0-1", "b-11"):
+        L.write(str(tmp_path / n), [(1, b"x")])
+    last = stream.latestOffset()
+    assert [(p.slot, p.number) for p in stream.partitions({}, first)] == [("a", 1), ("b", 2), ("b", 10)]
+    assert [(p.slot, p.number) for p in stream.partitions(first, last)] == [("0", 1), ("b", 11)]
+    assert [m[:3] for m in L.messages(stream.partitions(first, last)[1])] == [("b", 1, 11 << 32)]
