@@ -104,7 +104,9 @@ def postings(docs: DataFrame, terms: DataFrame, key: str, text: str, width: int
         hit = each.join(F.broadcast(terms), "term")
     else:
         places = each.select("doc", "pos", "term").join(terms, "term", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
-        hit = whole.join(places, "doc").select("doc", "w", F.explode("places").alias("p")).select("doc", "w", "p.pos", "p.term")
+        # texts move, and are cut into words behind the join
+        texts = docs.select(doc_hash(key, text).alias("doc"), F.col(text).alias("t"))
+        hit = texts.join(places, "doc").select("doc", words(F.col("t")).alias("w"), "places").select("doc", "w", F.explode("places").alias("p")).select("doc", "w", "p.pos", "p.term")
     lead = F.least(F.col("pos"), F.lit(width - 1))
     return hit.select("doc", "term", "pos", F.slice("w", F.col("pos") - lead + 1, lead + width).alias("around"), lead.alias("lead"))
 

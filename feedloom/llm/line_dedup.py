@@ -173,26 +173,28 @@ def repeated(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return thin.join(first, ["a", "b"]).where(~F.struct("doc", "no").eqNullSafe(F.col("first"))).select("doc", "no")
 
 
-def with_marked(docs: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
-    """`docs` with `__marked`, the places of the marked lines."""
+def with_marked(docs: DataFrame, marked: DataFrame, key: str, text: str, again: bool = False) -> DataFrame:
+    """`docs` with `__marked`, the places of the marked lines.
+
+    again: the result is read more than once, so it is stored where texts had to move for it.
+    """
     by_doc = marked.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("__marked"))
     size = marked.count() * 8 + by_doc.count() * 64
     by_doc = by_doc.select(F.col("doc.id").alias("__id"), F.col("doc.h").alias("__h"), "__marked")
-    if size <= BROADCAST_BYTES:
-        by_doc = F.broadcast(by_doc)
-    return docs.join(by_doc, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left").drop("__id", "__h")
+    few = size <= BROADCAST_BYTES
+    out = docs.join(F.broadcast(by_doc) if few else by_doc, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left").drop("__id", "__h")
+    return saved(out, "marked") if again and not few else out
 
 
-def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int, group: int) -> DataFrame:
+def candidates(rest: DataFrame, key: str, text: str, edits: int, least: int, group: int, size: int) -> DataFrame:
     """(key, pair, block, own, id, h, no, line): lines that share a key with another; `rest` as from with_marked.
 
-    pair: the two blocks that meet, of a key that has some; block: the line's own one.
+    pair: the two blocks that meet, of a key that has some; block: the line's own one.  size: bytes of all texts.
     """
     spark = rest.sparkSession
     small_batches(spark)
     folder = shared_dir(spark, "segments")
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = rest.agg(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = int(max(2 * conf, size // (8 * RANGE) + 1))
     rows = rest.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.split(F.col(text), "\n").alias("lines"), F.coalesce("__marked", F.array().cast("array<int>")).alias("m")).where("lines is not null")
 
@@ -310,7 +312,9 @@ def similar(edits: int, arrow: pa.Schema):
 def marked_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, exact: int = 1, group: int = GROUP) -> DataFrame:
     """(doc, no) of every line to remove."""
     same = saved(repeated(docs, key, text, exact), "repeated")
-    found = candidates(with_marked(docs, same, key, text), key, text, edits, least, group)
+    docs = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    found = candidates(with_marked(docs, same, key, text, again=True), key, text, edits, least, group, size)
     id_type = docs.schema[key].dataType
     arrow = pa.schema([("id", to_arrow_type(id_type)), ("h", pa.int64()), ("no", pa.int32())])
     near = found.groupBy("key", "pair").applyInArrow(similar(edits, arrow), f"id {id_type.simpleString()}, h long, no int").distinct()
