@@ -72,26 +72,29 @@ class Keys:
         self.edits, self.plans = edits, {}
 
     def plan(self, n: int):
-        """(own, probes): lists of (indexed length, segment number, start, length)."""
+        """(own, probes): lists of (start, end, a number for the indexed length and the segment)."""
         if n not in self.plans:
             if len(self.plans) > 4096:
                 self.plans.clear()
             t = self.edits
-            own = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, t))]
+            own = [(at, at + size, n * 64 + i) for i, (at, size) in enumerate(segments(n, t))]
             probes = []
             for m in range(max(t + 1, n - t), n + 1):
                 d = n - m
                 for i, (at, size) in enumerate(segments(m, t)):
                     low = max(0, at - i, at + d - (t - i))
                     high = min(n - size, at + i, at + d + (t - i))
-                    probes += [(m, i, s, size) for s in range(low, high + 1) if d or s != at]
+                    probes += [(s, s + size, m * 64 + i) for s in range(low, high + 1) if d or s != at]
             self.plans[n] = own, probes
         return self.plans[n]
 
     def of(self, line: str) -> tuple[list[int], list[int]]:
         own, probes = self.plan(len(line))
         h = xxhash.xxh3_64_intdigest
-        name = lambda p: h(line[p[2] : p[2] + p[3]].encode("utf-8", "surrogatepass"), p[0] * 64 + p[1])
+        raw = line.encode("utf-8", "surrogatepass")
+        if len(raw) == len(line):  # places of characters are places of bytes
+            return [h(raw[a:b], seed) for a, b, seed in own], [h(raw[a:b], seed) for a, b, seed in probes]
+        name = lambda p: h(line[p[0] : p[1]].encode("utf-8", "surrogatepass"), p[2])
         return list(map(name, own)), list(map(name, probes))
 
 
