@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import escape_html, short_number
+from .signing import hmac_sha256
 
 PARTITIONS = 64
 
@@ -139,10 +137,5 @@ def signature(secret: str, unix: Column, body: Column) -> Column:
     """`t=<unix>,v1=<HMAC-SHA256 of t.body>`; null without a secret."""
     if not secret:
         return F.lit(None).cast("string")
-    key = secret.encode()
-
-    @F.pandas_udf("string")
-    def sign(t: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f"t={x},v1={hmac.new(key, f'{x}.{y}'.encode(), hashlib.sha256).hexdigest()}" for x, y in zip(t, b)])
-
-    return sign(unix.cast("bigint"), body)
+    t = unix.cast("bigint").cast("string")
+    return F.concat(F.lit("t="), t, F.lit(",v1="), hmac_sha256(secret.encode(), F.concat(t, F.lit("."), body)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,6 +68,57 @@ def unknown_texts(decided: DataFrame, hashes: DataFrame, id_: str = "vector_id")
     return decided.join(hashes, [id_, "text_hash"], "left_anti")
 
 
+def remembered(hashes: DataFrame, acknowledged: DataFrame, id_: str = "vector_id", order: str = "seq") -> DataFrame:
+    """The hash table (id, text_hash) after a store has acknowledged a batch of decided events.
+
+    The last upsert or delete of an id counts; a delete forgets it.  Only ids of the batch change.
+    """
+    last = net_effect(acknowledged.select(id_, "text_hash", "decision", order), id_, order)
+    kept = hashes.select(id_, "text_hash").join(last.select(id_), id_, "left_anti")
+    return kept.unionByName(last.where("decision = 'upsert'").select(id_, "text_hash"))
+
+
+def cached_sender(store: Callable[[DataFrame], None], path: str, id_: str = "vector_id", order: str = "seq") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: unknown texts and deletes go to `store`, then the hash table is written anew.
+
+    `store` must return only when the batch is stored; if it fails nothing is remembered, so the
+    batch runs again as a whole.  `path` holds one folder a version; a version counts once it is
+    complete, and a batch reads only versions before its own, so a repeated batch sees what its
+    first run saw.  Versions but the last two are removed.  Without a readable version all texts go.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = sorted(v for v in _versions(spark, path) if v < number)
+        hashes = spark.read.parquet(f"{path}/{before[-1]}") if before else spark.createDataFrame([], f"{id_} {dict(batch.dtypes)[id_]}, text_hash string")
+        batch = batch.persist()
+        try:
+            last = net_effect(batch, id_, order)
+            store(unknown_texts(last.where("decision = 'upsert'"), hashes, id_).unionByName(last.where("decision = 'delete'")))
+            remembered(hashes, batch, id_, order).write.mode("overwrite").parquet(f"{path}/{number}")
+        finally:
+            batch.unpersist()
+        for v in before[:-1]:
+            _folder(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}"), True)
+
+    return run
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a folder, and the folder in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a hash table."""
+    fs, at = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    done = lambda s: s.getPath().getName().isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    return [int(s.getPath().getName()) for s in fs.listStatus(at) if done(s)]
+
+
 def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", most: int = BATCH) -> DataFrame:
     """Add `vector`; `embed` gets at most `most` texts and must return as many vectors in order."""
 

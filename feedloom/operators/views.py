@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .project import Access
+
 
 def latest_state(events: DataFrame, keys: list[str], order: str = "seq", op: str = "operation") -> DataFrame:
     """The last event of each key, unless it is a delete: an upsert/delete fold as one aggregate."""
@@ -115,6 +117,7 @@ def search_terms(*columns: Column, long: Column, least: int = 4) -> Column:
     return F.array_sort(F.filter(F.array_distinct(words), lambda x: x != ""))
 
 
-def by_id(events: DataFrame, value: str, size: int = 10_000, key: str = "id", order: str = "seq") -> DataFrame:
-    """One event of the recent index, or none."""
-    return recent_index(events, size, key, order).where(F.col(key) == value)
+def by_id(events: DataFrame, value: str, size: int = 10_000, key: str = "id", order: str = "seq", access: Access | None = None) -> DataFrame:
+    """One event of the recent index, or none; none, too, where its table may not be read."""
+    found = recent_index(events, size, key, order).where(F.col(key) == value)
+    return found if access is None else access.apply(found)

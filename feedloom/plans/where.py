@@ -296,3 +296,9 @@ def malformed(before: Column | None = None, after: Column | None = None) -> Colu
     """Rows whose images are not JSON objects: for the dead-letter branch."""
     bad = lambda c: c.isNotNull() & (c != "null") & variant_map(c).isNull()
     return bad(F.col("before") if before is None else before) | bad(F.col("after") if after is None else after)
+
+
+def branches(events: DataFrame, expression: str) -> tuple[DataFrame, DataFrame]:
+    """Events that match, and those for the dead-letter branch, whose images cannot be read."""
+    dead = malformed()
+    return events.where(~dead & where(expression)), events.where(dead).withColumn("reason", F.lit("malformed image"))

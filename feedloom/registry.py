@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import queries_capture, queries_filter, queries_output, queries_views  # noqa: F401
+    from . import queries_actions, queries_capture, queries_filter, queries_output, queries_views  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

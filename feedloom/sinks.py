@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable
 
@@ -10,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.keys import dedup_id, fnv64_hex, qualified, uuid5, vector_id
-from .operators.actions import event_json
+from .functions.signing import sigv4_headers
+from .operators.actions import ActionError, Delivery, event_json
 from .operators.delivery import POISON_STREAK
 from .operators.views import runs
 from .plans.templates import destination, template
@@ -75,6 +77,22 @@ def webhook_requests(events: DataFrame, url: str, by: list[str], most: int = 100
     return out.select(*by, F.col("i")[0][order].alias(f"first_{order}"), "url", F.size("i").alias("events"), body.alias("body"), F.array_join(F.transform("i", lambda x: x["idempotency_key"]), ",").alias("keys"), *([F.col("i").alias("items")] if items_too else []))
 
 
+def request_headers(requests: DataFrame, delivery: Delivery, now: dt.datetime, key_id: str = "", secret: str = "", token: str = "") -> DataFrame:
+    """Add `headers` to requests of one URL: the delivery's own, the keys, and a signature if it asks for one.
+
+    A signature covers the body and the URL; the keys are a header beside it, as they differ by request.
+    """
+    own = F.create_map(*[F.lit(x) for kv in delivery.headers.items() for x in kv]) if delivery.headers else F.create_map()
+    keys = F.create_map(F.lit(HEADER), F.col("keys"))
+    if not delivery.auth:
+        return requests.withColumn("headers", F.map_concat(own.cast("map<string,string>"), keys))
+    kind, region = delivery.auth
+    if kind != "sigv4" or not (key_id and secret):
+        raise ActionError("a signed delivery needs a key id and a secret")
+    signed = sigv4_headers(delivery.url, F.col("body"), region, "lambda", key_id, secret, now, headers=delivery.headers, token=token)
+    return requests.withColumn("headers", F.map_concat(signed, keys))
+
+
 def vector_rows(events: DataFrame) -> DataFrame:
     """id, text, metadata and the deletes for a table of vectors."""
     return events.select(vector_id(F.col("schema"), F.col("table"), F.col("key")).alias("id"), "operation", *[c for c in ("text", "vector", "metadata") if c in events.columns])
