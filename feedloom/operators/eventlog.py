@@ -29,21 +29,22 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def numbered(new: DataFrame, order: list[str], ranges: int) -> DataFrame:
-    """Add seq, from 1 in each partition by `order` (the first of it a number).
+def numbered(new: DataFrame, order: list[str], ranges: int, by: tuple[str, ...] = ("partition",)) -> DataFrame:
+    """Add seq, from 1 in each group of `by` by `order` (the first of it a number); without `by`, over all rows.
 
-    A partition is cut into `ranges` ranges of the first column, each numbered in a task of its own;
+    A group is cut into `ranges` ranges of the first column, each numbered in a task of its own;
     what earlier ranges hold is added from one count a range.
     """
+    within = lambda *more: W.partitionBy(*by, *more) if by or more else W.partitionBy(F.lit(0))
     if ranges == 1:
-        return new.withColumn("seq", F.row_number().over(W.partitionBy("partition").orderBy(*order)).cast("bigint"))
+        return new.withColumn("seq", F.row_number().over(within().orderBy(*order)).cast("bigint"))
     cuts = new.approxQuantile(order[0], [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
     cut = F.lit(sorted({float(c) for c in cuts})).cast("array<double>")
     rows = new.withColumn("__r", F.size(F.filter(cut, lambda c: c < F.col(order[0]))))
-    before = W.partitionBy("partition").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy("partition", "__r").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = F.row_number().over(W.partitionBy("partition", "__r").orderBy(*order))
-    return rows.withColumn("seq", own.cast("bigint")).join(counts, ["partition", "__r"]).withColumn("seq", F.col("seq") + F.col("__before")).drop("__r", "__before")
+    before = within().orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.row_number().over(within("__r").orderBy(*order))
+    return rows.withColumn("seq", own.cast("bigint")).join(counts, [*by, "__r"]).withColumn("seq", F.col("seq") + F.col("__before")).drop("__r", "__before")
 
 
 def append(events: DataFrame, log: DataFrame | None = None, n: int = PARTITIONS, key: str = "idempotency_key", arrival: str = "arrival", ranges: int | None = None) -> DataFrame:
@@ -64,6 +65,26 @@ def append(events: DataFrame, log: DataFrame | None = None, n: int = PARTITIONS,
     return new
 
 
+def append_stream(events: DataFrame, log: DataFrame | None = None, n: int = PARTITIONS, key: str = "idempotency_key", arrival: str = "arrival", ranges: int | None = None) -> DataFrame:
+    """The same for a log that numbers all partitions as one stream; readers take seq as an opaque cursor.
+
+    `log` holds what is within the window in which keys are remembered, and its highest seq.
+    """
+    new = first_arrivals(events, key, arrival)
+    high = 0
+    if log is not None:
+        new = new.join(log.select(key), key, "left_anti")
+        high = log.agg(F.max("seq")).first()[0] or 0
+    new = new.withColumn("partition", partition_of(F.col("key"), n))
+    return numbered(new, [arrival, key], ranges or planned_bytes(new) // RUN_BYTES + 1, ()).withColumn("seq", F.col("seq") + F.lit(high).cast("bigint"))
+
+
+def acknowledged(events: DataFrame, new: DataFrame, key: str = "idempotency_key", arrival: str = "arrival") -> DataFrame:
+    """Every event sent with the seq it got, 0 if it was a duplicate; arrivals are unique."""
+    got = new.select(key, arrival, "seq")
+    return events.join(got, [key, arrival], "left").withColumn("seq", F.coalesce("seq", F.lit(0).cast("bigint")))
+
+
 def live(log: DataFrame, now: Column, retention: str = "1 hour", appended: str = "appended") -> DataFrame:
     """Entries within the retention; an entry's key expires with it, so it may come again."""
     return log.where(F.col(appended) > now - F.expr(f"interval {retention}"))

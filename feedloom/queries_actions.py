@@ -15,7 +15,7 @@ from .model import CHANGE_EVENT
 from .operators import eventlog, project, report, vector, views
 from .plans.render import transform
 from .plans.where import branches
-from .registry import FEED, query, table
+from .registry import FEED, FNV, query, table
 from .sources.feed import order_feed
 from .streaming import subscriptions
 
@@ -132,3 +132,14 @@ def f_malformed(spark, sf):
 def x_sql_functions(spark, sf):
     sql_functions.register(spark)
     return table(spark, sf, "orders").selectExpr("o_orderkey", "loom_lsn(o_orderkey * 5000000000L) AS lsn", "loom_scope(o_orderpriority) AS scope", "loom_qualified('tpch', o_orderstatus) AS name", "loom_subject_ok(if(o_orderkey % 2 = 0, 'a.b', 'a..b')) AS ok")
+
+
+@query(f"with {FEED} select arrival, case when arrival % 10 = 9 then 0 else row_number() over (partition by arrival % 10 = 9 order by arrival) end as seq from feed")
+def l_stream_append(spark, sf):
+    rows = order_feed(spark, sf)
+    return eventlog.acknowledged(rows, eventlog.append_stream(rows)).select("arrival", "seq")
+
+
+@query(f"with {FEED}, s as (select *, cast({FNV} % 64 as integer) as partition, row_number() over (order by arrival) as seq from log) select seq, arrival from s where partition = 5 and seq >= 100 order by seq limit 50")
+def l_stream_scan(spark, sf):
+    return eventlog.scan(eventlog.append_stream(order_feed(spark, sf)), 5, 100, 50).select("seq", "arrival")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom import sinks
 from feedloom.functions import keys, signing
 from feedloom.functions import sql as sql_functions
-from feedloom.operators import actions, vector
+from feedloom.operators import actions, eventlog, vector
 from feedloom.plans.render import rendered, transform
 from feedloom.plans.templates import TemplateError
 from feedloom.plans.where import branches
@@ -154,3 +154,16 @@ def test_user_functions(spark):
     assert spark.sql("select count(*) from twice(4)").first()[0] == 2
     with pytest.raises(ValueError):
         sql_functions.register_user(spark, "loom_lsn", plus, "long")
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_one_stream(spark, ranges):
+    """Numbers go on after the log's, whatever the number of ranges; duplicates of either are acknowledged as 0."""
+    rows = spark.createDataFrame([(i, f"k{i % 70}", f"key{i % 9}") for i in range(100)], "arrival long, idempotency_key string, key string")
+    first = eventlog.append_stream(rows.where("arrival < 50"), ranges=ranges)
+    assert [r["seq"] for r in first.orderBy("arrival").collect()] == list(range(1, 51))
+    later = rows.where("arrival >= 50")
+    new = eventlog.append_stream(later, first, ranges=ranges)
+    got = {r["arrival"]: r["seq"] for r in eventlog.acknowledged(later, new).collect()}
+    assert got == {i: i + 1 if i < 70 else 0 for i in range(50, 100)}
+    assert eventlog.append_stream(later, rows.where("arrival >= 0").withColumn("seq", rows["arrival"]), ranges=1).count() == 0
